@@ -1 +1,27 @@
+"""Queries over scores, tiers and decisions."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from respondex.operators import signals as G
+from respondex.plans.catalog import query
+from respondex.plans.study import SCORED, scored_frame
+
+FLAGS = ", ".join([f"f_{s}" for s in G.SIGNALS] + [f"g_{g}" for g in G.GUARDS])
+
+
+@query(
+    "r10_frozen_risk_score",
+    f"""WITH {SCORED} SELECT respondent_id, dataset_id, word_count, round(unique_token_ratio, 6) AS unique_token_ratio, round(missing_rate, 6) AS missing_rate, dup_count, {FLAGS}, round(risk_raw, 6) AS risk_raw,
+    client_reject_probability, authenticity_risk_probability, attention_or_validity_risk, protective_score, model_uncertainty, operational_tier,
+    array_to_string(signals, '|') AS signals, array_to_string(guards, '|') AS guards, score FROM scored""",
+)
+def r10(spark, sf):
+    s = scored_frame(spark, sf)
+    return s.select(
+        "respondent_id", "dataset_id", "word_count", F.round("unique_token_ratio", 6).alias("unique_token_ratio"), F.round("missing_rate", 6).alias("missing_rate"),
+        "dup_count", *[c.strip() for c in FLAGS.split(",")], F.round("risk_raw", 6).alias("risk_raw"), "client_reject_probability", "authenticity_risk_probability",
+        "attention_or_validity_risk", "protective_score", "model_uncertainty", "operational_tier",
+        F.array_join("signals", "|").alias("signals"), F.array_join("guards", "|").alias("guards"), "score",
+    )

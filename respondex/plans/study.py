@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from respondex.config import SignalConfig
-from respondex.functions import text as X
+from respondex.operators.signals import GUARDS, SIGNALS, RiskWeights, evaluation_score, frozen_risk, signal_matrix
+from respondex.sources.stages import stage
 from respondex.sources.tables import table
 
 # The tables hold invented prose, so the study's vocabulary is chosen to occur in it.
@@ -23,12 +24,14 @@ STUDY = SignalConfig(
     fast_seconds=1800.0,
     slow_fast_seconds=7200.0,
     matrix_modal_share=0.75,
+    high_missing=0.45,
     meta_pattern=r"license|licence|copyright|all rights reserved",
     polished_pattern=r"\|",
     hostile_pattern=r"(^|[^a-z])(idiot|stupid|worthless|pathetic|fuck|shit)([^a-z]|$)",
     topic_pattern=r"(^|[^a-z])(the|and|les|des|der|und|los|las)([^a-z]|$)",
     domain_terms=("the", "and", "of", "les", "des", "der", "die", "los", "las"),
     topic_keywords=("the ", "les ", "der ", "los "),
+    extra={"domain_rich_hits": 10},
 )
 
 
@@ -168,3 +171,60 @@ WORDS = "regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}'']+')"
 
 def words_sql(c: str) -> str:
     return WORDS.format(c=c)
+
+
+def scored_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals, frozen risk with weights that spread over the study's texts, and the evaluation score.
+
+    Most queries start here, so it is a stage table: the texts are read once.
+    """
+    return stage(spark, sf, "scored", lambda: evaluation_score(frozen_risk(signal_matrix(respondent_frame(spark, sf), STUDY), STUDY_WEIGHTS)))
+
+
+STUDY_WEIGHTS = RiskWeights(specific=0.05, client_scale=1.3)
+
+
+def flag_sql(cond: str, name: str) -> str:
+    return f"CAST(coalesce({cond}, false) AS INTEGER) AS {name}"
+
+
+_S = STUDY
+_IN = "(" + ", ".join(q(x) for x in _S.domain_terms) + ")"
+SIG = f"""{FRAME},
+s0 AS (SELECT frame.*, {norm_sql('open_text')} AS t FROM frame),
+s1 AS (SELECT s0.*, {words_sql('t')} AS w, substr(trim(regexp_replace(regexp_replace(regexp_replace(t, '[0-9]+', '#', 'g'), '[^a-z# ]+', ' ', 'g'), ' +', ' ', 'g')), 1, {_S.signature_chars}) AS sg,
+  regexp_extract_all(t, '[a-z'']+') AS lw,
+  (CAST(qtime IS NULL AS INTEGER) + CAST(n_items IS NULL AS INTEGER) + CAST(coalesce(supplier, '') = '' AS INTEGER) + CAST(t = '' AS INTEGER)) / 4.0::DOUBLE AS missing_rate FROM s0),
+bg AS (SELECT respondent_id, unnest(list_transform(range(1, len(lw)), lambda i: lw[i] || ' ' || lw[i + 1])) AS g FROM s1 WHERE len(lw) >= 6),
+rp AS (SELECT DISTINCT respondent_id AS rid FROM (SELECT respondent_id, g FROM bg GROUP BY 1, 2 HAVING count(*) >= 3)),
+s2 AS (SELECT s1.*, len(w) AS word_count, length(t) AS char_count, CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w)::DOUBLE ELSE 0.0::DOUBLE END AS unique_token_ratio,
+  CASE WHEN length(t) >= {_S.min_duplicate_chars} THEN count(*) OVER (PARTITION BY t) ELSE 0 END AS dup_count,
+  CASE WHEN length(sg) >= {_S.min_signature_chars} THEN count(*) OVER (PARTITION BY sg) ELSE 0 END AS sig_count, rid IS NOT NULL AS rep FROM s1 LEFT JOIN rp ON rid = respondent_id),
+s3 AS (SELECT *, word_count > 0 AND (regexp_matches(t, {q(_S.generic_pattern)}) OR word_count <= {_S.low_words}) AS gen FROM s2),
+sig AS (SELECT respondent_id, dataset_id, supplier, rejected, toxic, qtime, n_items, modal_share, n_distinct, word_count, char_count, unique_token_ratio, missing_rate, dup_count,
+  {flag_sql('dup_count >= 2', 'f_duplicate_open')}, {flag_sql('sig_count >= 2', 'f_template_cluster')}, {flag_sql(f'qtime < {_S.fast_seconds}', 'f_fast_complete')}, {flag_sql('gen', 'f_open_generic')},
+  {flag_sql(f'word_count >= {_S.long_words} AND unique_token_ratio < {_S.low_unique_ratio}', 'f_low_specificity')}, {flag_sql(f'regexp_matches(t, {q(_S.meta_pattern)})', 'f_survey_meta')},
+  {flag_sql(f'regexp_matches(t, {q(_S.polished_pattern)})', 'f_polished')}, {flag_sql(f'n_items >= {_S.matrix_min_items} AND modal_share >= {_S.matrix_modal_share}', 'f_matrix_uniform')},
+  {flag_sql(f'missing_rate > {_S.high_missing}', 'f_high_missing')}, {flag_sql('rep', 'f_repeated_phrase')}, {flag_sql(f'regexp_matches(t, {q(_S.hostile_pattern)})', 'f_hostile')},
+  {flag_sql(f'regexp_matches(t, {q(_S.grounded_pattern)})', 'g_grounded')}, {flag_sql('word_count >= 8 AND NOT gen', 'g_specific_detail')},
+  {flag_sql(f'len(list_filter(w, lambda x: x IN {_IN})) >= {_S.extra["domain_rich_hits"]}', 'g_domain_rich')} FROM s3)"""
+
+_LIST = "list_filter([{items}], lambda x: x IS NOT NULL)"
+SIGNAL_LIST = _LIST.format(items=", ".join(f"CASE WHEN f_{s} = 1 THEN '{s}' END" for s in SIGNALS))
+GUARD_LIST = _LIST.format(items=", ".join(f"CASE WHEN g_{g} = 1 THEN '{g}' END" for g in GUARDS))
+
+_W = STUDY_WEIGHTS
+SCORED = f"""{SIG},
+sets AS (SELECT *, {SIGNAL_LIST} AS signals, {GUARD_LIST} AS guards, CAST(word_count = 0 AS INTEGER) AS no_open, CAST(word_count > 0 AND word_count <= 6 AND f_open_generic = 0 AS INTEGER) AS short_valid FROM sig),
+raw AS (SELECT *, greatest(0.0::DOUBLE, {_W.template}::DOUBLE * f_template_cluster + {_W.fast_generic}::DOUBLE * (f_fast_complete * f_open_generic) + {_W.missing_polished}::DOUBLE * (f_high_missing * f_polished)
+  + {_W.uniform_weak}::DOUBLE * (f_matrix_uniform * greatest(f_open_generic, no_open)) + {_W.missing_no_open}::DOUBLE * (f_high_missing * no_open) + {_W.generic}::DOUBLE * f_open_generic
+  - {_W.specific}::DOUBLE * g_specific_detail - {_W.short_valid}::DOUBLE * short_valid) AS risk_raw FROM sets),
+prob AS (SELECT *, round(least(greatest(risk_raw / {_W.client_scale}::DOUBLE, 0.02::DOUBLE), 0.98::DOUBLE), 6) AS client_reject_probability,
+  round(least(greatest((risk_raw + 0.4::DOUBLE * f_template_cluster + 0.3::DOUBLE * (f_fast_complete * f_polished)) / {_W.authenticity_scale}::DOUBLE, 0.02::DOUBLE), 0.98::DOUBLE), 6) AS authenticity_risk_probability,
+  round(least(greatest((0.6::DOUBLE * f_high_missing + 0.5::DOUBLE * f_matrix_uniform + 0.4::DOUBLE * f_fast_complete + 0.35::DOUBLE * f_open_generic) / {_W.attention_scale}::DOUBLE, 0.02::DOUBLE), 0.98::DOUBLE), 6) AS attention_or_validity_risk,
+  round(least(greatest(0.5::DOUBLE * g_specific_detail + 0.25::DOUBLE * short_valid + 0.25::DOUBLE * CAST(missing_rate < 0.5 AS INTEGER), 0.0::DOUBLE), 1.0::DOUBLE), 6) AS protective_score,
+  round(least(greatest(0.2::DOUBLE + 0.35::DOUBLE * no_open + 0.25::DOUBLE * CAST(missing_rate > 0.65 AS INTEGER) + 0.2::DOUBLE * CAST(qtime IS NULL AS INTEGER), 0.05::DOUBLE), 1.0::DOUBLE), 6) AS model_uncertainty FROM raw),
+scored AS (SELECT *, CASE WHEN client_reject_probability >= 0.75 THEN 'Exclude candidate' WHEN client_reject_probability >= 0.55 THEN 'Review closely' WHEN client_reject_probability >= 0.30 THEN 'Light review'
+  WHEN client_reject_probability >= 0.15 OR protective_score > 0 THEN 'Keep with note' ELSE 'Clean keep' END AS operational_tier,
+  CASE WHEN client_reject_probability >= 0.75 THEN 5 WHEN client_reject_probability >= 0.55 THEN 4 WHEN client_reject_probability >= 0.30 THEN 3 WHEN client_reject_probability >= 0.15 OR protective_score > 0 THEN 2 ELSE 1 END AS tier_n,
+  round(0.65::DOUBLE * client_reject_probability + 0.35::DOUBLE * least(1.0::DOUBLE, 1 - unique_token_ratio), 6) AS score FROM prob)"""
