@@ -12,6 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from respondex.config import SignalConfig
+from respondex.functions import lexicons as L
+from respondex.functions import ranking as R
+from respondex.functions import text as X
+from respondex.operators import lift as D
+from respondex.operators import matrix as M
+from respondex.operators import text_signals as T
+from respondex.operators import timing as TM
+from respondex.operators.scoring import FACTOR_TERMS
 from respondex.operators.signals import GUARDS, SIGNALS, RiskWeights, evaluation_score, frozen_risk, signal_matrix
 from respondex.sources.stages import stage
 from respondex.sources.tables import table
@@ -228,3 +236,145 @@ scored AS (SELECT *, CASE WHEN client_reject_probability >= 0.75 THEN 'Exclude c
   WHEN client_reject_probability >= 0.15 OR protective_score > 0 THEN 'Keep with note' ELSE 'Clean keep' END AS operational_tier,
   CASE WHEN client_reject_probability >= 0.75 THEN 5 WHEN client_reject_probability >= 0.55 THEN 4 WHEN client_reject_probability >= 0.30 THEN 3 WHEN client_reject_probability >= 0.15 OR protective_score > 0 THEN 2 ELSE 1 END AS tier_n,
   round(0.65::DOUBLE * client_reject_probability + 0.35::DOUBLE * least(1.0::DOUBLE, 1 - unique_token_ratio), 6) AS score FROM prob)"""
+
+
+# --- triage frame: everything the decision queries look at -------------------------------------------
+
+CONTEXT = r"(^|[^a-z])(the|les|der|los)([^a-z]|$)"
+SUPPLIER_BRANDS, SUPPLIER_CATEGORIES, SUPPLIER_INVALID = r"src[0-4]$", r"src1[0-4]$", r"^src9$"
+
+
+def triage_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return stage(spark, sf, "triage", lambda: _triage(spark, sf))
+
+
+def _triage(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col("open_text")
+    t = X.norm(c)
+    n_words, n_sent = F.regexp_count(t, F.lit(X.LATIN_WORD)), F.greatest(F.regexp_count(t, F.lit(r"[.!?]+")), F.lit(1))
+    syl = F.regexp_count(t, F.lit("[aeiouyàâäéèêëíîïóôöúûüñ]+"))
+    level = F.round(0.39 * n_words / n_sent + 11.8 * syl / F.greatest(n_words, F.lit(1)) - 15.59, 4)
+
+    def bit(x):
+        return x.cast("int")
+
+    texts = respondents(spark, sf).select(
+        "respondent_id",
+        T.open_text_class(c).alias("oe_class"),
+        T.narrative_quality(c, STUDY.topic_pattern).alias("narrative_quality"),
+        bit(T.severe_weak(c, CONTEXT)).alias("weak_text"),
+        bit(T.misplaced(c, CONTEXT)).alias("misplaced_text"),
+        level.alias("read_level"),
+        bit(X.contains_any(t, L.MISSPELLINGS)).alias("misspelled"),
+        bit(t.rlike(L.PROJECT_PATTERN)).alias("project_context"),
+        bit(t.rlike(L.SUBSTANTIVE_PATTERN)).alias("substantive_context"),
+        bit(t.rlike(L.ENTHUSIASM_PATTERN)).alias("enthusiastic"),
+        bit(t.rlike(r"(.)\1{4,}")).alias("repeated_characters"),
+        bit(t.rlike(f"^({L.NON_RESPONSE_PATTERN})$")).alias("non_response"),
+        bit(X.contains_any(t, FACTOR_TERMS)).alias("factor_terms"),
+        F.when(t != "", F.md5(t)).alias("_k"),
+    )
+    s = scored_frame(spark, sf).join(texts, "respondent_id")
+    s = R.with_group_stats(
+        s, ["_k"], "respondent_id", _n=F.count(F.lit(1)), _s1=F.min("supplier"), _s2=F.max("supplier"), _d1=F.min("dataset_id"), _d2=F.max("dataset_id")
+    )
+    dup = (
+        F.when(F.col("_k").isNull() | (F.col("_n") <= 1), "single")
+        .when((F.col("_s1") == F.col("_s2")) & (F.col("_d1") == F.col("_d2")), "shared_response_chain").otherwise("independent_duplicate_cluster")
+    )
+    s = s.withColumn("duplicate_type", dup).drop("_k", "_n", "_s1", "_s2", "_d1", "_d2")
+    rates = D.supplier_stats(respondents(spark, sf).select("supplier", "rejected"), "supplier").select("supplier", F.col("reject_rate").alias("supplier_reject_rate"))
+    entropy = M.answer_entropy(answers(spark, sf), "respondent_id", "flag").select("respondent_id", "answer_entropy")
+    people = table(spark, sf, "customer").select(F.col("c_custkey").alias("respondent_id"), T.role_class(F.col("c_mktsegment")).alias("role_class"))
+    s = TM.timing_bands(s, "dataset_id", "qtime")
+    s = TM.zscores(s, "dataset_id", "qtime", "respondent_id").withColumnRenamed("zscore", "qtime_z")
+    s = s.join(rates, "supplier", "left").join(entropy, "respondent_id", "left").join(people, "respondent_id", "left")
+    token = T.brand_token_class(F.col("supplier"), SUPPLIER_BRANDS, SUPPLIER_CATEGORIES, SUPPLIER_INVALID)
+    quality = (
+        F.when(token == "blank", "missing_brand_list").when(token.isin("valid_brand_or_variant", "tool_category_not_brand"), "has_valid_brand_or_tool_category")
+        .when(token == "unknown_possible_brand", "unknown_possible_brand_only").when(token.isin("invalid_or_too_generic", "too_short_unknown"), "weak_or_invalid_brand_list")
+        .otherwise("unknown_brand_quality")
+    )
+    t1 = F.col("f_hostile") + F.col("f_survey_meta")
+    return (
+        s.withColumn("role_class", F.coalesce("role_class", F.lit("missing_role")))
+        .withColumn("brand_quality", quality)
+        .withColumn("answer_entropy", F.round(F.coalesce("answer_entropy", F.lit(0.0)), 6))
+        .withColumn("near_straightline", F.coalesce(((F.col("n_items") >= 4) & (F.col("modal_share") >= 0.6)).cast("int"), F.lit(0)))
+        .withColumn("is_discard_signal", T.is_discard_class(F.col("oe_class")).cast("int"))
+        .withColumn("is_personal", (F.col("oe_class") == "first_person_personal").cast("int"))
+        .withColumn("t1_count", t1).withColumn("t2_count", F.col("f_duplicate_open")).withColumn("t3_count", F.size("signals") - t1 - F.col("f_duplicate_open"))
+        .withColumn("ml_score", F.col("score"))
+    )
+
+
+def any_sql(col: str, markers) -> str:
+    return "(" + " OR ".join(f"contains({col}, {q(m)})" for m in markers) + ")"
+
+
+def bit_sql(cond: str, name: str) -> str:
+    return f"CAST(coalesce({cond}, false) AS INTEGER) AS {name}"
+
+
+def starts_sql(col: str, markers) -> str:
+    return "(" + " OR ".join(f"starts_with({col}, {q(m)})" for m in markers) + ")"
+
+
+def class_sql(t: str = "t", topics=L.TOPIC_MARKERS) -> str:
+    last = f"string_split({t}, ' ')[-1]"
+    return f"""CASE WHEN length({t}) < 3 THEN 'empty'
+      WHEN length({t}) > 10 AND ((length(regexp_replace({t}, '[^aeiou]', '', 'g')) > 0 AND length(regexp_replace({t}, '[^bcdfghjklmnpqrstvwxyz]', '', 'g'))
+           > 5 * length(regexp_replace({t}, '[^aeiou]', '', 'g'))) OR {any_sql(t, L.MASH_MARKERS)}) THEN 'gibberish'
+      WHEN {any_sql(t, L.PRAISE_MARKERS)} AND length({t}) < 40 THEN 'generic_praise'
+      WHEN {any_sql(t, L.THIRD_PERSON_MARKERS)} THEN 'third_person_meta'
+      WHEN {any_sql(t, L.OFF_TOPIC_MARKERS)} THEN 'off_topic_incoherent'
+      WHEN length({t}) < 15 AND {any_sql(t, L.NON_ANSWER_MARKERS)} THEN 'off_topic_incoherent'
+      WHEN length({t}) > 30 AND right({t}, 1) NOT IN ('.', '!', '?') AND ((length({last}) <= 2 AND {last} NOT IN ('ed', 'er', 'ly', 'ng'))
+           OR ({starts_sql(t, L.TEMPLATE_STARTS)} AND length({t}) < 100)) THEN 'templated_truncated'
+      WHEN {any_sql(t, L.FIRST_PERSON_MARKERS)} AND {any_sql(t, L.EXPERIENCE_MARKERS)} THEN 'first_person_personal'
+      WHEN NOT {any_sql(t, L.FIRST_PERSON_MARKERS)} AND {any_sql(t, topics)} THEN 'generic_topic_restatement'
+      WHEN length({t}) > 30 THEN 'substantive' ELSE 'short_neutral' END"""
+
+
+def narrative_sql(t: str = "t", rep: str = "rep", w: str = "w", topic: str = STUDY.topic_pattern) -> str:
+    n, u = f"len({w})", f"len(list_distinct({w}))"
+    return f"""CASE WHEN {t} = '' THEN 'blank'
+      WHEN regexp_matches({t}, {q(L.ABUSIVE_PATTERN)}) OR regexp_full_match({t}, {q(L.NON_COOPERATIVE_PATTERN)}) THEN 'non_cooperative'
+      WHEN {rep} THEN 'nonsensical_or_repetitive'
+      WHEN regexp_matches({t}, {q(L.FEEDBACK_NARRATIVE_PATTERN)}) AND NOT regexp_matches({t}, {q(topic)}) AND NOT regexp_matches({t}, {q(L.SUBSTANTIVE_PATTERN)}) THEN 'generic_survey_feedback'
+      WHEN regexp_matches({t}, {q(topic)}) THEN CASE WHEN {n} <= 2 OR {u} <= 2 THEN 'low_information' ELSE 'topic_relevant' END
+      WHEN regexp_matches({t}, {q(L.SUBSTANTIVE_PATTERN)}) THEN CASE WHEN {n} <= 2 OR {u} <= 2 THEN 'low_information' ELSE 'substantive_narrative' END
+      WHEN {n} <= 3 OR {u} <= 2 THEN 'low_information' ELSE 'unclear_product_answer' END"""
+
+
+_SUBST = f"regexp_matches(t, {q(L.SUBSTANTIVE_PATTERN)})"
+_PROTECT = f"(regexp_matches(t, {q(L.PROJECT_PATTERN)}) OR regexp_matches(t, {q(CONTEXT)}))"
+_RUN5 = "coalesce(list_bool_or(list_transform(range(1, greatest(length(t) - 3, 1)), lambda i: replace(substr(t, i, 5), substr(t, i, 1), '') = '' AND length(substr(t, i, 5)) = 5)), false)"
+# needs t, lw (words longer than two characters) and aw (all words)
+WEAK_SQL = f"""(t = '' OR (NOT {_PROTECT} AND (regexp_full_match(t, {q(L.NON_RESPONSE_PATTERN)}) OR (NOT {_SUBST} AND (
+   regexp_matches(t, '(^|[^a-z])(test|asdf|qwerty|n/?a|dont know|don''t know|no idea|not sure)([^a-z]|$)')
+   OR (len(list_distinct(lw3)) <= 3 AND coalesce(list_max(list_transform(list_distinct(lw3), lambda d: len(list_filter(lw3, lambda y: y = d)))), 0) >= 3) OR {_RUN5})))))"""
+MISPLACED_SQL = f"""(t = '' OR regexp_matches(t, {q(L.CONTACT_PATTERN)}) OR (NOT ({_SUBST} OR {_PROTECT}) AND (len(aw) = 0 OR (len(aw) <= 6 AND (
+   len(list_filter(aw, lambda x: length(x) <= 3)) >= greatest(3, len(aw) - 1) OR len(list_filter(aw, lambda x: regexp_matches(x, '[aeiouy]'))) <= greatest(1, len(aw) // 3))))))"""
+
+TRIAGE = f"""{SCORED},
+x0 AS (SELECT respondent_id, t, rep, regexp_extract_all(t, '[a-z0-9'']+') AS aw, list_filter(regexp_extract_all(t, '[a-z0-9'']+'), lambda x: length(x) > 2) AS lw3, len(regexp_extract_all(t, '[A-Za-z'']+')) AS nw,
+  greatest(len(regexp_extract_all(t, '[.!?]+')), 1) AS ns, len(regexp_extract_all(t, '[aeiouyàâäéèêëíîïóôöúûüñ]+')) AS sy FROM s3),
+x1 AS (SELECT respondent_id, t, {class_sql()} AS oe_class, {narrative_sql(w='aw')} AS narrative_quality, {bit_sql(WEAK_SQL, 'weak_text')}, {bit_sql(MISPLACED_SQL, 'misplaced_text')},
+  round(0.39::DOUBLE * nw / ns + 11.8::DOUBLE * sy / greatest(nw, 1) - 15.59::DOUBLE, 4) AS read_level, {bit_sql(any_sql('t', L.MISSPELLINGS), 'misspelled')}, {bit_sql(f"regexp_matches(t, {q(L.PROJECT_PATTERN)})", 'project_context')},
+  {bit_sql(_SUBST, 'substantive_context')}, {bit_sql(f"regexp_matches(t, {q(L.ENTHUSIASM_PATTERN)})", 'enthusiastic')}, {bit_sql(_RUN5, 'repeated_characters')}, {bit_sql(f"regexp_full_match(t, {q(L.NON_RESPONSE_PATTERN)})", 'non_response')},
+  {bit_sql(any_sql('t', FACTOR_TERMS), 'factor_terms')} FROM x0),
+dk AS (SELECT s3.t, count(*) AS n, count(DISTINCT s3.supplier) AS su, count(DISTINCT s3.dataset_id) AS da FROM s3 WHERE t <> '' GROUP BY 1),
+sr AS (SELECT supplier, round(count(*) FILTER (rejected = 1) / count(*)::DOUBLE * 100, 1) AS supplier_reject_rate FROM resp GROUP BY 1),
+ec AS (SELECT respondent_id, c / sum(c) OVER (PARTITION BY respondent_id)::DOUBLE AS p FROM cells), en AS (SELECT respondent_id, round(-sum(p * log2(p)), 6) + 0.0 AS answer_entropy FROM ec GROUP BY 1),
+tc AS (SELECT dataset_id, quantile_cont(qtime, 0.1) AS p10, quantile_cont(qtime, 0.25) AS p25, quantile_cont(qtime, 0.5) AS p50 FROM scored WHERE qtime > 0 GROUP BY 1),
+tz AS (SELECT dataset_id, avg(qtime) AS m, stddev_samp(qtime) AS sd FROM scored GROUP BY 1),
+ro AS (SELECT c_custkey AS respondent_id, CASE WHEN lower(c_mktsegment) = '' THEN 'missing_role' WHEN regexp_matches(lower(c_mktsegment), {q(L.ABUSIVE_PATTERN)}) THEN 'non_cooperative' WHEN regexp_matches(lower(c_mktsegment), {q(L.TRADE_PATTERN)}) THEN 'trade_relevant'
+  WHEN regexp_matches(lower(c_mktsegment), {q(L.NON_TRADE_PATTERN)}) THEN 'likely_non_trade' ELSE 'ambiguous_role' END AS role_class FROM customer),
+triage AS (SELECT scored.*, x1.* EXCLUDE (respondent_id, t), CASE WHEN dk.n IS NULL OR dk.n <= 1 THEN 'single' WHEN su <= 1 AND da <= 1 THEN 'shared_response_chain' ELSE 'independent_duplicate_cluster' END AS duplicate_type,
+  supplier_reject_rate, coalesce(answer_entropy, 0) AS answer_entropy, CASE WHEN qtime IS NULL OR qtime <= 0 THEN 'unknown' WHEN qtime <= p10 THEN 'bottom_10' WHEN qtime <= p25 THEN 'bottom_25' WHEN qtime <= p50 THEN 'below_median' ELSE 'above_median' END AS timing_band,
+  CASE WHEN sd > 0 THEN (qtime - m) / sd ELSE 0 END AS qtime_z, coalesce(role_class, 'missing_role') AS role_class,
+  CASE WHEN regexp_matches(supplier, {q(SUPPLIER_INVALID)}) THEN 'weak_or_invalid_brand_list' WHEN regexp_matches(supplier, {q(SUPPLIER_BRANDS)}) OR regexp_matches(supplier, {q(SUPPLIER_CATEGORIES)}) THEN 'has_valid_brand_or_tool_category' ELSE 'unknown_brand_quality' END AS brand_quality,
+  CAST(coalesce(n_items >= 4 AND modal_share >= 0.6, false) AS INTEGER) AS near_straightline, CAST(oe_class NOT IN ('first_person_personal', 'substantive', 'short_neutral') AS INTEGER) AS is_discard_signal, CAST(oe_class = 'first_person_personal' AS INTEGER) AS is_personal,
+  f_hostile + f_survey_meta AS t1_count, f_duplicate_open AS t2_count, len(signals) - f_hostile - f_survey_meta - f_duplicate_open AS t3_count, score AS ml_score
+  FROM scored JOIN x1 USING (respondent_id) LEFT JOIN dk ON dk.t = x1.t LEFT JOIN sr USING (supplier) LEFT JOIN en USING (respondent_id) LEFT JOIN tc ON tc.dataset_id = scored.dataset_id LEFT JOIN tz ON tz.dataset_id = scored.dataset_id LEFT JOIN ro USING (respondent_id))"""

@@ -8,7 +8,7 @@ from respondex.functions import lexicons as L
 from respondex.functions import text as X
 from respondex.operators import text_signals as T
 from respondex.plans.catalog import query
-from respondex.plans.study import RESP, STUDY, chain, norm_sql, q, respondents, words_sql
+from respondex.plans.study import CONTEXT, MISPLACED_SQL, STUDY, WEAK_SQL, any_sql, chain, class_sql, narrative_sql, norm_sql, q, respondents, words_sql
 from respondex.sources.tables import table
 
 LW = "regexp_extract_all({c}, '[A-Za-z'']+')"
@@ -16,14 +16,6 @@ SQUASH = "trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))"
 TXT = f"WITH t AS (SELECT doc_id AS respondent_id, lang AS dataset_id, {SQUASH.format(c='text')} AS s, {norm_sql('text')} AS t FROM documents)"
 
 
-def any_of(col: str, markers) -> str:
-    return "(" + " OR ".join(f"contains({col}, {q(m)})" for m in markers) + ")"
-
-
-def starts(col: str, markers) -> str:
-    return "(" + " OR ".join(f"starts_with({col}, {q(m)})" for m in markers) + ")"
-
-
 def in_list(values) -> str:
     return "(" + ", ".join(q(v) for v in values) + ")"
 
@@ -55,8 +47,8 @@ def c01(spark, sf):
     a AS (SELECT respondent_id, count(*) AS oe_count, CAST(sum(length(t)) AS BIGINT) AS oe_total_chars, max(length(t)) AS oe_max_chars,
       min(length(t)) AS oe_min_chars, avg(length(t)) AS m, stddev_pop(length(t)) AS sd, CAST(sum(len(w)) AS BIGINT) AS oe_total_words,
       max(len(w)) AS oe_max_words,
-      max(CAST({any_of('low', ('none', 'n/a', 'na', 'nothing', 'no opinion', 'no idea'))} AS INTEGER)) AS oe_has_none,
-      max(CAST({any_of('low', ('good', 'fine', 'ok', 'okay', 'nice', 'great'))} AS INTEGER)) AS good,
+      max(CAST({any_sql('low', ('none', 'n/a', 'na', 'nothing', 'no opinion', 'no idea'))} AS INTEGER)) AS oe_has_none,
+      max(CAST({any_sql('low', ('good', 'fine', 'ok', 'okay', 'nice', 'great'))} AS INTEGER)) AS good,
       max(CAST(upper(t) = t AND regexp_matches(t, '\\p{{L}}') AND length(t) > 5 AS INTEGER)) AS oe_all_caps
       FROM r GROUP BY 1)
     SELECT respondent_id, oe_count, oe_total_chars, oe_max_chars, oe_min_chars, round(m, 6) AS oe_mean_chars, round(sd, 6) AS oe_std_chars,
@@ -73,7 +65,7 @@ def c02(spark, sf):
 LOW_EFFORT_SQL = f"""(t <> '' AND (t IN {in_list(L.LOW_EFFORT_WORDS)}
    OR (length(t) >= 5 AND replace(t, substr(t, 1, 1), '') = '')
    OR (regexp_matches(t, '^[a-z]{{1,3}}$') AND t NOT IN {in_list(L.SHORT_WORDS_ALLOWED)})
-   OR {any_of('t', L.KEYBOARD_TOKENS)}))"""
+   OR {any_sql('t', L.KEYBOARD_TOKENS)}))"""
 
 
 @query(
@@ -103,22 +95,6 @@ def c04(spark, sf):
     )
 
 
-def class_sql(t: str = "t", topics=L.TOPIC_MARKERS) -> str:
-    last = f"string_split({t}, ' ')[-1]"
-    return f"""CASE WHEN length({t}) < 3 THEN 'empty'
-      WHEN length({t}) > 10 AND ((length(regexp_replace({t}, '[^aeiou]', '', 'g')) > 0 AND length(regexp_replace({t}, '[^bcdfghjklmnpqrstvwxyz]', '', 'g'))
-           > 5 * length(regexp_replace({t}, '[^aeiou]', '', 'g'))) OR {any_of(t, L.MASH_MARKERS)}) THEN 'gibberish'
-      WHEN {any_of(t, L.PRAISE_MARKERS)} AND length({t}) < 40 THEN 'generic_praise'
-      WHEN {any_of(t, L.THIRD_PERSON_MARKERS)} THEN 'third_person_meta'
-      WHEN {any_of(t, L.OFF_TOPIC_MARKERS)} THEN 'off_topic_incoherent'
-      WHEN length({t}) < 15 AND {any_of(t, L.NON_ANSWER_MARKERS)} THEN 'off_topic_incoherent'
-      WHEN length({t}) > 30 AND right({t}, 1) NOT IN ('.', '!', '?') AND ((length({last}) <= 2 AND {last} NOT IN ('ed', 'er', 'ly', 'ng'))
-           OR ({starts(t, L.TEMPLATE_STARTS)} AND length({t}) < 100)) THEN 'templated_truncated'
-      WHEN {any_of(t, L.FIRST_PERSON_MARKERS)} AND {any_of(t, L.EXPERIENCE_MARKERS)} THEN 'first_person_personal'
-      WHEN NOT {any_of(t, L.FIRST_PERSON_MARKERS)} AND {any_of(t, topics)} THEN 'generic_topic_restatement'
-      WHEN length({t}) > 30 THEN 'substantive' ELSE 'short_neutral' END"""
-
-
 @query(
     "c05_open_text_class",
     f"""{TXT} SELECT respondent_id, text_class, CAST(text_class NOT IN ('first_person_personal', 'substantive', 'short_neutral') AS INTEGER) AS is_discard_signal
@@ -208,17 +184,6 @@ def c09(spark, sf):
     return docs(spark, sf).select("respondent_id", X.repeated_phrase(F.col("open_text")).cast("int").alias("repeated_phrase"))
 
 
-def narrative_sql(t: str = "t", rep: str = "rep", topic: str = STUDY.topic_pattern) -> str:
-    n, u = "len(w)", "len(list_distinct(w))"
-    return f"""CASE WHEN {t} = '' THEN 'blank'
-      WHEN regexp_matches({t}, {q(L.ABUSIVE_PATTERN)}) OR regexp_full_match({t}, {q(L.NON_COOPERATIVE_PATTERN)}) THEN 'non_cooperative'
-      WHEN {rep} THEN 'nonsensical_or_repetitive'
-      WHEN regexp_matches({t}, {q(L.FEEDBACK_NARRATIVE_PATTERN)}) AND NOT regexp_matches({t}, {q(topic)}) AND NOT regexp_matches({t}, {q(L.SUBSTANTIVE_PATTERN)}) THEN 'generic_survey_feedback'
-      WHEN regexp_matches({t}, {q(topic)}) THEN CASE WHEN {n} <= 2 OR {u} <= 2 THEN 'low_information' ELSE 'topic_relevant' END
-      WHEN regexp_matches({t}, {q(L.SUBSTANTIVE_PATTERN)}) THEN CASE WHEN {n} <= 2 OR {u} <= 2 THEN 'low_information' ELSE 'substantive_narrative' END
-      WHEN {n} <= 3 OR {u} <= 2 THEN 'low_information' ELSE 'unclear_product_answer' END"""
-
-
 @query(
     "c10_narrative_quality",
     f"""WITH {REPEAT_CTE}, t AS (SELECT d.doc_id AS respondent_id, {norm_sql('text')} AS t, r.doc_id IS NOT NULL AS rep FROM documents d LEFT JOIN repeated r ON r.doc_id = d.doc_id),
@@ -229,27 +194,12 @@ def c10(spark, sf):
     return docs(spark, sf).select("respondent_id", T.narrative_quality(F.col("open_text"), STUDY.topic_pattern).alias("narrative_quality"))
 
 
-CONTEXT = r"(^|[^a-z])(the|les|der|los)([^a-z]|$)"
-WEAK_WORDS = "list_filter(regexp_extract_all(t, '[a-z0-9'']+'), lambda x: length(x) > 2)"
-SUBST = f"regexp_matches(t, {q(L.SUBSTANTIVE_PATTERN)})"
-PROTECT = f"(regexp_matches(t, {q(L.PROJECT_PATTERN)}) OR regexp_matches(t, {q(CONTEXT)}))"
-RUN5 = "list_bool_or(list_transform(range(1, greatest(length(t) - 3, 1)), lambda i: replace(substr(t, i, 5), substr(t, i, 1), '') = '' AND length(substr(t, i, 5)) = 5))"
-
-
 @query(
     "c11_weak_or_misplaced_lines",
     f"""WITH l AS (SELECT doc_id AS respondent_id, unnest(string_split(text, chr(10))) AS line FROM documents),
     n AS (SELECT respondent_id, {norm_sql('line')} AS t FROM l),
-    w AS (SELECT *, {WEAK_WORDS} AS lw, regexp_extract_all(t, '[a-z0-9'']+') AS aw FROM n),
-    f AS (SELECT respondent_id,
-      (t = '' OR (NOT {PROTECT} AND (regexp_full_match(t, {q(L.NON_RESPONSE_PATTERN)}) OR (NOT {SUBST} AND (
-         regexp_matches(t, '(^|[^a-z])(test|asdf|qwerty|n/?a|dont know|don''t know|no idea|not sure)([^a-z]|$)')
-         OR (len(list_distinct(lw)) <= 3 AND coalesce(list_max(list_transform(list_distinct(lw), lambda d: len(list_filter(lw, lambda y: y = d)))), 0) >= 3)
-         OR coalesce({RUN5}, false)))))) AS weak,
-      (t = '' OR regexp_matches(t, {q(L.CONTACT_PATTERN)}) OR (NOT ({SUBST} OR {PROTECT}) AND (len(aw) = 0 OR (len(aw) <= 6 AND (
-         len(list_filter(aw, lambda x: length(x) <= 3)) >= greatest(3, len(aw) - 1)
-         OR len(list_filter(aw, lambda x: regexp_matches(x, '[aeiouy]'))) <= greatest(1, len(aw) // 3)))))) AS misplaced
-      FROM w)
+    w AS (SELECT *, list_filter(regexp_extract_all(t, '[a-z0-9'']+'), lambda x: length(x) > 2) AS lw3, regexp_extract_all(t, '[a-z0-9'']+') AS aw FROM n),
+    f AS (SELECT respondent_id, {WEAK_SQL} AS weak, {MISPLACED_SQL} AS misplaced FROM w)
     SELECT respondent_id, count(*) AS n_lines, CAST(sum(CAST(weak AS INTEGER)) AS BIGINT) AS weak_lines,
       CAST(sum(CAST(misplaced AS INTEGER)) AS BIGINT) AS misplaced_lines FROM f GROUP BY 1""",
 )
@@ -379,7 +329,7 @@ def c18(spark, sf):
 
 @query(
     "c19_topic_mismatch",
-    f"""{TXT} SELECT respondent_id, CAST(len(string_split(t, ' ')) >= 5 AND NOT {any_of('t', STUDY.topic_keywords)} AS INTEGER) AS topic_mismatch FROM t""",
+    f"""{TXT} SELECT respondent_id, CAST(len(string_split(t, ' ')) >= 5 AND NOT {any_sql('t', STUDY.topic_keywords)} AS INTEGER) AS topic_mismatch FROM t""",
 )
 def c19(spark, sf):
     return docs(spark, sf).select("respondent_id", T.topic_mismatch(F.col("open_text"), STUDY.topic_keywords).cast("int").alias("topic_mismatch"))
