@@ -26,50 +26,60 @@ FAMILIES = {
 }
 
 
-def signal_matrix(frame: DataFrame, cfg: SignalConfig) -> DataFrame:
-    """One row per respondent: text measures, 0/1 signals ``f_*``, guards ``g_*`` and both as sets.
+def text_facts(df: DataFrame, id_col: str, text: str, cfg: SignalConfig) -> DataFrame:
+    """What the signals need to know about a text, one narrow row per respondent.
 
-    Texts are compared by digest; the text itself is dropped before any shuffle
-    for duplicate counts.
+    Runs on the text table alone, before any join, so no text is ever shuffled;
+    equal texts and equal templates are compared by digest later.
     """
-    t = X.norm(F.col("open_text"))
-    df = frame.withColumn("_t", t).withColumn("_w", X.lower_words(F.col("_t")))
-    df = df.withColumn("word_count", F.size("_w")).withColumn("unique_token_ratio", X.unique_ratio(F.col("_w")))
-    sig = X.signature(F.col("_t"), cfg.signature_chars)
-    blanks = [F.col("qtime").isNull(), F.col("n_items").isNull(), F.coalesce(F.col("supplier"), F.lit("")) == "", F.col("_t") == ""]
-    missing = sum(b.cast("int") for b in blanks) / F.lit(float(len(blanks)))
+    t = X.norm(F.col(text))
+    d = df.select(id_col, t.alias("_t")).withColumn("_w", X.lower_words(F.col("_t"))).withColumn("_sig", X.signature(F.col("_t"), cfg.signature_chars))
+    w, n = F.col("_w"), F.size("_w")
 
     def flag(c: Column) -> Column:
         return F.coalesce(c.cast("int"), F.lit(0))
 
-    generic = (F.col("word_count") > 0) & (F.col("_t").rlike(cfg.generic_pattern) | (F.col("word_count") <= cfg.low_words))
-    hits = X.hits_in(F.col("_w"), cfg.domain_terms) if cfg.domain_terms else F.lit(0)
-    df = df.select(
-        *[c for c in frame.columns if c != "open_text"],
-        "word_count",
+    generic = (n > 0) & (F.col("_t").rlike(cfg.generic_pattern) | (n <= cfg.low_words))
+    ratio = X.unique_ratio(w)
+    hits = X.hits_in(w, cfg.domain_terms) if cfg.domain_terms else F.lit(0)
+    return d.select(
+        id_col,
+        n.alias("word_count"),
         F.length("_t").alias("char_count"),
-        "unique_token_ratio",
-        missing.alias("missing_rate"),
-        F.when(F.length("_t") >= cfg.min_duplicate_chars, F.md5("_t")).alias("_dk"),
-        F.when(F.length(sig) >= cfg.min_signature_chars, F.md5(sig)).alias("_sk"),
-        flag(F.col("qtime") < cfg.fast_seconds).alias("f_fast_complete"),
+        ratio.alias("unique_token_ratio"),
+        F.when(F.length("_t") >= cfg.min_duplicate_chars, F.md5("_t")).alias("text_digest"),
+        F.when(F.length("_sig") >= cfg.min_signature_chars, F.md5("_sig")).alias("template_digest"),
         flag(generic).alias("f_open_generic"),
-        flag((F.col("word_count") >= cfg.long_words) & (F.col("unique_token_ratio") < cfg.low_unique_ratio)).alias("f_low_specificity"),
+        flag((n >= cfg.long_words) & (ratio < cfg.low_unique_ratio)).alias("f_low_specificity"),
         flag(F.col("_t").rlike(cfg.meta_pattern)).alias("f_survey_meta"),
         flag(F.col("_t").rlike(cfg.polished_pattern)).alias("f_polished"),
-        flag((F.col("n_items") >= cfg.matrix_min_items) & (F.col("modal_share") >= cfg.matrix_modal_share)).alias("f_matrix_uniform"),
-        flag(missing > cfg.high_missing).alias("f_high_missing"),
         flag(X.repeated_phrase(F.col("_t"))).alias("f_repeated_phrase"),
         flag(F.col("_t").rlike(cfg.hostile_pattern)).alias("f_hostile"),
         flag(F.col("_t").rlike(cfg.grounded_pattern)).alias("g_grounded"),
-        flag((F.col("word_count") >= 8) & ~generic).alias("g_specific_detail"),
+        flag((n >= 8) & ~generic).alias("g_specific_detail"),
         flag(hits >= cfg.extra.get("domain_rich_hits", 4)).alias("g_domain_rich"),
     )
-    df = R.with_group_stats(df, ["_dk"], "respondent_id", _dn=F.count(F.lit(1)))
-    df = R.with_group_stats(df, ["_sk"], "respondent_id", _sn=F.count(F.lit(1)))
-    df = df.withColumn("dup_count", F.when(F.col("_dk").isNull(), F.lit(0)).otherwise(F.col("_dn")))
+
+
+def signal_matrix(frame: DataFrame, cfg: SignalConfig) -> DataFrame:
+    """One row per respondent: 0/1 signals ``f_*``, guards ``g_*`` and both as sets.
+
+    ``frame`` has the text facts next to supplier, timing and grid columns.
+    """
+
+    def flag(c: Column) -> Column:
+        return F.coalesce(c.cast("int"), F.lit(0))
+
+    blanks = [F.col("qtime").isNull(), F.col("n_items").isNull(), F.coalesce(F.col("supplier"), F.lit("")) == "", F.coalesce("char_count", F.lit(0)) == 0]
+    missing = sum(b.cast("int") for b in blanks) / F.lit(float(len(blanks)))
+    df = frame.withColumn("missing_rate", missing)
+    df = df.withColumn("f_fast_complete", flag(F.col("qtime") < cfg.fast_seconds)).withColumn("f_high_missing", flag(F.col("missing_rate") > cfg.high_missing))
+    df = df.withColumn("f_matrix_uniform", flag((F.col("n_items") >= cfg.matrix_min_items) & (F.col("modal_share") >= cfg.matrix_modal_share)))
+    df = R.with_group_stats(df, ["text_digest"], "respondent_id", _dn=F.count(F.lit(1)))
+    df = R.with_group_stats(df, ["template_digest"], "respondent_id", _sn=F.count(F.lit(1)))
+    df = df.withColumn("dup_count", F.when(F.col("text_digest").isNull(), F.lit(0)).otherwise(F.col("_dn")))
     df = df.withColumn("f_duplicate_open", (F.col("dup_count") >= 2).cast("int"))
-    df = df.withColumn("f_template_cluster", flag(F.col("_sk").isNotNull() & (F.col("_sn") >= 2))).drop("_dk", "_sk", "_dn", "_sn")
+    df = df.withColumn("f_template_cluster", flag(F.col("template_digest").isNotNull() & (F.col("_sn") >= 2))).drop("template_digest", "_dn", "_sn")
     return df.withColumn("signals", F.array_compact(F.array(*[F.when(F.col(f"f_{s}") == 1, s) for s in SIGNALS]))).withColumn(
         "guards", F.array_compact(F.array(*[F.when(F.col(f"g_{g}") == 1, g) for g in GUARDS]))
     )

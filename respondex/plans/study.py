@@ -20,9 +20,9 @@ from respondex.operators import matrix as M
 from respondex.operators import text_signals as T
 from respondex.operators import timing as TM
 from respondex.operators.scoring import FACTOR_TERMS
-from respondex.operators.signals import GUARDS, SIGNALS, RiskWeights, evaluation_score, frozen_risk, signal_matrix
+from respondex.operators.signals import GUARDS, SIGNALS, RiskWeights, evaluation_score, frozen_risk, signal_matrix, text_facts
 from respondex.sources.stages import stage
-from respondex.sources.tables import table
+from respondex.sources.tables import spread, table
 
 # The tables hold invented prose, so the study's vocabulary is chosen to occur in it.
 STUDY = SignalConfig(
@@ -53,6 +53,12 @@ def respondents(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(client_labels(spark, sf), "respondent_id", "left")
 
 
+def respondent_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Only ids and texts, in enough partitions for work that is heavy per row."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return d.select(F.col("doc_id").alias("respondent_id"), F.col("text").alias("open_text"))
+
+
 def client_labels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").select(
         F.col("doc_id").alias("respondent_id"),
@@ -181,12 +187,21 @@ def words_sql(c: str) -> str:
     return WORDS.format(c=c)
 
 
+def text_facts_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return stage(spark, sf, "text_facts", lambda: text_facts(respondent_texts(spark, sf), "respondent_id", "open_text", STUDY))
+
+
 def scored_frame(spark: SparkSession, sf: str) -> DataFrame:
     """Signals, frozen risk with weights that spread over the study's texts, and the evaluation score.
 
     Most queries start here, so it is a stage table: the texts are read once.
     """
-    return stage(spark, sf, "scored", lambda: evaluation_score(frozen_risk(signal_matrix(respondent_frame(spark, sf), STUDY), STUDY_WEIGHTS)))
+
+    def build() -> DataFrame:
+        frame = respondent_frame(spark, sf).drop("open_text").join(text_facts_frame(spark, sf), "respondent_id", "left")
+        return evaluation_score(frozen_risk(signal_matrix(frame, STUDY), STUDY_WEIGHTS))
+
+    return stage(spark, sf, "scored", build)
 
 
 STUDY_WEIGHTS = RiskWeights(specific=0.05, client_scale=1.3)
@@ -248,9 +263,10 @@ def triage_frame(spark: SparkSession, sf: str) -> DataFrame:
     return stage(spark, sf, "triage", lambda: _triage(spark, sf))
 
 
-def _triage(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.col("open_text")
-    t = X.norm(c)
+def _text_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """What the decision rules read from the text, one narrow row per respondent."""
+    c = t = F.col("open_text")
+    texts = respondent_texts(spark, sf).withColumn("open_text", X.norm(c))
     n_words, n_sent = F.regexp_count(t, F.lit(X.LATIN_WORD)), F.greatest(F.regexp_count(t, F.lit(r"[.!?]+")), F.lit(1))
     syl = F.regexp_count(t, F.lit("[aeiouyàâäéèêëíîïóôöúûüñ]+"))
     level = F.round(0.39 * n_words / n_sent + 11.8 * syl / F.greatest(n_words, F.lit(1)) - 15.59, 4)
@@ -258,7 +274,7 @@ def _triage(spark: SparkSession, sf: str) -> DataFrame:
     def bit(x):
         return x.cast("int")
 
-    texts = respondents(spark, sf).select(
+    return texts.select(
         "respondent_id",
         T.open_text_class(c).alias("oe_class"),
         T.narrative_quality(c, STUDY.topic_pattern).alias("narrative_quality"),
@@ -274,7 +290,10 @@ def _triage(spark: SparkSession, sf: str) -> DataFrame:
         bit(X.contains_any(t, FACTOR_TERMS)).alias("factor_terms"),
         F.when(t != "", F.md5(t)).alias("_k"),
     )
-    s = scored_frame(spark, sf).join(texts, "respondent_id")
+
+
+def _triage(spark: SparkSession, sf: str) -> DataFrame:
+    s = scored_frame(spark, sf).join(stage(spark, sf, "text_reads", lambda: _text_reads(spark, sf)), "respondent_id")
     s = R.with_group_stats(
         s, ["_k"], "respondent_id", _n=F.count(F.lit(1)), _s1=F.min("supplier"), _s2=F.max("supplier"), _d1=F.min("dataset_id"), _d2=F.max("dataset_id")
     )
