@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_AREAS = ("sources", "profiling", "text", "timing", "matrix", "duplicates", "similarity", "lift", "scoring", "evaluation", "integrity", "models")
+_AREAS = ("sources", "profiling", "text", "timing", "matrix", "duplicates", "similarity", "lift", "scoring", "evaluation", "integrity", "models", "streaming")
 
 
 def load_catalog():
