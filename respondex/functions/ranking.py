@@ -39,15 +39,18 @@ def ranked_values(
     groups: Sequence[str],
     value: str,
     sums: dict[str, Column] | None = None,
+    count: Column | None = None,
 ) -> DataFrame:
     """One row per (group, distinct value) with running totals in value order.
 
+    ``count`` says for how many rows a row stands (default one).
+
     Output: groups, value, ``n``, ``n_before`` (rows with a smaller value),
     ``n_total`` (rows of the group), and for every entry of ``sums`` the columns
     ``x``, ``x_before``, ``x_total``.
     """
     g = list(groups)
-    measures = {"n": F.count(F.lit(1)), **{k: F.sum(c) for k, c in (sums or {}).items()}}
+    measures = {"n": F.count(F.lit(1)) if count is None else F.sum(count), **{k: F.sum(c) for k, c in (sums or {}).items()}}
     names = list(measures)
     per_value = (
         df.where(F.col(value).isNotNull())
@@ -83,7 +86,11 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str,
     ``linear`` puts the smallest value at 0 and the largest at 1; ``exclusive``
     uses positions p*(n+1), clipped to the data.
     """
-    rv = ranked_values(df, groups, value)
+    return quantiles_of(ranked_values(df, groups, value), groups, value, probs, method)
+
+
+def quantiles_of(rv: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float], method: str = "linear") -> DataFrame:
+    """Quantiles from the result of ``ranked_values``."""
     n, before, v = F.col("n_total"), F.col("n_before"), F.col(value).cast("double")
     after = before + F.col("n")
     aggs = [F.max("n_total").alias("n_rows")]

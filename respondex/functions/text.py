@@ -81,7 +81,7 @@ def ngrams(tokens: Column, n: int) -> Column:
 def occurs_at_least(items: Column, k: int) -> Column:
     """True when some element occurs ``k`` times: after a sort, equal neighbours are k-1 apart."""
     return let(
-        F.array_sort(items),
+        F.sort_array(items),
         lambda s: F.when(
             F.size(s) >= k,
             F.exists(

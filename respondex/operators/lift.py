@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from respondex.functions import ranking as R
+from respondex.session import ensure_checkpoint_dir
 
 
 def rate(num: Column, den: Column) -> Column:
@@ -213,20 +214,23 @@ _PROBS = {"p01": 0.01, "p05": 0.05, "p10": 0.10, "p25": 0.25, "median": 0.50, "p
 def numeric_summary(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Moments, quantiles, MAD, trimmed and winsorised mean per group, exact for groups of any size."""
     g = list(groups)
-    d = df.where(F.col(value).isNotNull())
-    moments = d.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("count"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")
+    ensure_checkpoint_dir(df.sparkSession)
+    rv = R.ranked_values(df, g, value).checkpoint()  # one row per distinct value; everything below reads this
+    n, v = F.col("n"), F.col(value)
+    mean = F.sum(v * n) / F.sum("n")
+    qs = R.quantiles_of(rv, g, value, _PROBS).drop("n_rows")
+    base = rv.groupBy(*g).agg(F.sum("n").alias("count"), mean.alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
+    both = rv.select(*g, value, "n").join(qs.select(*g, "median", "p05", "p95"), g).join(base.select(*g, "mean"), g)
+    mad = R.quantiles_of(R.ranked_values(both.select(*g, F.abs(v - F.col("median")).alias("_dev"), "n"), g, "_dev", count=F.col("n")), g, "_dev", {"mad": 0.5}).drop("n_rows")
+    spread = both.groupBy(*g).agg(
+        F.when(F.sum("n") > 1, F.sqrt(F.sum((v - F.col("mean")) * (v - F.col("mean")) * n) / (F.sum("n") - 1))).otherwise(0.0).alias("std"),
+        (F.sum(F.least(F.greatest(v, F.col("p05")), F.col("p95")) * n) / F.sum("n")).alias("winsorized_mean"),
     )
-    qs = R.quantiles(d, g, value, _PROBS).drop("n_rows")
-    both = d.join(qs.select(*g, "median", "p05", "p95"), g)
-    mad = R.quantiles(both.select(*g, F.abs(F.col(value) - F.col("median")).alias("_dev")), g, "_dev", {"mad": 0.5}).drop("n_rows")
-    winsor = both.groupBy(*g).agg(F.avg(F.least(F.greatest(F.col(value), F.col("p05")), F.col("p95"))).alias("winsorized_mean"))
-    rv = R.ranked_values(d, g, value)
     lo = F.floor(F.col("n_total") * 0.05)
     hi = F.greatest(F.floor(F.col("n_total") * 0.95), lo + 1)
     inside = F.greatest(F.least(F.col("n_before") + F.col("n"), hi) - F.greatest(F.col("n_before"), lo), F.lit(0))
-    trimmed = rv.groupBy(*g).agg((F.sum(F.col(value) * inside) / F.sum(inside)).alias("trimmed_mean"))
-    out = moments.join(qs, g).join(mad, g).join(winsor, g).join(trimmed, g)
+    trimmed = rv.groupBy(*g).agg((F.sum(v * inside) / F.sum(inside)).alias("trimmed_mean"))
+    out = base.join(spread, g).join(qs, g).join(mad, g).join(trimmed, g)
     return out.withColumn("iqr", F.col("p75") - F.col("p25"))
 
 

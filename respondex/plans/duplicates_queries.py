@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from respondex.operators import duplicates as D
 from respondex.plans.catalog import query
-from respondex.plans.study import STUDY, client_labels, norm_sql, q, respondents
+from respondex.plans.study import STUDY, client_labels, norm_sql, q
 from respondex.plans.text_queries import SIG_SQL, lines_as_fields
-from respondex.sources.tables import table
+from respondex.sources.tables import spread, table
 
 COMPACT = "array_to_string(list_filter(string_split(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 3), ' ')"
 
 
 def docs(spark, sf):
-    return respondents(spark, sf).select("respondent_id", "dataset_id", "supplier", "open_text")
+    d = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"))
+    return d.select(F.col("doc_id").alias("respondent_id"), F.col("lang").alias("dataset_id"), F.col("source").alias("supplier"), F.col("text").alias("open_text"))
 
 
 @query(

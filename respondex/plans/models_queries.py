@@ -56,7 +56,7 @@ def d30(spark, sf):
 
 @query("p03_logistic_risk_oof")
 def p03(spark, sf):
-    d = frame(spark, sf).where("rejected IS NOT NULL")
+    d = stage(spark, sf, "labelled_rows", lambda: frame(spark, sf).where("rejected IS NOT NULL"))
     return M.leave_one_out(d, FEATURES, "rejected", "dataset_id", DATASETS, "text_digest").select("respondent_id", "dataset_id", "rejected", "probability")
 
 

@@ -8,8 +8,8 @@ from respondex.functions import lexicons as L
 from respondex.functions import text as X
 from respondex.operators import text_signals as T
 from respondex.plans.catalog import query
-from respondex.plans.study import CONTEXT, MISPLACED_SQL, STUDY, WEAK_SQL, any_sql, chain, class_sql, narrative_sql, norm_sql, q, respondents, words_sql
-from respondex.sources.tables import table
+from respondex.plans.study import CONTEXT, MISPLACED_SQL, STUDY, WEAK_SQL, any_sql, chain, class_sql, narrative_sql, norm_sql, q, words_sql
+from respondex.sources.tables import spread, table
 
 LW = "regexp_extract_all({c}, '[A-Za-z'']+')"
 SQUASH = "trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))"
@@ -21,7 +21,9 @@ def in_list(values) -> str:
 
 
 def docs(spark, sf):
-    return respondents(spark, sf).select("respondent_id", "dataset_id", "open_text")
+    """Texts without labels: no join, and enough partitions for work that is heavy per row."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    return d.select(F.col("doc_id").alias("respondent_id"), F.col("lang").alias("dataset_id"), F.col("text").alias("open_text"))
 
 
 @query(
