@@ -170,7 +170,7 @@ def d12(spark, sf):
     m AS (SELECT dataset_id, measure, avg(v) FILTER (rejected = 0) AS am, avg(v) FILTER (rejected = 1) AS rm, coalesce(var_samp(v) FILTER (rejected = 0), 0) AS va, coalesce(var_samp(v) FILTER (rejected = 1), 0) AS vb FROM u GROUP BY 1, 2),
     c AS (SELECT x.dataset_id, x.measure, sum(sign(x.v - y.v)) / count(*)::DOUBLE AS cd FROM u x JOIN u y ON x.dataset_id = y.dataset_id AND x.measure = y.measure AND x.rejected = 1 AND y.rejected = 0 GROUP BY 1, 2),
     h AS (SELECT dataset_id, 2 * (asin(sqrt(coalesce(avg(f_repeated_phrase) FILTER (rejected = 1), 0))) - asin(sqrt(coalesce(avg(f_repeated_phrase) FILTER (rejected = 0), 0)))) AS h FROM lab GROUP BY 1)
-    SELECT dataset_id, measure, round(am, 5) AS accepted_mean, round(rm, 5) AS rejected_mean, round(CASE WHEN sqrt((va + vb) / 2) > 0 THEN (rm - am) / sqrt((va + vb) / 2) ELSE 0 END, 5) AS cohen_d, round(cd, 6) AS cliffs_delta, round(h, 6) AS repeated_phrase_cohen_h FROM m JOIN c USING (dataset_id, measure) JOIN h USING (dataset_id)""",
+    SELECT dataset_id, measure, round(am, 5) AS accepted_mean, round(rm, 5) AS rejected_mean, round(CASE WHEN sqrt((va + vb) / 2) > 0 THEN (rm - am) / sqrt((va + vb) / 2) ELSE 0 END, 5) AS cohen_d, round(cd, 6) AS cliffs_delta, round(h, 6) AS repeated_phrase_cohen_h FROM m LEFT JOIN c USING (dataset_id, measure) JOIN h USING (dataset_id)""",
 )
 def d13(spark, sf):
     s = D.labelled(scored_frame(spark, sf))
@@ -226,7 +226,7 @@ def d16(spark, sf):
     f"""{LAB}, u AS ({' UNION ALL '.join(f"SELECT dataset_id, rejected, '{c}' AS col, {c}::DOUBLE AS v FROM lab" for c in ('word_count', 'unique_token_ratio', 'modal_share'))}),
     b AS (SELECT dataset_id, col, count(*) FILTER (rejected = 0) AS an, avg(v) FILTER (rejected = 0) AS am, coalesce(stddev_samp(v) FILTER (rejected = 0), 0) AS asd, count(*) FILTER (rejected = 1) AS rn, avg(v) FILTER (rejected = 1) AS rm, coalesce(stddev_samp(v) FILTER (rejected = 1), 0) AS rsd FROM u GROUP BY 1, 2),
     a AS (SELECT x.dataset_id, x.col, sum(CASE WHEN x.v > y.v THEN 1.0::DOUBLE WHEN x.v = y.v THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) / count(*) AS auc FROM u x JOIN u y ON x.dataset_id = y.dataset_id AND x.col = y.col AND x.rejected = 1 AND y.rejected = 0 AND x.v IS NOT NULL AND y.v IS NOT NULL GROUP BY 1, 2),
-    e AS (SELECT b.*, auc, CASE WHEN sqrt((asd * asd + rsd * rsd) / 2) > 0 THEN (rm - am) / sqrt((asd * asd + rsd * rsd) / 2) ELSE 0 END AS eff FROM b JOIN a USING (dataset_id, col)),
+    e AS (SELECT b.*, coalesce(auc, 0.5) AS auc, CASE WHEN sqrt((asd * asd + rsd * rsd) / 2) > 0 THEN (rm - am) / sqrt((asd * asd + rsd * rsd) / 2) ELSE 0 END AS eff FROM b LEFT JOIN a USING (dataset_id, col)),
     f AS (SELECT *, round(CASE WHEN auc < 0.5 THEN -eff ELSE eff END, 4) AS effect_size, round(CASE WHEN auc < 0.5 THEN 1 - auc ELSE auc END, 4) AS au FROM e)
     SELECT col AS "column", count(*) AS datasets, CAST(sum(an) AS BIGINT) AS support, CAST(sum(rn) AS BIGINT) AS rejected_support, round(avg(au), 6) AS mean_auroc, max(au) AS max_auroc, round(avg(effect_size), 6) AS mean_effect, round(stddev_samp(effect_size), 6) AS heterogeneity,
       CASE WHEN count(*) >= 5 THEN 'cross_dataset' WHEN count(*) >= 2 THEN 'survey_family_specific' ELSE 'survey_specific' END AS transfer_class FROM f GROUP BY 1""",
@@ -374,7 +374,7 @@ def d24(spark, sf):
 @query(
     "d25_label_lift_of_concerns",
     f"""WITH {COH}, x AS (SELECT cs.*, 1 - quality AS rejected FROM cs JOIN labels ON doc_id = user_id), z AS (SELECT sum(rejected) AS nr, sum(1 - rejected) AS na FROM x), cx AS (SELECT rejected, unnest(list_concat(hard, soft)) AS concern FROM x), c AS (SELECT concern, sum(rejected) AS r, sum(1 - rejected) AS a FROM cx GROUP BY 1)
-    SELECT concern, round(r / nr::DOUBLE, 4) AS rejected_rate, round(a / na::DOUBLE, 4) AS accepted_rate, round((r / nr::DOUBLE) / greatest(a / na::DOUBLE, 0.001::DOUBLE), 2) AS lift FROM c, z""",
+    SELECT concern, round(coalesce(r / nullif(nr, 0)::DOUBLE, 0), 4) AS rejected_rate, round(coalesce(a / nullif(na, 0)::DOUBLE, 0), 4) AS accepted_rate, round(coalesce(r / nullif(nr, 0)::DOUBLE, 0) / greatest(coalesce(a / nullif(na, 0)::DOUBLE, 0), 0.001::DOUBLE), 2) AS lift FROM c, z""",
 )
 def d25(spark, sf):
     labels = client_labels(spark, sf).select(F.col("respondent_id").alias("user_id"), "rejected")

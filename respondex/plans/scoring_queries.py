@@ -128,11 +128,11 @@ STEPS_SQL = (
     (f"{_free} AND is_personal = 1", 0.15, 0, "personal experience"), (f"{_free} AND char_count > 100 AND NOT ({_bad})", 0.08, 0, "substantive open end"), (f"{_free} AND answer_entropy > 2.5", 0.05, 0, None),
     (f"{_free} AND supplier_reject_rate > 0 AND supplier_reject_rate < 15", 0.05, 0, None), (f"{_free} AND timing_band = 'above_median'", 0.05, 0, None), (f"{_free} AND misspelled = 1", 0.05, 0, "natural misspellings"),
 )
-CONV = f"""{TRIAGE}, cv0 AS (SELECT *, {' + '.join(f"CASE WHEN {c} THEN {v}::DOUBLE ELSE 0.0::DOUBLE END" for c, v, _, _ in STEPS_SQL)} AS sc, {' + '.join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for c, _, n, _ in STEPS_SQL if n)} AS concerns,
+CONV = f"""{TRIAGE}, cv0 AS MATERIALIZED (SELECT *, {' + '.join(f"CASE WHEN {c} THEN {v}::DOUBLE ELSE 0.0::DOUBLE END" for c, v, _, _ in STEPS_SQL)} AS sc, {' + '.join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for c, _, n, _ in STEPS_SQL if n)} AS concerns,
   list_filter([{', '.join(f"CASE WHEN {c} THEN '{r}' END" for c, _, _, r in STEPS_SQL if r)}], lambda x: x IS NOT NULL) AS rs FROM triage),
   cv AS (SELECT *, round(least(1.0::DOUBLE, greatest(-1.0::DOUBLE, sc + CASE WHEN concerns >= 4 THEN -0.1::DOUBLE WHEN concerns >= 3 THEN -0.05::DOUBLE ELSE 0.0::DOUBLE END)), 6) AS convergence_score, CASE WHEN len(rs) = 0 THEN ['clean profile'] ELSE rs END AS reasons FROM cv0),
   pa AS (SELECT *, CAST(char_count > 150 AS INTEGER) + CAST(answer_entropy > 3 AS INTEGER) + CAST(supplier_reject_rate > 0 AND supplier_reject_rate < 12 AS INTEGER) + CAST(coalesce(timing_band = 'above_median' AND qtime > 900, false) AS INTEGER) AS protective_count FROM cv),
-  ra AS (SELECT *, CASE WHEN convergence_score >= 0 THEN 'KEEP' WHEN t1_count > 0 THEN 'DISCARD' WHEN convergence_score < -0.3 AND protective_count >= 2 THEN 'REVIEW' WHEN convergence_score < -0.3 THEN 'DISCARD' ELSE 'REVIEW' END AS judgment,
+  ra AS MATERIALIZED (SELECT *, CASE WHEN convergence_score >= 0 THEN 'KEEP' WHEN t1_count > 0 THEN 'DISCARD' WHEN convergence_score < -0.3 AND protective_count >= 2 THEN 'REVIEW' WHEN convergence_score < -0.3 THEN 'DISCARD' ELSE 'REVIEW' END AS judgment,
     CASE WHEN convergence_score >= 0 THEN convergence_score WHEN t1_count > 0 THEN least(convergence_score, -0.8::DOUBLE) WHEN convergence_score < -0.3 AND protective_count >= 2 THEN greatest(convergence_score, -0.15::DOUBLE) ELSE convergence_score END AS final_score FROM pa)"""
 
 
@@ -222,12 +222,12 @@ RISK_SQL = (
     ("speed_risk", f"qtime < {STUDY.fast_seconds}"), ("duplicate_ip_risk", "duplicate_type = 'independent_duplicate_cluster'"),
 )
 RK = lambda n: f"list_contains(rf, '{n}')"
-AUDIT = f"""{TRIAGE}, au0 AS (SELECT *, {list_sql(RISK_SQL)} AS rf FROM triage), au AS (SELECT *, CASE WHEN role_class = 'trade_relevant' AND brand_quality IN ('has_valid_brand_or_tool_category', 'unknown_possible_brand_only') AND narrative_quality IN ('topic_relevant', 'substantive_narrative') AND NOT {RK('speed_risk')} AND NOT {RK('duplicate_ip_risk')} THEN 'keep_no_issue_from_independent_audit'
+AUDIT = f"""{TRIAGE}, au0 AS MATERIALIZED (SELECT *, {list_sql(RISK_SQL)} AS rf FROM triage), au AS MATERIALIZED (SELECT *, CASE WHEN role_class = 'trade_relevant' AND brand_quality IN ('has_valid_brand_or_tool_category', 'unknown_possible_brand_only') AND narrative_quality IN ('topic_relevant', 'substantive_narrative') AND NOT {RK('speed_risk')} AND NOT {RK('duplicate_ip_risk')} THEN 'keep_no_issue_from_independent_audit'
   WHEN {RK('narrative_discard_risk')} OR ({RK('role_fit_risk')} AND ({RK('duplicate_ip_risk')} OR {RK('brand_answer_risk')} OR {RK('speed_risk')})) OR ({RK('narrative_quality_risk')} AND {RK('speed_risk')}) THEN 'review_for_possible_discard' WHEN len(rf) > 0 THEN 'review_or_pm_calibration' ELSE 'keep_no_issue_from_independent_audit' END AS suggested_action FROM au0),
-  ct AS (SELECT *, {list_sql((('usable narrative', "narrative_quality IN ('topic_relevant', 'substantive_narrative')"), ('concrete project or product answer', 'project_context = 1'), ('spirited answer with substance', 'repeated_characters = 1 AND enthusiastic = 1 AND substantive_context = 1')))} AS ce FROM au),
-  vf0 AS (SELECT *, {list_sql((('hostile language', 'f_hostile = 1'), ('direct non-response', 'non_response = 1'), ('speed with weak narrative', f"(weak_text = 1 OR misplaced_text = 1) AND {RK('speed_risk')} AND len(ce) = 0"), ('fast without meaningful narrative', f"{RK('speed_risk')} AND len(ce) = 0"),
+  ct AS MATERIALIZED (SELECT *, {list_sql((('usable narrative', "narrative_quality IN ('topic_relevant', 'substantive_narrative')"), ('concrete project or product answer', 'project_context = 1'), ('spirited answer with substance', 'repeated_characters = 1 AND enthusiastic = 1 AND substantive_context = 1')))} AS ce FROM au),
+  vf0 AS MATERIALIZED (SELECT *, {list_sql((('hostile language', 'f_hostile = 1'), ('direct non-response', 'non_response = 1'), ('speed with weak narrative', f"(weak_text = 1 OR misplaced_text = 1) AND {RK('speed_risk')} AND len(ce) = 0"), ('fast without meaningful narrative', f"{RK('speed_risk')} AND len(ce) = 0"),
     ('repetitive narrative', "narrative_quality = 'nonsensical_or_repetitive' AND len(ce) = 0"), ('narrative discard risk', f"{RK('narrative_discard_risk')} AND len(ce) = 0"), ('role fit invalid', f"{RK('role_fit_risk')} AND len(ce) = 0"), ('duplicate with straightlining', 'f_duplicate_open = 1 AND f_matrix_uniform = 1 AND len(ce) = 0'), ('straightlining with low effort', 'f_matrix_uniform = 1 AND f_open_generic = 1 AND len(ce) = 0')))} AS db FROM ct),
-  vf AS (SELECT *, CASE WHEN len(db) > 0 THEN 'discard' ELSE 'keep_with_review_note' END AS final_decision FROM vf0)"""
+  vf AS MATERIALIZED (SELECT *, CASE WHEN len(db) > 0 THEN 'discard' ELSE 'keep_with_review_note' END AS final_decision FROM vf0)"""
 
 
 def audited(spark, sf):
@@ -245,7 +245,7 @@ def r16(spark, sf):
     return v.select("respondent_id", F.array_join("counterevidence", "; ").alias("counterevidence"), F.array_join("discard_basis", "; ").alias("discard_basis"), "early_discard", "final_decision")
 
 
-THEME = f"""{AUDIT}, tm AS (SELECT *, CASE WHEN suggested_action = 'review_for_possible_discard' THEN CASE WHEN narrative_quality = 'nonsensical_or_repetitive' THEN 'repetitive or nonsensical narrative discard candidate' WHEN {RK('narrative_quality_risk')} AND {RK('speed_risk')} THEN 'speed plus weak or evasive narrative discard candidate'
+THEME = f"""{AUDIT}, tm AS MATERIALIZED (SELECT *, CASE WHEN suggested_action = 'review_for_possible_discard' THEN CASE WHEN narrative_quality = 'nonsensical_or_repetitive' THEN 'repetitive or nonsensical narrative discard candidate' WHEN {RK('narrative_quality_risk')} AND {RK('speed_risk')} THEN 'speed plus weak or evasive narrative discard candidate'
     WHEN f_duplicate_open = 1 AND f_matrix_uniform = 1 THEN 'independent duplicate cluster plus straightline discard candidate' WHEN f_duplicate_open = 1 AND f_fast_complete = 1 THEN 'independent duplicate cluster plus speed discard candidate' WHEN f_matrix_uniform = 1 THEN 'straightline plus weak evidence discard candidate'
     WHEN {RK('role_fit_risk')} THEN 'role-fit risk discard candidate' WHEN {RK('brand_answer_risk')} THEN 'brand answer risk discard candidate' WHEN {RK('duplicate_ip_risk')} THEN 'independent duplicate cluster discard candidate' ELSE 'non-cooperative or evasive narrative discard candidate' END
   ELSE CASE WHEN f_fast_complete = 1 AND narrative_quality IN ('topic_relevant', 'substantive_narrative') THEN 'speed-only plausible narrative answer kept with note' WHEN narrative_quality = 'generic_survey_feedback' THEN 'generic survey-feedback narrative kept for calibration'

@@ -215,16 +215,16 @@ _S = STUDY
 _IN = "(" + ", ".join(q(x) for x in _S.domain_terms) + ")"
 SIG = f"""{FRAME},
 s0 AS (SELECT frame.*, {norm_sql('open_text')} AS t FROM frame),
-s1 AS (SELECT s0.*, {words_sql('t')} AS w, substr(trim(regexp_replace(regexp_replace(regexp_replace(t, '[0-9]+', '#', 'g'), '[^a-z# ]+', ' ', 'g'), ' +', ' ', 'g')), 1, {_S.signature_chars}) AS sg,
+s1 AS MATERIALIZED (SELECT s0.*, {words_sql('t')} AS w, substr(trim(regexp_replace(regexp_replace(regexp_replace(t, '[0-9]+', '#', 'g'), '[^a-z# ]+', ' ', 'g'), ' +', ' ', 'g')), 1, {_S.signature_chars}) AS sg,
   regexp_extract_all(t, '[a-z'']+') AS lw,
   (CAST(qtime IS NULL AS INTEGER) + CAST(n_items IS NULL AS INTEGER) + CAST(coalesce(supplier, '') = '' AS INTEGER) + CAST(t = '' AS INTEGER)) / 4.0::DOUBLE AS missing_rate FROM s0),
 bg AS (SELECT respondent_id, unnest(list_transform(range(1, len(lw)), lambda i: lw[i] || ' ' || lw[i + 1])) AS g FROM s1 WHERE len(lw) >= 6),
-rp AS (SELECT DISTINCT respondent_id AS rid FROM (SELECT respondent_id, g FROM bg GROUP BY 1, 2 HAVING count(*) >= 3)),
+rp AS MATERIALIZED (SELECT DISTINCT respondent_id AS rid FROM (SELECT respondent_id, g FROM bg GROUP BY 1, 2 HAVING count(*) >= 3)),
 s2 AS (SELECT s1.*, len(w) AS word_count, length(t) AS char_count, CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w)::DOUBLE ELSE 0.0::DOUBLE END AS unique_token_ratio,
   CASE WHEN length(t) >= {_S.min_duplicate_chars} THEN count(*) OVER (PARTITION BY t) ELSE 0 END AS dup_count,
   CASE WHEN length(sg) >= {_S.min_signature_chars} THEN count(*) OVER (PARTITION BY sg) ELSE 0 END AS sig_count, rid IS NOT NULL AS rep FROM s1 LEFT JOIN rp ON rid = respondent_id),
-s3 AS (SELECT *, word_count > 0 AND (regexp_matches(t, {q(_S.generic_pattern)}) OR word_count <= {_S.low_words}) AS gen FROM s2),
-sig AS (SELECT respondent_id, dataset_id, supplier, rejected, toxic, qtime, n_items, modal_share, n_distinct, word_count, char_count, unique_token_ratio, missing_rate, dup_count,
+s3 AS MATERIALIZED (SELECT *, word_count > 0 AND (regexp_matches(t, {q(_S.generic_pattern)}) OR word_count <= {_S.low_words}) AS gen FROM s2),
+sig AS MATERIALIZED (SELECT respondent_id, dataset_id, supplier, rejected, toxic, qtime, n_items, modal_share, n_distinct, word_count, char_count, unique_token_ratio, missing_rate, dup_count,
   {flag_sql('dup_count >= 2', 'f_duplicate_open')}, {flag_sql('sig_count >= 2', 'f_template_cluster')}, {flag_sql(f'qtime < {_S.fast_seconds}', 'f_fast_complete')}, {flag_sql('gen', 'f_open_generic')},
   {flag_sql(f'word_count >= {_S.long_words} AND unique_token_ratio < {_S.low_unique_ratio}', 'f_low_specificity')}, {flag_sql(f'regexp_matches(t, {q(_S.meta_pattern)})', 'f_survey_meta')},
   {flag_sql(f'regexp_matches(t, {q(_S.polished_pattern)})', 'f_polished')}, {flag_sql(f'n_items >= {_S.matrix_min_items} AND modal_share >= {_S.matrix_modal_share}', 'f_matrix_uniform')},
@@ -247,7 +247,7 @@ prob AS (SELECT *, round(least(greatest(risk_raw / {_W.client_scale}::DOUBLE, 0.
   round(least(greatest((0.6::DOUBLE * f_high_missing + 0.5::DOUBLE * f_matrix_uniform + 0.4::DOUBLE * f_fast_complete + 0.35::DOUBLE * f_open_generic) / {_W.attention_scale}::DOUBLE, 0.02::DOUBLE), 0.98::DOUBLE), 6) AS attention_or_validity_risk,
   round(least(greatest(0.5::DOUBLE * g_specific_detail + 0.25::DOUBLE * short_valid + 0.25::DOUBLE * CAST(missing_rate < 0.5 AS INTEGER), 0.0::DOUBLE), 1.0::DOUBLE), 6) AS protective_score,
   round(least(greatest(0.2::DOUBLE + 0.35::DOUBLE * no_open + 0.25::DOUBLE * CAST(missing_rate > 0.65 AS INTEGER) + 0.2::DOUBLE * CAST(qtime IS NULL AS INTEGER), 0.05::DOUBLE), 1.0::DOUBLE), 6) AS model_uncertainty FROM raw),
-scored AS (SELECT *, CASE WHEN client_reject_probability >= 0.75 THEN 'Exclude candidate' WHEN client_reject_probability >= 0.55 THEN 'Review closely' WHEN client_reject_probability >= 0.30 THEN 'Light review'
+scored AS MATERIALIZED (SELECT *, CASE WHEN client_reject_probability >= 0.75 THEN 'Exclude candidate' WHEN client_reject_probability >= 0.55 THEN 'Review closely' WHEN client_reject_probability >= 0.30 THEN 'Light review'
   WHEN client_reject_probability >= 0.15 OR protective_score > 0 THEN 'Keep with note' ELSE 'Clean keep' END AS operational_tier,
   CASE WHEN client_reject_probability >= 0.75 THEN 5 WHEN client_reject_probability >= 0.55 THEN 4 WHEN client_reject_probability >= 0.30 THEN 3 WHEN client_reject_probability >= 0.15 OR protective_score > 0 THEN 2 ELSE 1 END AS tier_n,
   round(0.65::DOUBLE * client_reject_probability + 0.35::DOUBLE * least(1.0::DOUBLE, 1 - unique_token_ratio), 6) AS score FROM prob)"""
@@ -368,7 +368,9 @@ def narrative_sql(t: str = "t", rep: str = "rep", w: str = "w", topic: str = STU
 
 _SUBST = f"regexp_matches(t, {q(L.SUBSTANTIVE_PATTERN)})"
 _PROTECT = f"(regexp_matches(t, {q(L.PROJECT_PATTERN)}) OR regexp_matches(t, {q(CONTEXT)}))"
-_RUN5 = "coalesce(list_bool_or(list_transform(range(1, greatest(length(t) - 3, 1)), lambda i: replace(substr(t, i, 5), substr(t, i, 1), '') = '' AND length(substr(t, i, 5)) = 5)), false)"
+# DuckDB's regular expressions have no back references: a run of five is spelled out per character
+_CHARS = [chr(i) for i in range(33, 127)] + list("àâäáçèéêëíîïñóôöùúûüßœæ—–’“”…€")
+_RUN5 = "regexp_matches(t, " + q("|".join(("\\" + ch if not ch.isalnum() and ord(ch) < 128 else ch) + "{5}" for ch in _CHARS)) + ")"
 # needs t, lw (words longer than two characters) and aw (all words)
 WEAK_SQL = f"""(t = '' OR (NOT {_PROTECT} AND (regexp_full_match(t, {q(L.NON_RESPONSE_PATTERN)}) OR (NOT {_SUBST} AND (
    regexp_matches(t, '(^|[^a-z])(test|asdf|qwerty|n/?a|dont know|don''t know|no idea|not sure)([^a-z]|$)')
@@ -377,9 +379,9 @@ MISPLACED_SQL = f"""(t = '' OR regexp_matches(t, {q(L.CONTACT_PATTERN)}) OR (NOT
    len(list_filter(aw, lambda x: length(x) <= 3)) >= greatest(3, len(aw) - 1) OR len(list_filter(aw, lambda x: regexp_matches(x, '[aeiouy]'))) <= greatest(1, len(aw) // 3))))))"""
 
 TRIAGE = f"""{SCORED},
-x0 AS (SELECT respondent_id, t, rep, regexp_extract_all(t, '[a-z0-9'']+') AS aw, list_filter(regexp_extract_all(t, '[a-z0-9'']+'), lambda x: length(x) > 2) AS lw3, len(regexp_extract_all(t, '[A-Za-z'']+')) AS nw,
+x0 AS MATERIALIZED (SELECT respondent_id, t, rep, regexp_extract_all(t, '[a-z0-9'']+') AS aw, list_filter(regexp_extract_all(t, '[a-z0-9'']+'), lambda x: length(x) > 2) AS lw3, len(regexp_extract_all(t, '[A-Za-z'']+')) AS nw,
   greatest(len(regexp_extract_all(t, '[.!?]+')), 1) AS ns, len(regexp_extract_all(t, '[aeiouyàâäéèêëíîïóôöúûüñ]+')) AS sy FROM s3),
-x1 AS (SELECT respondent_id, t, {class_sql()} AS oe_class, {narrative_sql(w='aw')} AS narrative_quality, {bit_sql(WEAK_SQL, 'weak_text')}, {bit_sql(MISPLACED_SQL, 'misplaced_text')},
+x1 AS MATERIALIZED (SELECT respondent_id, t, {class_sql()} AS oe_class, {narrative_sql(w='aw')} AS narrative_quality, {bit_sql(WEAK_SQL, 'weak_text')}, {bit_sql(MISPLACED_SQL, 'misplaced_text')},
   round(0.39::DOUBLE * nw / ns + 11.8::DOUBLE * sy / greatest(nw, 1) - 15.59::DOUBLE, 4) AS read_level, {bit_sql(any_sql('t', L.MISSPELLINGS), 'misspelled')}, {bit_sql(f"regexp_matches(t, {q(L.PROJECT_PATTERN)})", 'project_context')},
   {bit_sql(_SUBST, 'substantive_context')}, {bit_sql(f"regexp_matches(t, {q(L.ENTHUSIASM_PATTERN)})", 'enthusiastic')}, {bit_sql(_RUN5, 'repeated_characters')}, {bit_sql(f"regexp_full_match(t, {q(L.NON_RESPONSE_PATTERN)})", 'non_response')},
   {bit_sql(any_sql('t', FACTOR_TERMS), 'factor_terms')} FROM x0),
@@ -390,7 +392,7 @@ tc AS (SELECT dataset_id, quantile_cont(qtime, 0.1) AS p10, quantile_cont(qtime,
 tz AS (SELECT dataset_id, avg(qtime) AS m, stddev_samp(qtime) AS sd FROM scored GROUP BY 1),
 ro AS (SELECT c_custkey AS respondent_id, CASE WHEN lower(c_mktsegment) = '' THEN 'missing_role' WHEN regexp_matches(lower(c_mktsegment), {q(L.ABUSIVE_PATTERN)}) THEN 'non_cooperative' WHEN regexp_matches(lower(c_mktsegment), {q(L.TRADE_PATTERN)}) THEN 'trade_relevant'
   WHEN regexp_matches(lower(c_mktsegment), {q(L.NON_TRADE_PATTERN)}) THEN 'likely_non_trade' ELSE 'ambiguous_role' END AS role_class FROM customer),
-triage AS (SELECT scored.*, x1.* EXCLUDE (respondent_id, t), CASE WHEN dk.n IS NULL OR dk.n <= 1 THEN 'single' WHEN su <= 1 AND da <= 1 THEN 'shared_response_chain' ELSE 'independent_duplicate_cluster' END AS duplicate_type,
+triage AS MATERIALIZED (SELECT scored.*, x1.* EXCLUDE (respondent_id, t), CASE WHEN dk.n IS NULL OR dk.n <= 1 THEN 'single' WHEN su <= 1 AND da <= 1 THEN 'shared_response_chain' ELSE 'independent_duplicate_cluster' END AS duplicate_type,
   supplier_reject_rate, coalesce(answer_entropy, 0) AS answer_entropy, CASE WHEN qtime IS NULL OR qtime <= 0 THEN 'unknown' WHEN qtime <= p10 THEN 'bottom_10' WHEN qtime <= p25 THEN 'bottom_25' WHEN qtime <= p50 THEN 'below_median' ELSE 'above_median' END AS timing_band,
   CASE WHEN sd > 0 THEN (qtime - m) / sd ELSE 0 END AS qtime_z, coalesce(role_class, 'missing_role') AS role_class,
   CASE WHEN regexp_matches(supplier, {q(SUPPLIER_INVALID)}) THEN 'weak_or_invalid_brand_list' WHEN regexp_matches(supplier, {q(SUPPLIER_BRANDS)}) OR regexp_matches(supplier, {q(SUPPLIER_CATEGORIES)}) THEN 'has_valid_brand_or_tool_category' ELSE 'unknown_brand_quality' END AS brand_quality,

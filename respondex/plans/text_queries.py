@@ -423,7 +423,7 @@ def c25(spark, sf):
     f"""{TXT}, w AS (SELECT respondent_id, dataset_id, len({LW.format(c='s')}) AS n_words, greatest(len(regexp_extract_all(s, '[.!?]+')), 1) AS n_sentences,
       len(regexp_extract_all(t, '[aeiouyàâäéèêëíîïóôöúûüñ]+')) AS n_syl FROM t),
     r AS (SELECT *, round(0.39::DOUBLE * n_words / n_sentences + 11.8::DOUBLE * n_syl / greatest(n_words, 1) - 15.59::DOUBLE, 4) AS read_level FROM w)
-    SELECT dataset_id, flag, count(*) AS n_rows, round(avg(read_level), 4) AS mean_level FROM (SELECT *, CASE WHEN read_level >= 15 AND n_words <= 15 THEN 'very_high_for_short_text' WHEN read_level >= 17 THEN 'very_high'
+    SELECT dataset_id, flag, count(*) AS n_rows, round(sum(read_level), 4) AS total_level FROM (SELECT *, CASE WHEN read_level >= 15 AND n_words <= 15 THEN 'very_high_for_short_text' WHEN read_level >= 17 THEN 'very_high'
       WHEN read_level < 2 AND n_words > 5 THEN 'very_low' ELSE 'normal' END AS flag FROM r) GROUP BY ALL""",
 )
 def c26(spark, sf):
@@ -438,7 +438,7 @@ def c26(spark, sf):
     )
     level = F.round(0.39 * F.col("n_words") / F.col("n_sentences") + 11.8 * F.col("n_syl") / F.greatest(F.col("n_words"), F.lit(1)) - 15.59, 4)
     d = d.withColumn("read_level", level).withColumn("flag", T.readability_flag(F.col("read_level"), F.col("n_words")))
-    return d.groupBy("dataset_id", "flag").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("read_level"), 4).alias("mean_level"))
+    return d.groupBy("dataset_id", "flag").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("read_level"), 4).alias("total_level"))
 
 
 @query(

@@ -56,7 +56,7 @@ def t03(spark, sf):
     "t04_robust_z",
     f"""WITH {SESS}, x AS (SELECT s.*, 1 - l.quality AS rejected FROM sess s LEFT JOIN labels l ON l.doc_id = s.user_id), a AS (SELECT * FROM x WHERE rejected = 0),
     b AS (SELECT dataset_id, quantile_cont(qtime, 0.5) AS med, quantile_cont(qtime, 0.1) AS p10 FROM a GROUP BY 1), d AS (SELECT dataset_id, quantile_cont(abs(qtime - med), 0.5) AS mad FROM a JOIN b USING (dataset_id) GROUP BY 1)
-    SELECT user_id, day, round((qtime - med) / CASE WHEN mad = 0 THEN 1 ELSE mad END, 6) AS robust_z, CAST(qtime < p10 AS INTEGER) AS fast_route_adjusted FROM x LEFT JOIN b USING (dataset_id) LEFT JOIN d USING (dataset_id)""",
+    SELECT user_id, day, round((qtime - med) / CASE WHEN mad = 0 THEN 1 ELSE mad END, 6) AS robust_z, coalesce(CAST(qtime < p10 AS INTEGER), 0) AS fast_route_adjusted FROM x LEFT JOIN b USING (dataset_id) LEFT JOIN d USING (dataset_id)""",
 )
 def t04(spark, sf):
     labels = client_labels(spark, sf).select(F.col("respondent_id").alias("user_id"), "rejected")
