@@ -74,7 +74,7 @@ def ngrams(tokens: Column, n: int) -> Column:
     size = F.size(tokens)
     return F.when(
         size >= n,
-        F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " ")),
+        F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.concat_ws(" ", *[F.element_at(tokens, i + k) for k in range(n)])),
     ).otherwise(F.array().cast("array<string>"))
 
 
