@@ -10,7 +10,7 @@ from respondex.operators import profiling as P
 from respondex.operators import text_signals as T
 from respondex.plans.catalog import query
 from respondex.plans.sources_queries import CANON
-from respondex.plans.study import FRAME, STUDY, answers, chain, profiles, q, respondent_frame, respondents
+from respondex.plans.study import FRAME, STUDY, answers, chain, q, respondent_frame
 from respondex.sources.tables import table
 
 # fields of several tables in one long relation
