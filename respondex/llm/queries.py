@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from respondex.llm import mixing
+from respondex.llm import mixing, sentencepiece_spans
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,28 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; the package is part of the installation, not of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    encoded = sentencepiece_spans.encode_documents(_read(spark, sf_dir, "documents"), model_path or tokenizer_path("piece_bpe_32k.model"))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "op2_mix_sources": (op2_mix_sources, mixing.mixing_sql()),
+    "op3_sentencepiece": (op3_sentencepiece, None),
 }
