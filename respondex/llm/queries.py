@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from respondex.llm import mixing, sentencepiece_spans
+from respondex.llm import mixing, sentencepiece_spans, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +36,19 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first_page FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_page AND first_page IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_page THEN first_page END AS refers_to FROM d"""
+
+
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "op2_mix_sources": (op2_mix_sources, mixing.mixing_sql()),
     "op3_sentencepiece": (op3_sentencepiece, None),
+    "op6_warc": (op6_warc, OP6_SQL),
 }
