@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from respondex.llm import mixing, sentencepiece_spans, warc
+from respondex.llm import licenses, mixing, sentencepiece_spans, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first_page FROM p)
@@ -50,5 +54,6 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "op2_mix_sources": (op2_mix_sources, mixing.mixing_sql()),
     "op3_sentencepiece": (op3_sentencepiece, None),
+    "op4_license_scan": (op4_license_scan, licenses.licenses_sql()),
     "op6_warc": (op6_warc, OP6_SQL),
 }
