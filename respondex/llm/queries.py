@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from respondex.llm import licenses, mixing, sentencepiece_spans, warc
+from respondex.llm import fingerprints, licenses, mixing, sentencepiece_spans, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -51,9 +51,15 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
   CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first_page THEN first_page END AS refers_to FROM d"""
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = fingerprints.fingerprint_documents(_read(spark, sf_dir, "documents"))
+    return prints.withColumn("edited_sha256", F.sha2(F.col("edited_text").cast("binary"), 256)).drop("edited_text")
+
+
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "op2_mix_sources": (op2_mix_sources, mixing.mixing_sql()),
     "op3_sentencepiece": (op3_sentencepiece, None),
     "op4_license_scan": (op4_license_scan, licenses.licenses_sql()),
     "op6_warc": (op6_warc, OP6_SQL),
+    "op10_fingerprints": (op10_fingerprints, None),
 }
