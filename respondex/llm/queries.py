@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from respondex.llm import fingerprints, licenses, mixing, sentencepiece_spans, warc
+from respondex.llm import fingerprints, licenses, mixing, sentencepiece_spans, vector_links, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op5_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.link_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS first_page FROM p)
@@ -60,6 +64,7 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "op2_mix_sources": (op2_mix_sources, mixing.mixing_sql()),
     "op3_sentencepiece": (op3_sentencepiece, None),
     "op4_license_scan": (op4_license_scan, licenses.licenses_sql()),
+    "op5_vector_links": (op5_vector_links, None),
     "op6_warc": (op6_warc, OP6_SQL),
     "op10_fingerprints": (op10_fingerprints, None),
 }
