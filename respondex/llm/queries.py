@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from respondex.llm import fingerprints, licenses, mixing, sentencepiece_spans, vector_links, warc
+from respondex.llm import fingerprints, licenses, mixing, ngram_join, sentencepiece_spans, vector_links, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_ngrams(_read(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,6 +65,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Run, str | None]] = {
+    "op1_ngram_join": (op1_ngram_join, None),
     "op2_mix_sources": (op2_mix_sources, mixing.mixing_sql()),
     "op3_sentencepiece": (op3_sentencepiece, None),
     "op4_license_scan": (op4_license_scan, licenses.licenses_sql()),
