@@ -229,24 +229,12 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(common * 100 >= either * percent).select("a", "b")
 
 
-def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id`` for every row of ``docs``.
+def link_buckets(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node, label`` of the components of all similar sets that share a signature.
 
-    A document's set are its distinct ``n``-word shingles (with fewer words the
-    whole sequence). Documents link when ``100 * intersection >= percent *
-    union``; ``component_id`` is the smallest id reachable over links.
-    Documents without words have an empty set and link with nothing. Copies are
-    one set. Null ids never become a component id unless all of a class are
-    null; repeated rows are kept; other columns are ignored; an empty table
-    gives an empty result.
+    ``shared`` (signature, key) and ``sets`` (key, grams) are stored tables;
+    sets without a link may be missing in the result.
     """
-    table = stored(set_table(docs, n, id_col, text_col), "shingle-keys")
-    shared = stored(shared_signatures(signature_table(docs, n, percent, text_col)), "shared-signatures")
-    near = shared.select("key").distinct()
-    one_each = table.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(id_col).alias(id_col))
-    wanted = stored(one_each.join(near, "key").select(id_col, "key"), "shingle-wanted")
-    sets = stored(sets_of(docs, wanted, n, id_col, text_col), "shingle-sets")
-
     # Sets that share signatures with many others stand in the middle of their group: they are the first pivots.
     sizes = shared.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
     degree = shared.join(sizes, "signature").groupBy("key").agg(F.sum("n").alias("degree"))
@@ -267,6 +255,28 @@ def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
         open_rows = stored(named.join(left.select("signature"), "signature"), "shingle-open")
         if open_rows.isEmpty():
             break
+    return labels
+
+
+def join_ngrams(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_shingles, component_id`` for every row of ``docs``.
+
+    A document's set are its distinct ``n``-word shingles (with fewer words the
+    whole sequence). Documents link when ``100 * intersection >= percent *
+    union``; ``component_id`` is the smallest id reachable over links.
+    Documents without words have an empty set and link with nothing. Copies are
+    one set. Null ids never become a component id unless all of a class are
+    null; repeated rows are kept; other columns are ignored; an empty table
+    gives an empty result.
+    """
+    table = stored(set_table(docs, n, id_col, text_col), "shingle-keys")
+    shared = stored(shared_signatures(signature_table(docs, n, percent, text_col)), "shared-signatures")
+    near = shared.select("key").distinct()
+    one_each = table.where(F.col("key").isNotNull()).groupBy("key").agg(F.min(id_col).alias(id_col))
+    wanted = stored(one_each.join(near, "key").select(id_col, "key"), "shingle-wanted")
+    sets = stored(sets_of(docs, wanted, n, id_col, text_col), "shingle-sets")
+
+    labels = link_buckets(shared, sets, percent)
     grouped = table.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("group", F.coalesce("label", "key"))
     least = grouped.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(id_col).alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     named = grouped.select("group", id_col, "n_shingles").join(least.drop("n"), "group", "left")

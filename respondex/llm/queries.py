@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from respondex.llm import fingerprints, licenses, mixing, ngram_join, sentencepiece_spans, vector_links, warc
+from respondex.llm import fingerprints, fuzzy_lines, licenses, mixing, ngram_join, sentencepiece_spans, substrings, toxicity, vector_links, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.withColumn("edited_sha256", F.sha2(F.col("edited_text").cast("binary"), 256)).drop("edited_text")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.drop_fuzzy_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_filled", "n_removed", "removed", "text")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.drop_repeated_spans(_read(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "op1_ngram_join": (op1_ngram_join, None),
     "op2_mix_sources": (op2_mix_sources, mixing.mixing_sql()),
@@ -71,5 +84,8 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "op4_license_scan": (op4_license_scan, licenses.licenses_sql()),
     "op5_vector_links": (op5_vector_links, None),
     "op6_warc": (op6_warc, OP6_SQL),
+    "op7_line_dedup": (op7_line_dedup, None),
+    "op8_substring_dedup": (op8_substring_dedup, substrings.substrings_sql()),
+    "op9_toxicity": (op9_toxicity, None),
     "op10_fingerprints": (op10_fingerprints, None),
 }
