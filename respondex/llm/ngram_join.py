@@ -40,7 +40,9 @@ from respondex.llm.sketch import key_filter, maybe_in
 PIVOT_GROWTH = 4
 WORD_CACHE = 200_000
 BAND_RATIO = 1.35
-MAX_EMPTY = 0.03
+SPARE_ROOTS = 3.5
+#: Shares of empty choices, the first that leads to at most one signature per n-gram is taken.
+EMPTY_SHARES = (0.03, 0.06, 0.12, 0.25, 0.4)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -92,14 +94,14 @@ def bands(percent: int) -> list[int]:
 def enumeration(band: int, percent: int) -> tuple[int, int, int, int]:
     """(n1, n2, k2, spare) for pairs whose larger set lies in ``band``: the fewest signatures with few empty choices.
 
-    ``spare`` is five standard deviations above the number of partitions with an empty choice.
+    ``spare`` is about four standard deviations (of cells left empty) above the number of partitions with an empty choice.
     """
     ends = bands(percent)
     largest, smallest = ends[band + 1] - 1, max(1, -(-ends[band] * percent // 100))
     k = 2 * largest * (100 - percent) // (100 + percent)
     if k == 0:
         return 1, 1, 0, 0
-    best = None
+    best: dict[float, tuple[int, tuple[int, int, int, int]]] = {}
     for k2, n2 in itertools.product(range(min(k, 6) + 1), range(1, 11)):
         if n2 <= k2:
             continue
@@ -108,14 +110,19 @@ def enumeration(band: int, percent: int) -> tuple[int, int, int, int]:
             n1 = k // (k2 + 1) + 1 + spare
             empty = (1 - (n2 - k2) / (n1 * n2)) ** smallest
             hollow = n1 * min(1.0, choices * empty)
-            if spare >= hollow + 5 * math.sqrt(hollow) - 0.5:
+            if spare >= hollow + SPARE_ROOTS * math.sqrt(hollow) - 0.5:
                 break
-            spare = math.ceil(hollow + 5 * math.sqrt(hollow))
+            spare = math.ceil(hollow + SPARE_ROOTS * math.sqrt(hollow))
         else:
             continue
-        if empty <= MAX_EMPTY and (best is None or n1 * choices < best[0]):
-            best = n1 * choices, (n1, n2, k2, spare)
-    return best[1] if best else (1, k + 2, k, 0)
+        for share in EMPTY_SHARES:
+            if empty <= share and (share not in best or n1 * choices < best[share][0]):
+                best[share] = n1 * choices, (n1, n2, k2, spare)
+    for share in EMPTY_SHARES:
+        if share in best and (best[share][0] <= smallest or share == EMPTY_SHARES[0]):
+            return best[share][1]
+    found = [*best.values(), (math.comb(k + 2, k), (1, k + 2, k, 0))]
+    return min(found)[1]
 
 
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
