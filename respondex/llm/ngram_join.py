@@ -146,18 +146,17 @@ def _band_signatures(s: np.ndarray, band: int, percent: int) -> np.ndarray:
     high = np.bincount(cell, weights=(digest >> np.uint64(32)).astype(np.float64), minlength=n1 * n2)
     sums = (low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))).reshape(n1, n2)
     filled = (np.bincount(cell, minlength=n1 * n2) > 0).reshape(n1, n2)
-    picks = list(itertools.combinations(range(n2), n2 - k2))
+    picks = np.array(list(itertools.combinations(range(n2), n2 - k2)), dtype=np.int64)
     tag = np.uint64((band * 64 + 1) * 0x9E3779B1 & 0xFFFFFFFFFFFFFFFF)
-    part = np.arange(n1, dtype=np.uint64)
-    made, hollow = [], np.zeros(n1, dtype=bool)
-    for number, pick in enumerate(picks):
-        whole = np.zeros(n1, dtype=np.uint64)
-        some = np.zeros(n1, dtype=bool)
-        for q in pick:
-            whole = mix64(whole + sums[:, q])
-            some |= filled[:, q]
-        hollow |= ~some
-        made.append(mix64(mix64(whole ^ (part * np.uint64(0xBF58476D1CE4E5B9))) + tag + np.uint64(number << 20))[some])
+    part = (np.arange(n1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))[:, None]
+    whole = np.zeros((n1, len(picks)), dtype=np.uint64)
+    some = np.zeros(whole.shape, dtype=bool)
+    for q in picks.T:
+        whole = mix64(whole + sums[:, q])
+        some |= filled[:, q]
+    number = tag + (np.arange(len(picks), dtype=np.uint64) << np.uint64(20))
+    made = [mix64(mix64(whole ^ part) + number)[some]]
+    hollow = ~some.all(axis=1)
     gaps = np.flatnonzero(hollow)
     if len(gaps) > spare:
         rest = [xxhash.xxh3_64_intdigest(np.array([band, *some], dtype=np.int64).tobytes()) for some in itertools.combinations(gaps.tolist(), 1 + spare)]
