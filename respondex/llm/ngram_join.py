@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from respondex.llm.base import mix64, slices, stored
 from respondex.llm.components import connected_components
-from respondex.llm.sketch import key_filter, maybe_in
+from respondex.llm.sketch import key_filter, possible_rows
 
 #: Rounds of comparing take 1, 4, 16, ... pivots of a bucket.
 PIVOT_GROWTH = 4
@@ -221,7 +221,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: s
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s.astype(np.uint64)) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["key", "grams"])
 
-    texts = docs.select(id_col, text_col).where(maybe_in(id_col, key_filter(wanted, id_col)))
+    texts = possible_rows(docs.select(id_col, text_col), id_col, key_filter(wanted, id_col))
     ids = wanted.select(F.col(id_col).alias("_wanted")).distinct()
     return texts.join(ids, F.col(id_col).eqNullSafe(F.col("_wanted"))).select(id_col, text_col).mapInArrow(run, "key bigint, grams array<bigint>").dropDuplicates(["key"])
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from respondex.llm.base import stored
-from respondex.llm.sketch import key_filter, maybe_in
+from respondex.llm.sketch import key_filter, possible_rows
 
 #: Sentences with the marks and white space that follow; joined they are the text again.
 SENTENCE = r"[^.!?\n。！？]+[.!?\n。！？]*[ \t\n\r\f]*|[.!?\n。！？]+[ \t\n\r\f]*"
@@ -38,7 +38,7 @@ def repeated_sentences(docs: DataFrame, span: int = 3, id_col: str = "doc_id", t
     """``row, removed`` (sorted sentence numbers from 0) of the texts that lose sentences."""
     spans = stored(span_table(docs, span, id_col, text_col).dropDuplicates(["row", "pos"]), "sentence-spans")
     repeated = stored(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-spans")
-    hits = stored(spans.where(maybe_in("h", key_filter(repeated, "h"))).join(repeated, "h"), "repeated-occurrences")
+    hits = stored(possible_rows(spans, "h", key_filter(repeated, "h")).join(repeated, "h"), "repeated-occurrences")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "pos")
     first = hits.groupBy("h").agg(F.min(place).alias("first"))
     later = hits.join(first, "h").where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
