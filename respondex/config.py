@@ -16,7 +16,6 @@ class SignalConfig:
     slow_fast_seconds: float = 300.0
     min_duplicate_chars: int = 16
     min_signature_chars: int = 24
-    signature_chars: int = 260
     matrix_min_items: int = 4
     matrix_modal_share: float = 0.90
     high_missing: float = 0.55

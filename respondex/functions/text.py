@@ -102,12 +102,11 @@ def repeated_phrase(c: Column) -> Column:
     )
 
 
-def signature(c: Column, max_chars: int = 260) -> Column:
-    """Template signature: lower case, numbers as #, letters only, first ``max_chars`` characters."""
+def signature(c: Column) -> Column:
+    """Template signature of the whole text: lower case, numbers as #, letters only."""
     s = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[0-9]+", "#")
     s = F.regexp_replace(s, r"[^a-z# ]+", " ")
-    s = F.trim(F.regexp_replace(s, r" +", " "))
-    return F.substring(s, 1, max_chars)
+    return F.trim(F.regexp_replace(s, r" +", " "))
 
 
 def compact_words(c: Column, min_len: int = 3) -> Column:

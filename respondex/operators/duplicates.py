@@ -69,7 +69,7 @@ def cluster_types(df: DataFrame, key: str, dims: Sequence[str]) -> DataFrame:
 
 def template_clusters(df: DataFrame, row_id: str, text: str, cfg: SignalConfig) -> DataFrame:
     """Rows whose template signature is long enough and shared by two rows or more."""
-    sig = X.signature(F.col(text), cfg.signature_chars)
+    sig = X.signature(F.col(text))
     keyed = df.withColumn("_sig", sig).withColumn("_k", F.when(F.length("_sig") >= cfg.min_signature_chars, F.md5("_sig")))
     out = R.with_group_stats(keyed, ["_k"], row_id, cluster_size=F.count(F.lit(1)))
     n = F.when(F.col("_k").isNull(), 0).otherwise(F.col("cluster_size"))

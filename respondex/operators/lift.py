@@ -407,15 +407,14 @@ def promotion_specs(evidence: DataFrame) -> DataFrame:
 
 
 def theme_inventory(df: DataFrame, theme: str, id_col: str, merged: str, examples: int = 8) -> DataFrame:
-    """Support per theme, its share, the first example ids and the different values of ``merged``."""
+    """One row per theme and different value of ``merged``: rows of the value, and support, share and first example ids of the theme."""
     counts = df.groupBy(theme).agg(F.count(F.lit(1)).alias("support_rows"))
     total = counts.agg(F.greatest(F.sum("support_rows"), F.lit(1)).alias("_t"))
     w = W.partitionBy(theme).orderBy(id_col)
     ids = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= examples).groupBy(theme).agg(F.array_join(F.array_sort(F.collect_list(id_col)), ", ").alias("example_ids"))
-    texts = df.groupBy(theme, merged).agg(F.lit(1).alias("one"))
-    wt = W.partitionBy(theme).orderBy(merged)
-    texts = texts.withColumn("_r", F.row_number().over(wt)).where(F.col("_r") <= examples).groupBy(theme).agg(F.array_join(F.array_sort(F.collect_list(merged)), " | ").alias("merged"))
-    return R.attach_row(counts, total).join(ids, theme).join(texts, theme).withColumn("support_rate", F.round(F.col("support_rows") / F.col("_t"), 6)).drop("_t")
+    values = df.groupBy(theme, merged).agg(F.count(F.lit(1)).alias("value_rows"))
+    per_theme = R.attach_row(counts, total).join(ids, theme).withColumn("support_rate", F.round(F.col("support_rows") / F.col("_t"), 6)).drop("_t")
+    return values.join(per_theme, theme)
 
 
 def criterion_table(df: DataFrame, criteria: str, decision: str, id_col: str) -> DataFrame:

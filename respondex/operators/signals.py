@@ -33,7 +33,7 @@ def text_facts(df: DataFrame, id_col: str, text: str, cfg: SignalConfig) -> Data
     equal texts and equal templates are compared by digest later.
     """
     t = X.norm(F.col(text))
-    d = df.select(id_col, t.alias("_t")).withColumn("_w", X.lower_words(F.col("_t"))).withColumn("_sig", X.signature(F.col("_t"), cfg.signature_chars))
+    d = df.select(id_col, t.alias("_t")).withColumn("_w", X.lower_words(F.col("_t"))).withColumn("_sig", X.signature(F.col("_t")))
     w, n = F.col("_w"), F.size("_w")
 
     def flag(c: Column) -> Column:

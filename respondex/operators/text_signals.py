@@ -500,11 +500,10 @@ def meaningful_segments(df: DataFrame, id_col: str, pos: str, role: str, text: s
 
 
 def subject_of(question: Column) -> Column:
-    """Short subject phrase of a question: lead-in and question marks removed, 80 characters at most."""
+    """Subject phrase of a question: lead-in and question marks removed."""
     t = F.regexp_replace(question, r"\[pipe:[^\]]*\]", "")
     t = F.regexp_replace(F.trim(t), r"(?i)^(which of the following |what |how |do you |are you |where |when |why |please |using the |for each )", "")
     t = F.lower(F.trim(F.regexp_replace(t, r"\?*$", "")))
-    t = F.when(F.length(t) > 80, F.concat(F.substring(t, 1, 77), F.lit("..."))).otherwise(t)
     return F.when(t == "", "this").otherwise(t)
 
 
@@ -528,12 +527,8 @@ def select_verb(question: Column) -> Column:
     return rule.otherwise("selected")
 
 
-def propositions(df: DataFrame, id_col: str, field: str, answer_type: str, question: str, value: str, max_items: int = 15) -> DataFrame:
-    """First-person claims: one per answer, one per multi-select question.
-
-    The options of a question are first reduced to different ones, then cut at
-    ``max_items`` with "..." as the claim text requires.
-    """
+def propositions(df: DataFrame, id_col: str, field: str, answer_type: str, question: str, value: str) -> DataFrame:
+    """First-person claims: one per answer, one per multi-select question with all its different options."""
     single = df.where(F.col(answer_type) != "multi_select").select(
         id_col, F.col(field).alias("field"), F.col(answer_type).alias("answer_type"),
         F.when(F.col(answer_type) == "open_text", F.concat(F.lit("I said about "), subject_of(F.col(question)), F.lit(': "'), X.squash(F.col(value)), F.lit('"')))
@@ -542,13 +537,9 @@ def propositions(df: DataFrame, id_col: str, field: str, answer_type: str, quest
         .alias("proposition"),
     )
     options = df.where(F.col(answer_type) == "multi_select").groupBy(id_col, field, question, value).agg(F.lit(1).alias("one"))
-    w = W.partitionBy(id_col, field, question).orderBy(value)
-    kept = options.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_items + 1)
-    multi = kept.groupBy(id_col, field, question).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_r") <= max_items, F.col(value)))).alias("items"), F.max("_r").alias("n")
-    ).select(
+    multi = options.groupBy(id_col, field, question).agg(F.array_sort(F.collect_list(value)).alias("items")).select(
         id_col, F.col(field).alias("field"), F.lit("multi_select").alias("answer_type"),
-        F.concat(F.lit("I "), select_verb(F.col(question)), F.lit(": "), F.array_join("items", ", "), F.when(F.col("n") > max_items, "...").otherwise(""), F.lit(".")).alias("proposition"),
+        F.concat(F.lit("I "), select_verb(F.col(question)), F.lit(": "), F.array_join("items", ", "), F.lit(".")).alias("proposition"),
     )
     return single.unionByName(multi)
 

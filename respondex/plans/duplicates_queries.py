@@ -60,7 +60,7 @@ def s04(spark, sf):
 
 @query(
     "s05_template_clusters",
-    f"""WITH s AS (SELECT doc_id AS respondent_id, {SIG_SQL.format(c='text', n=260)} AS g FROM documents), n AS (SELECT respondent_id, CASE WHEN length(g) >= 24 THEN count(*) OVER (PARTITION BY g) ELSE 0 END AS cluster_size FROM s)
+    f"""WITH s AS (SELECT doc_id AS respondent_id, {SIG_SQL.format(c='text')} AS g FROM documents), n AS (SELECT respondent_id, CASE WHEN length(g) >= 24 THEN count(*) OVER (PARTITION BY g) ELSE 0 END AS cluster_size FROM s)
     SELECT respondent_id, cluster_size, CAST(cluster_size >= 2 AS INTEGER) AS template_cluster FROM n""",
 )
 def s05(spark, sf):

@@ -397,9 +397,9 @@ def d26(spark, sf):
 
 @query(
     "d27_theme_inventory",
-    f"""WITH {SCORED}, t AS (SELECT respondent_id, supplier, coalesce(signals[1], 'none') AS theme FROM scored), r AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY respondent_id) AS rn FROM t), s AS (SELECT theme, supplier, row_number() OVER (PARTITION BY theme ORDER BY supplier) AS rn FROM (SELECT DISTINCT theme, supplier FROM t)),
-    a AS (SELECT theme, count(*) AS support_rows, string_agg(CAST(respondent_id AS VARCHAR), ', ' ORDER BY respondent_id) FILTER (rn <= 8) AS example_ids FROM r GROUP BY 1), m AS (SELECT theme, string_agg(supplier, ' | ' ORDER BY supplier) FILTER (rn <= 8) AS merged FROM s GROUP BY 1)
-    SELECT theme, support_rows, example_ids, merged, round(support_rows / (SELECT count(*) FROM t)::DOUBLE, 6) AS support_rate FROM a JOIN m USING (theme)""",
+    f"""WITH {SCORED}, t AS (SELECT respondent_id, supplier, coalesce(signals[1], 'none') AS theme FROM scored), r AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY respondent_id) AS rn FROM t),
+    a AS (SELECT theme, count(*) AS support_rows, string_agg(CAST(respondent_id AS VARCHAR), ', ' ORDER BY respondent_id) FILTER (rn <= 8) AS example_ids FROM r GROUP BY 1), m AS (SELECT theme, supplier, count(*) AS value_rows FROM t GROUP BY 1, 2)
+    SELECT theme, supplier, value_rows, support_rows, example_ids, round(support_rows / (SELECT count(*) FROM t)::DOUBLE, 6) AS support_rate FROM a JOIN m USING (theme)""",
 )
 def d27(spark, sf):
     t = scored_frame(spark, sf).select("respondent_id", "supplier", F.coalesce(F.get("signals", F.lit(0)), F.lit("none")).alias("theme"))

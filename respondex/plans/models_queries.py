@@ -14,7 +14,6 @@ from respondex.sources.stages import stage
 
 FEATURES = (*[f"f_{s}" for s in G.SIGNALS], *[f"g_{g}" for g in G.GUARDS], "word_count", "unique_token_ratio", "missing_rate", "modal_share")
 SMALL = ("f_hostile", "f_repeated_phrase", "word_count", "unique_token_ratio", "modal_share")
-DATASETS = ("de", "en", "es", "fr")
 
 
 def frame(spark, sf):
@@ -57,7 +56,7 @@ def d30(spark, sf):
 @query("p03_logistic_risk_oof")
 def p03(spark, sf):
     d = stage(spark, sf, "labelled_rows", lambda: frame(spark, sf).where("rejected IS NOT NULL"))
-    return M.leave_one_out(d, FEATURES, "rejected", "dataset_id", DATASETS, "text_digest").select("respondent_id", "dataset_id", "rejected", "probability")
+    return M.leave_one_out(d, FEATURES, "rejected", "dataset_id", "text_digest").select("respondent_id", "dataset_id", "rejected", "probability")
 
 
 @query("p04_gbt_risk_importance")
@@ -111,7 +110,7 @@ def p11(spark, sf):
 @query("p11_channel_models")
 def p11b(spark, sf):
     train, _, test = parts(spark, sf)
-    out = M.per_channel(train, test, SMALL, "rejected", "dataset_id", DATASETS, min_rows=100)
+    out = M.per_channel(train, test, SMALL, "rejected", "dataset_id", min_rows=100)
     return M.gated_expert(out, "global_score", "channel_score", F.col("global_score").between(0.3, 0.7)).select("respondent_id", "dataset_id", "rejected", "global_score", "channel_score", "final", "gated")
 
 

@@ -215,20 +215,25 @@ def a10(spark, sf):
     """WITH j AS (SELECT o_orderkey AS respondent_id, '{' || array_to_string(list_filter([
         '"o_orderkey":"' || o_orderkey || '"', CASE WHEN o_orderstatus <> 'P' THEN '"o_orderstatus":"' || o_orderstatus || '"' END,
         '"o_orderpriority":"' || o_orderpriority || '"', '"o_custkey":"' || o_custkey || '"'], lambda x: x IS NOT NULL), ',') || '}' AS p FROM orders)
-    SELECT respondent_id, CASE WHEN length(p) <= 80 THEN p ELSE substr(p, 1, 77) || '...' END AS payload FROM j""",
+    SELECT respondent_id, p AS payload, CASE WHEN length(p) <= 80 THEN p ELSE substr(p, 1, 77) || '...' END AS payload_preview FROM j""",
 )
 def a11(spark, sf):
     o = S.table(spark, sf, "orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("P")))
-    return o.select(F.col("o_orderkey").alias("respondent_id"), payload_json(("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey"), 80).alias("payload"))
+    whole = payload_json(("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey"))
+    return o.select(F.col("o_orderkey").alias("respondent_id"), whole.alias("payload")).withColumn("payload_preview", shortened(F.col("payload"), 80))
 
 
-def payload_json(columns, max_chars: int):
-    """Non-blank cells as JSON, cut at ``max_chars`` as the payload column requires."""
+def payload_json(columns):
+    """Non-blank cells as JSON."""
     entries = []
     for c in columns:
         entries += [F.lit(c), X.squash(F.coalesce(F.col(c).cast("string"), F.lit("")))]
-    raw = F.to_json(F.map_filter(F.create_map(*entries), lambda k, v: v != ""))
-    return X.let(raw, lambda j: F.when(F.length(j) <= max_chars, j).otherwise(F.concat(F.substring(j, 1, max_chars - 3), F.lit("..."))))
+    return F.to_json(F.map_filter(F.create_map(*entries), lambda k, v: v != ""))
+
+
+def shortened(text, max_chars: int):
+    """The text for a list view, cut at ``max_chars`` characters with "..."."""
+    return F.when(F.length(text) <= max_chars, text).otherwise(F.concat(F.substring(text, 1, max_chars - 3), F.lit("...")))
 
 
 @query(

@@ -215,7 +215,7 @@ _S = STUDY
 _IN = "(" + ", ".join(q(x) for x in _S.domain_terms) + ")"
 SIG = f"""{FRAME},
 s0 AS (SELECT frame.*, {norm_sql('open_text')} AS t FROM frame),
-s1 AS MATERIALIZED (SELECT s0.*, {words_sql('t')} AS w, substr(trim(regexp_replace(regexp_replace(regexp_replace(t, '[0-9]+', '#', 'g'), '[^a-z# ]+', ' ', 'g'), ' +', ' ', 'g')), 1, {_S.signature_chars}) AS sg,
+s1 AS MATERIALIZED (SELECT s0.*, {words_sql('t')} AS w, trim(regexp_replace(regexp_replace(regexp_replace(t, '[0-9]+', '#', 'g'), '[^a-z# ]+', ' ', 'g'), ' +', ' ', 'g')) AS sg,
   regexp_extract_all(t, '[a-z'']+') AS lw,
   (CAST(qtime IS NULL AS INTEGER) + CAST(n_items IS NULL AS INTEGER) + CAST(coalesce(supplier, '') = '' AS INTEGER) + CAST(t = '' AS INTEGER)) / 4.0::DOUBLE AS missing_rate FROM s0),
 bg AS (SELECT respondent_id, unnest(list_transform(range(1, len(lw)), lambda i: lw[i] || ' ' || lw[i + 1])) AS g FROM s1 WHERE len(lw) >= 6),

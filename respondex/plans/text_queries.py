@@ -289,12 +289,12 @@ def c15(spark, sf):
     return T.grounding(docs(spark, sf).select("respondent_id", "open_text"), "open_text", STUDY.domain_terms, ("widget", "gizmo", "on", "in")).drop("open_text")
 
 
-SIG_SQL = "substr(trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[0-9]+', '#', 'g'), '[^a-z# ]+', ' ', 'g'), ' +', ' ', 'g')), 1, {n})"
+SIG_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[0-9]+', '#', 'g'), '[^a-z# ]+', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-@query("c16_signature", f"SELECT doc_id AS respondent_id, {SIG_SQL.format(c='text', n=260)} AS signature FROM documents")
+@query("c16_signature", f"SELECT doc_id AS respondent_id, {SIG_SQL.format(c='text')} AS signature FROM documents")
 def c16(spark, sf):
-    return docs(spark, sf).select("respondent_id", X.signature(F.col("open_text"), 260).alias("signature"))
+    return docs(spark, sf).select("respondent_id", X.signature(F.col("open_text")).alias("signature"))
 
 
 @query(

@@ -148,3 +148,13 @@ def test_near_duplicates_count_copies_without_pairing_them(spark):
     assert out[0]["n_similar"] == 40 and out[0]["max_similarity"] == 1.0
     assert out[100]["n_similar"] == 40 and out[100]["similar_to"] == "0"
     assert 101 not in out and out[102]["n_similar"] == 0
+
+
+def test_zero_vectors_keep_their_row(spark):
+    rng = np.random.default_rng(4)
+    vectors = [[float(x) for x in rng.normal(size=4)] for _ in range(30)] + [[0.0] * 4, None]
+    d = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<double>")
+    got = {r["id"]: r for r in N.knn_features(d, "id", "v", k=3).collect()}
+    assert sorted(got) == list(range(32))
+    assert all(got[i]["graph_degree"] == 0 and got[i]["graph_mean_dist"] is None for i in (30, 31))
+    assert all(got[i]["graph_mean_dist"] is not None for i in range(30))
