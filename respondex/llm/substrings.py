@@ -1,21 +1,30 @@
 """Substring dedup by sliding sentence spans: runs of consecutive sentences that occurred before are removed.
 
-Texts are cut into sentences, every run of ``span`` consecutive ones is hashed,
-and equal hashes meet over the whole corpus. Sentences that lie in an
-occurrence of a run other than its first are removed. Counts come first, so only
-the occurrences of repeated runs travel on.
+Texts are cut into sentences. Every run of ``span`` consecutive ones is hashed,
+and from every sentence the shortest run of ``run_words`` words or more, which
+may be one long sentence. Equal hashes meet over the whole corpus. Sentences
+that lie in an occurrence of a run other than its first are removed. Counts come
+first, so only the occurrences of repeated runs travel on.
+
+Only whole sentences go: a repeated passage whose whole sentences are fewer than
+``span`` and hold fewer than ``run_words`` words, the rest being merged with its
+neighbours, stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from respondex.functions import text as X
 from respondex.llm.base import stored
 from respondex.llm.sketch import key_filter, possible_rows
 
 #: Sentences with the marks and white space that follow; joined they are the text again.
 SENTENCE = r"[^.!?\n。！？]+[.!?\n。！？]*[ \t\n\r\f]*|[.!?\n。！？]+[ \t\n\r\f]*"
 
+#: Characters of scripts without spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+
 
 def sentences(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
@@ -25,28 +34,46 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
 
 
-def span_table(docs: DataFrame, span: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, row, pos, h``: a row per run of sentences; a text of fewer sentences is one run."""
-    keys = F.transform(sentences(F.col(text_col)), lambda s: F.xxhash64(F.lower(F.regexp_replace(F.trim(F.regexp_replace(s, r"[ \t\n\r\f]+", " ")), " +", " "))))
-    base = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("row"), keys.alias("keys")).where(F.size("keys") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("keys") - span, F.lit(0)))
-    runs = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("keys"), i + j) for j in range(span)], F.least(F.size("keys"), F.lit(span))))
-    return base.select("id", "row", F.posexplode(runs).alias("pos", "h"))
-
+def span_table(docs: DataFrame, span: int, run_words: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, row, pos, n, h``: a row per run of ``n`` sentences; a text of fewer than ``span`` sentences is one run.
 
-def repeated_sentences(docs: DataFrame, span: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    ``run_words`` of 0 leaves only the runs of ``span`` sentences. Every sentence
+    counts as one word at least, so the shortest run of ``run_words`` words lies
+    in as many sentences. Han and kana characters count as words.
+    """
+    plain = F.transform(sentences(F.col(text_col)), lambda s: F.lower(F.regexp_replace(F.trim(F.regexp_replace(s, r"[ \t\n\r\f]+", " ")), " +", " ")))
+    base = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("row"), plain.alias("plain"))
+    unspaced = lambda s: F.when(F.octet_length(s) > F.length(s), F.regexp_count(s, F.lit(UNSPACED))).otherwise(0)
+    size = lambda s: F.size(F.split(s, " ")) + unspaced(s)
+    base = base.select("id", "row", F.transform("plain", lambda s: F.xxhash64(s)).alias("keys"), F.transform("plain", size).alias("words"))
+    whole = F.least(F.size("keys"), F.lit(span))
+    run = lambda i, n: F.struct(i.alias("pos"), n.alias("n"), F.xxhash64(F.slice("keys", i + 1, n), n).alias("h"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("keys") - whole), lambda i: run(i, whole))
+    if run_words:
+        # words and sentences of a run in one number: words * scale + sentences
+        scale = run_words + 1
+        grown = lambda x, w: F.when(x >= run_words * scale, x).otherwise(x + w.cast("long") * scale + 1)
+        reach = F.transform("words", lambda w, i: F.aggregate(F.slice("words", i + 1, run_words), F.lit(0).cast("long"), grown))
+        length = lambda x: F.when(x >= run_words * scale, (x % scale).cast("int")).otherwise(0)
+        short = F.filter(F.transform(reach, lambda x, i: F.struct(i.alias("pos"), length(x).alias("n"))), lambda r: (r["n"] > 0) & (r["n"] != whole))
+        runs = F.concat(runs, F.transform(short, lambda r: run(r["pos"], r["n"])))
+    return base.select("id", "row", F.explode(runs).alias("run")).select("id", "row", "run.*")
+
+
+def repeated_sentences(docs: DataFrame, span: int = 3, run_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``row, removed`` (sorted sentence numbers from 0) of the texts that lose sentences."""
-    spans = stored(span_table(docs, span, id_col, text_col).dropDuplicates(["row", "pos"]), "sentence-spans")
+    spans = stored(span_table(docs, span, run_words, id_col, text_col).dropDuplicates(["row", "pos", "n"]), "sentence-spans")
     repeated = stored(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-spans")
     hits = stored(possible_rows(spans, "h", key_filter(repeated, "h")).join(repeated, "h"), "repeated-occurrences")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "pos")
     first = hits.groupBy("h").agg(F.min(place).alias("first"))
     later = hits.join(first, "h").where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("pos"), lambda p: F.sequence(p, p + (span - 1))))))
+    ends = F.collect_set(F.struct("pos", "n"))
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform(ends, lambda r: F.sequence(r["pos"], r["pos"] + r["n"] - 1)))))
     return later.groupBy("row").agg(covered.alias("removed"))
 
 
-def drop_repeated_spans(docs: DataFrame, span: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, span: int = 3, id_col: str = "doc_id", text_col: str = "text", run_words: int = 20) -> DataFrame:
     """All rows and columns of ``docs``, the text without repeated spans, and ``n_sentences``, ``n_removed``, ``removed``.
 
     The first occurrence is that of the smallest (id, row digest, sentence
@@ -56,15 +83,20 @@ def drop_repeated_spans(docs: DataFrame, span: int = 3, id_col: str = "doc_id",
     the new names are replaced; an empty table gives an empty result.
     """
     docs = docs.drop("n_sentences", "n_removed", "removed")
-    cuts = stored(repeated_sentences(docs, span, id_col, text_col), "span-cuts").withColumnRenamed("row", "_row")
+    cuts = stored(repeated_sentences(docs, span, run_words, id_col, text_col), "span-cuts").withColumnRenamed("row", "_row")
     found = docs.withColumn("_row", _row_key(id_col, text_col)).join(cuts, "_row", "left").drop("_row")
-    pieces = sentences(F.col(text_col))
-    n = F.size(pieces)
-    inside = F.filter(F.coalesce("removed", F.array().cast("array<int>")), lambda p: p < n)
-    kept = F.array_join(F.filter(pieces, lambda s, i: ~F.array_contains(F.col("removed"), i)), "")
+    gone = F.coalesce("removed", F.array().cast("array<int>"))
+
+    def cut(pieces: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
+        kept = F.array_join(F.transform(left, lambda i: F.get(pieces, i)), "")
+        return F.struct(F.size(pieces).cast("long").alias("n"), F.when(F.size(gone) > 0, kept).otherwise(F.col(text_col)).alias("text"))
+
+    # a text is cut once, not again for every number in ``removed``
+    found = found.withColumn("_cut", X.let(sentences(F.col(text_col)), cut))
     return (
-        found.withColumn("n_sentences", n.cast("long")).withColumn("removed", inside).withColumn("n_removed", F.size("removed").cast("long"))
-        .withColumn(text_col, F.when(F.size("removed") > 0, kept).otherwise(F.col(text_col)))
+        found.withColumn("n_sentences", F.col("_cut.n")).withColumn("n_removed", F.size(gone).cast("long"))
+        .withColumn(text_col, F.col("_cut.text")).withColumn("removed", gone).drop("_cut")
     )
 
 

@@ -2,13 +2,16 @@
 
 import itertools
 import random
+import re
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from respondex.llm.fuzzy_lines import drop_fuzzy_lines, normal_line
 from respondex.llm.ngram_join import Shingler, join_ngrams, signatures
-from respondex.llm.substrings import drop_repeated_spans
+from respondex.llm.substrings import SENTENCE, drop_repeated_spans, substrings_sql
 
 SCHEMA = "doc_id long, text string, row string, key string, signature string, label string"
 
@@ -97,6 +100,55 @@ def test_repeated_spans_go_and_first_ones_stay(spark):
     assert got[0]["text"] == texts[0] and got[1]["text"] == "Other start. Other end." and got[2]["text"] == "" and got[5]["text"] is None
 
 
+def _brute_spans(texts, span, run_words):
+    """Sentences removed by the rule, by comparing all runs of all texts."""
+    cut = [re.findall(SENTENCE, t or "") for t in texts]
+    flat = [[" ".join(s.split()).lower() for s in c] for c in cut]
+    runs = {}
+    for d, sents in enumerate(flat):
+        for p in range(len(sents)):
+            lengths = {min(span, len(sents))} if p <= max(len(sents) - span, 0) else set()
+            words = 0
+            for n in range(1, len(sents) - p + 1):
+                words += len(sents[p + n - 1].split(" ")) + len(re.findall("[\u3040-\u30ff\u4e00-\u9fff]", sents[p + n - 1]))
+                if run_words and words >= run_words:
+                    lengths.add(n)
+                    break
+            for n in lengths:
+                runs.setdefault(tuple(sents[p : p + n]), []).append((d, p))
+    gone = {(d, p + k) for run, places in runs.items() for d, p in places if (d, p) != min(places) for k in range(len(run))}
+    return [[p for p in range(len(c)) if (d, p) in gone] for d, c in enumerate(cut)]
+
+
+def test_long_sentences_and_clipped_passages_go(spark):
+    rng = random.Random(9)
+    long, other = (" ".join(words(rng, 30)) + ". " for _ in range(2))
+    sents = [" ".join(words(rng, 10)) + ". " for _ in range(4)]
+    cjk = "一二三四五六七八九十甲乙丙丁戊己庚辛壬癸子丑。"
+    texts = [
+        "Own start. " + long + other + "Own end.", "Another start. " + long + "Middle of it. " + other.upper() + "Another end.",  # one long sentence each
+        "Joined " + "".join(sents), "Quite other " + "".join(sents)[:-2] + " and on. ",  # two whole sentences and clipped neighbours
+        "Vorn. " + cjk, "Hinten. " + cjk, "Short tail. Repeated bit.", "Short tail. Repeated part.", "", None,
+    ]
+    texts += [" ".join(" ".join(rng.choice(["x y.", "p q r s t u v w.", long, "z!", "\n\n"]) for _ in range(rng.randrange(1, 25))) for _ in range(2)) for _ in range(30)]
+    got = {r["doc_id"]: r for r in drop_repeated_spans(table(spark, texts)).collect()}
+    assert [got[i]["removed"] for i in range(8)] == [[], [1, 3], [], [1, 2], [], [1], [], []]
+    assert [got[i]["removed"] for i in range(len(texts))] == _brute_spans(texts, 3, 20)
+
+
+def test_runs_of_three_alone_equal_sql(spark):
+    rng = random.Random(4)
+    pool = [" ".join(words(rng, rng.randrange(1, 40))) + rng.choice(". ! ?".split()) for _ in range(12)]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    columns = ["doc_id", "n_sentences", "n_removed", "text"]
+    mine = drop_repeated_spans(table(spark, texts), run_words=0).select(*columns).collect()
+    assert sorted(map(tuple, mine)) == sorted(con.execute(substrings_sql()).fetchall())
+    wide = {r["doc_id"]: set(r["removed"]) for r in drop_repeated_spans(table(spark, texts)).collect()}
+    assert all(wide[r["doc_id"]] >= set(r["removed"]) for r in drop_repeated_spans(table(spark, texts), run_words=0).collect())
+
+
 def test_odd_tables(spark):
     rows = [(None, "a b c d e f. g h. i j. k l."), (None, "a b c d e f. g h. i j. k l."), (1, "a b c d e f. g h. i j. k l."), (2, "word " * 60000)]
     docs = table(spark, rows)
