@@ -6,8 +6,10 @@ are kept in text order; a licence is present where one of its rules, an ordered
 run of identifiers, stands in that sequence. Sentences nobody knows may come
 between, so wrapped or commented notices still match.
 
-A text is cut twice, once with every line end as a border (short notices on a
-line of their own) and once with blank lines only (sentences wrapped over lines).
+A text is cut three times: with every line end as a border (short notices on a
+line of their own), with blank lines only (sentences wrapped over lines), and
+with lines that hold no letter or digit and list numbers after a colon as borders
+(notices in comments).
 """
 
 from __future__ import annotations
@@ -49,6 +51,11 @@ RULES: dict[str, list[list[str]]] = {
             "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
             "See the GNU General Public License for more details.",
         ],
+        [
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+            "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+            "See the GNU General Public License for more details.",
+        ],
     ],
     "LGPL-3.0": [
         ["This work is licensed under the GNU Lesser General Public License, version 3."],
@@ -95,10 +102,42 @@ RULES: dict[str, list[list[str]]] = {
     "Unlicense": [
         ["This is free and unencumbered software released into the public domain."],
     ],
+    "LGPL-2.1": [
+        [
+            "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+            "See the GNU Lesser General Public License for more details.",
+        ],
+    ],
+    "AGPL-3.0": [
+        [
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+            "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+            "See the GNU Affero General Public License for more details.",
+        ],
+    ],
+    "BSL-1.0": [
+        ["Distributed under the Boost Software License, Version 1.0."],
+    ],
+    "Zlib": [
+        [
+            "This software is provided 'as-is', without any express or implied warranty.",
+            "In no event will the authors be held liable for any damages arising from the use of this software.",
+        ],
+    ],
+    "CC-BY-ND-4.0": [
+        ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    ],
+    "CC-BY-NC-SA-4.0": [
+        ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    ],
+    "CC-BY-NC-ND-4.0": [
+        ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    ],
 }
 
 SPACE = r"[\x20\x09-\x0D]"
 MARK = "\n"
+COMMENT_BORDER = r"\r?\n[^\p{L}\p{N}\r\n]*\r?\n|(?<=:)[\x20\x09]*\r?\n[^\p{L}\p{N}\r\n]*[0-9]{1,2}[.)](?=[\x20\x09])"
 
 
 def plain(sentence: str) -> str:
@@ -140,7 +179,7 @@ def scan_licenses(docs: DataFrame, rules: dict[str, list[list[str]]] = RULES, id
     """``id, licenses, sentence_ids, wrapped_sentence_ids`` for every row.
 
     ``licenses`` are the names found, sorted; the identifiers are those of the
-    two ways to cut the text, in text order with repeats. Null and empty texts
+    first two ways to cut the text, in text order with repeats. Null and empty texts
     give empty arrays. Repeated rows and null ids are kept, other columns
     ignored, an empty table gives an empty result. The rules are a fixed input
     and travel as literals; nothing is shuffled.
@@ -151,9 +190,10 @@ def scan_licenses(docs: DataFrame, rules: dict[str, list[list[str]]] = RULES, id
         F.col(id_col),
         _identifiers(text, "[\r\n]+", book).alias("sentence_ids"),
         _identifiers(text, r"\r?\n[\x20\x09]*\r?\n", book).alias("wrapped_sentence_ids"),
+        _identifiers(text, COMMENT_BORDER, book).alias("_commented"),
     )
-    lines, wrapped = (F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")) for c in ("sentence_ids", "wrapped_sentence_ids"))
-    hits = [F.when(lines.contains(key) | wrapped.contains(key), F.lit(name)) for name, key in rule_keys(rules)]
+    lines, wrapped, commented = (F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")) for c in ("sentence_ids", "wrapped_sentence_ids", "_commented"))
+    hits = [F.when(lines.contains(key) | wrapped.contains(key) | commented.contains(key), F.lit(name)) for name, key in rule_keys(rules)]
     names = F.array_sort(F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull())))
     return found.select(id_col, names.alias("licenses"), "sentence_ids", "wrapped_sentence_ids")
 

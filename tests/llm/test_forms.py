@@ -116,6 +116,52 @@ def test_licenses_are_found_and_equal_sql(spark):
     assert scan_licenses(docs(spark, rows).where(F.lit(False))).count() == 0
 
 
+APACHE = """Copyright 2020 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GNU = """This {0} is free software{3} you can redistribute it and/or modify
+it under the terms of the GNU {1} as published by
+the Free Software Foundation; either version {2} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {1} for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+
+
+def test_notices_as_published_plain_and_in_comments(spark):
+    notices = [
+        ("Apache-2.0", APACHE), ("GPL-2.0", GNU.format("program", "General Public License", "2", ";")), ("GPL-3.0", GNU.format("program", "General Public License", "3", ":")),
+        ("LGPL-2.1", GNU.format("library", "Lesser General Public License", "2.1", ";")), ("AGPL-3.0", GNU.format("program", "Affero General Public License", "3", ":")), ("BSD-3-Clause", BSD),
+    ]
+    shapes = [lambda t: t, lambda t: "/*\n" + "\n".join(" * " + x if x else " *" for x in t.split("\n")) + "\n */\nint x;"]
+    shapes += [lambda t, m=m: "\r\n".join((m + " " + x).strip() for x in t.split("\n")) for m in ("#", "//", ";;", "--")]
+    rows = [(k * 10 + n, shape(text), "s") for k, (_, text) in enumerate(notices) for n, shape in enumerate(shapes)]
+    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(docs(spark, rows)).collect()}
+    assert got == {i: [notices[i // 10][0]] for i, _, _ in rows}
+
+
 # --- vectors --------------------------------------------------------------------------------------------
 
 
