@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from respondex.llm import fingerprints, fuzzy_lines, licenses, mixing, ngram_join, sentencepiece_spans, substrings, toxicity, vector_links, warc
+from respondex.llm import byte_bpe, fingerprints, fuzzy_lines, licenses, mixing, ngram_join, sentencepiece_spans, substrings, toxicity, vector_links, warc
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    encoded = byte_bpe.encode_corpus(_read(spark, sf_dir, "documents"), ranks_path or tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "op1_ngram_join": (op1_ngram_join, None),
     "op2_mix_sources": (op2_mix_sources, mixing.mixing_sql()),
@@ -88,4 +100,5 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "op8_substring_dedup": (op8_substring_dedup, substrings.substrings_sql()),
     "op9_toxicity": (op9_toxicity, None),
     "op10_fingerprints": (op10_fingerprints, None),
+    "op11_byte_bpe": (op11_byte_bpe, None),
 }
