@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from respondex.llm import byte_bpe, fingerprints, fuzzy_lines, licenses, mixing, ngram_join, sentencepiece_spans, substrings, toxicity, vector_links, warc
+from respondex.llm import byte_bpe, fingerprints, fuzzy_lines, lexical_search, licenses, mixing, ngram_join, sentencepiece_spans, substrings, toxicity, vector_links, warc, whitening
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -89,6 +89,15 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str, ranks_path: str | None = Non
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.whiten_vectors(_read(spark, sf_dir, "embeddings"))
+    return whitened.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, tuple[Run, str | None]] = {
     "op1_ngram_join": (op1_ngram_join, None),
     "op2_mix_sources": (op2_mix_sources, mixing.mixing_sql()),
@@ -101,4 +110,6 @@ QUERIES: dict[str, tuple[Run, str | None]] = {
     "op9_toxicity": (op9_toxicity, None),
     "op10_fingerprints": (op10_fingerprints, None),
     "op11_byte_bpe": (op11_byte_bpe, None),
+    "op12_whitening": (op12_whitening, None),
+    "op13_lexical_search": (op13_lexical_search, lexical_search.search_sql()),
 }
