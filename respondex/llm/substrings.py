@@ -100,16 +100,21 @@ def drop_repeated_spans(docs: DataFrame, span: int = 3, id_col: str = "doc_id",
     )
 
 
-def substrings_sql(span: int = 3) -> str:
+def substrings_sql(span: int = 3, run_words: int = 20) -> str:
     """The digest columns of op8 in DuckDB SQL (ids without repeats)."""
     piece = SENTENCE.replace(r"。", "。").replace(r"！", "！").replace(r"？", "？")
+    words = "len(string_split(s, ' ')) + CASE WHEN strlen(s) > length(s) THEN len(regexp_extract_all(s, '[\\p{Han}\\p{Hiragana}\\p{Katakana}]')) ELSE 0 END"
+    short = f"""
+  UNION ALL SELECT * FROM (SELECT doc_id, p, pos, list_filter(range(1, least(len(p) - pos, {run_words}) + 1), lambda n: list_sum(w[pos + 1:pos + n]) >= {run_words})[1] AS n
+    FROM (SELECT *, unnest(range(len(p))) AS pos FROM w)) WHERE n IS NOT NULL AND n <> least(len(p), {span})"""
     return f"""
 WITH d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{piece}') AS p FROM documents),
 k AS (SELECT doc_id, list_transform(p, lambda s: lower(trim(regexp_replace(s, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' '))) AS p FROM d WHERE len(p) > 0),
-r AS (SELECT doc_id, p, unnest(range(greatest(len(p) - {span}, 0) + 1)) AS pos FROM k),
-h AS (SELECT doc_id, pos, p[pos + 1:pos + {span}] AS run FROM r),
-n AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS occurrence FROM h),
-c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {span})) AS i FROM n WHERE occurrence > 1),
+w AS (SELECT doc_id, p, list_transform(p, lambda s: {words}) AS w FROM k),
+r AS (SELECT doc_id, p, unnest(range(greatest(len(p) - {span}, 0) + 1)) AS pos, least(len(p), {span}) AS n FROM k{short if run_words else ""}),
+h AS (SELECT doc_id, pos, n, p[pos + 1:pos + n] AS run FROM r),
+n AS (SELECT doc_id, pos, n, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS occurrence FROM h),
+c AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS i FROM n WHERE occurrence > 1),
 x AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id)
 SELECT doc_id, len(p)::BIGINT AS n_sentences, coalesce(len(list_filter(gone, lambda i: i < len(p))), 0)::BIGINT AS n_removed,
   CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(len(p)), lambda i: NOT list_contains(gone, i)), lambda i: p[i + 1]), '') END AS text

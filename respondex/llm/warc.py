@@ -17,10 +17,11 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from respondex.functions.ranking import with_group_stats
 from respondex.llm.base import new_folder, slices, stored
@@ -28,6 +29,9 @@ from respondex.llm.base import new_folder, slices, stored
 LEAST_REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 20
+#: What a task takes at most, on average, however many there are.
+ARCHIVES_PER_TASK = 16
+READ_BYTES_PER_TASK = 32 << 20
 INDEX_SCHEMA = "archive string, page_id string, record_type string, offset bigint, length bigint, payload_bytes bigint, payload_digest string, refers_to string"
 
 
@@ -45,7 +49,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 
 def _uri(page_id) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+    """Ids may hold any character: all but letters, digits and ``_.-~`` are percent-encoded. A null id has no colon."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
 
 
 def _record(row: dict) -> bytes:
@@ -96,6 +101,15 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 32 << 2
     return records.mapInArrow(run, "archive string")
 
 
+def _parts(spark: SparkSession, units: int, needed: int) -> int:
+    """A number of partitions for ``units`` pieces of work: four for each core, or ``needed`` if that is more.
+
+    The rows hold names only, so Spark, which merges partitions by their bytes,
+    would give them all to one task; it leaves explicit numbers alone.
+    """
+    return max(1, min(units, max(4 * spark.sparkContext.defaultParallelism, needed)))
+
+
 def _names(names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["archive"])
 
@@ -162,11 +176,12 @@ def normalise_archives(archives: DataFrame, folder: str, target: str) -> DataFra
             if rows:
                 yield _index(rows)
 
-    return archives.repartition(F.col("archive")).mapInArrow(run, INDEX_SCHEMA)
+    many = archives.count()
+    return archives.repartition(_parts(archives.sparkSession, many, -(-many // ARCHIVES_PER_TASK)), "archive").mapInArrow(run, INDEX_SCHEMA)
 
 
 def _page(uri: str | None) -> str | None:
-    return None if uri is None else uri.removeprefix("<urn:page:").removesuffix(">") or None
+    return None if uri is None or uri == "<urn:page>" else unquote(uri.removeprefix("<urn:page:").removesuffix(">"))
 
 
 def _index(rows: list[list]) -> pa.RecordBatch:
@@ -199,7 +214,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 kinds = [pa.string()] * 3 + [pa.int64(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
-    near = index.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    records, size = index.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    near = index.repartitionByRange(_parts(index.sparkSession, records, -(-size // READ_BYTES_PER_TASK)), "archive", "offset").sortWithinPartitions("archive", "offset")
     return near.select("archive", "offset", "length").mapInArrow(run, "page_id string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, payload binary")
 
 
@@ -207,7 +223,7 @@ def archive_pages(pages: DataFrame, archive_bytes: int = 32 << 20) -> DataFrame:
     """Archive ``pages`` (page_id, url, html) and read the records back, one row per page.
 
     Null html is an empty payload, a null url is written as ``urn:none``. A
-    null page_id is kept; with a payload that another page has it is a revisit
+    null page_id is kept, and ids of any characters (empty, line breaks); with a payload that another page has it is a revisit
     of that page. Repeated rows of the smallest page_id are responses each. An
     empty table gives an empty result; other columns are ignored.
     """

@@ -144,7 +144,9 @@ def test_runs_of_three_alone_equal_sql(spark):
     con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
     columns = ["doc_id", "n_sentences", "n_removed", "text"]
     mine = drop_repeated_spans(table(spark, texts), run_words=0).select(*columns).collect()
-    assert sorted(map(tuple, mine)) == sorted(con.execute(substrings_sql()).fetchall())
+    assert sorted(map(tuple, mine)) == sorted(con.execute(substrings_sql(run_words=0)).fetchall())
+    whole = drop_repeated_spans(table(spark, texts)).select(*columns).collect()
+    assert sorted(map(tuple, whole)) == sorted(con.execute(substrings_sql()).fetchall())
     wide = {r["doc_id"]: set(r["removed"]) for r in drop_repeated_spans(table(spark, texts)).collect()}
     assert all(wide[r["doc_id"]] >= set(r["removed"]) for r in drop_repeated_spans(table(spark, texts), run_words=0).collect())
 
