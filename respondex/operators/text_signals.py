@@ -10,6 +10,7 @@ from respondex.config import SignalConfig
 from respondex.functions import lexicons as L
 from respondex.functions import text as X
 from respondex.functions.ranking import attach_row
+from respondex.session import ensure_checkpoint_dir
 
 
 def text_metrics(df: DataFrame, text: str, cfg: SignalConfig) -> DataFrame:
@@ -382,32 +383,45 @@ def cross_answer_overlap(df: DataFrame, id_col: str, pos: str, text: str) -> Dat
     )
 
 
+WINDOWS = (16, 4, 1)
+
+
+def _winnowed(hashes: Column, width: int) -> Column:
+    """The smallest hash of every window of ``width`` words, each once."""
+    starts = F.sequence(F.lit(1), F.size(hashes) - (width - 1))
+    least = hashes if width == 1 else F.transform(starts, lambda i: F.array_min(F.slice(hashes, i, width)))
+    return F.when(F.size(hashes) >= width, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+
+
 def copied_across_fields(df: DataFrame, id_col: str, pos: str, text: str, min_chars: int = 10) -> DataFrame:
     """Answers whose words appear again, whole or inside a longer answer of the same respondent.
 
-    Equal texts are counted, not paired. A text inside a longer one has its
-    longest word there too, so candidates meet on (respondent, that word).
+    Equal texts are counted, not paired. For the others, an answer names the
+    smallest word hash of its first window of 16, 4 or 1 words, the widest that
+    it fills; a longer answer names those of all its windows (winnowing). If it
+    contains the short one, it contains that window, so both name the same hash.
+    Only hashes and digests meet; texts are fetched for candidate pairs.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     tokens = F.array_join(X.lower_words(F.col(text)), " ")
     t = df.select(id_col, pos, tokens.alias("t")).where(F.length("t") > 0)
-    distinct = t.groupBy(id_col, "t").agg(F.count(F.lit(1)).alias("same"))
-    distinct = distinct.withColumn("w", F.array_distinct(F.split("t", " ")))
-    anchor = F.element_at(F.array_sort(F.transform("w", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("x")))), 1)["x"]
-    short = distinct.where(F.length("t") > min_chars).select(id_col, F.col("t").alias("a"), anchor.alias("word"))
-    long_ = distinct.select(id_col, F.col("t").alias("b"), "same", F.explode("w").alias("word"))
-    inside = (
-        short.join(long_, [id_col, "word"])
-        .where((F.length("b") > F.length("a")) & F.concat(F.lit(" "), F.col("b"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("a"), F.lit(" "))))
-        .groupBy(id_col, F.col("a").alias("t"))
-        .agg(F.sum("same").alias("contained_in"))
-    )
+    distinct = t.groupBy(id_col, F.md5("t").alias("k")).agg(F.count(F.lit(1)).alias("same"), F.any_value("t").alias("t"), F.max(F.length("t")).alias("chars")).checkpoint()
+    marked = distinct.withColumn("h", F.transform(F.split("t", " "), lambda w: F.xxhash64(w)))
+    own = F.when(F.size("h") >= 16, 16).when(F.size("h") >= 4, 4).otherwise(1)
+    short = marked.where(F.col("chars") > min_chars).select(id_col, F.col("k").alias("a"), F.col("chars").alias("ca"), own.alias("width"), F.array_min(F.slice("h", F.lit(1), own)).alias("mark"))
+    marks = F.array(*[F.struct(F.lit(w).alias("width"), _winnowed(F.col("h"), w).alias("marks")) for w in WINDOWS])
+    long_ = marked.select(id_col, F.col("k").alias("b"), F.col("chars").alias("cb"), F.explode(marks).alias("x")).select(id_col, "b", "cb", "x.width", F.explode("x.marks").alias("mark"))
+    met = short.join(long_, [id_col, "width", "mark"]).where(F.col("cb") > F.col("ca")).select(id_col, "a", "b").distinct()
+    texts = distinct.select(id_col, "k", F.concat(F.lit(" "), "t", F.lit(" ")).alias("t"))
+    both = met.join(texts.withColumnRenamed("k", "a").withColumnRenamed("t", "ta"), [id_col, "a"]).join(texts.withColumnRenamed("k", "b").withColumnRenamed("t", "tb"), [id_col, "b"])
+    inside = both.where(F.col("tb").contains(F.col("ta"))).select(id_col, F.col("a").alias("k"), F.lit(1).alias("contained")).distinct()
     return (
-        distinct.join(inside, [id_col, "t"], "left")
+        distinct.join(inside, [id_col, "k"], "left")
         .groupBy(id_col)
         .agg(
             F.sum("same").alias("n_answers"),
-            F.sum(F.when((F.col("same") > 1) & (F.length("t") > 5), F.col("same")).otherwise(0)).alias("identical_answers"),
-            F.sum(F.when(F.col("contained_in").isNotNull(), F.col("same")).otherwise(0)).alias("contained_answers"),
+            F.sum(F.when((F.col("same") > 1) & (F.col("chars") > 5), F.col("same")).otherwise(0)).alias("identical_answers"),
+            F.sum(F.when(F.col("contained").isNotNull(), F.col("same")).otherwise(0)).alias("contained_answers"),
         )
         .withColumn("copied", ((F.col("identical_answers") > 0) | (F.col("contained_answers") > 0)).cast("int"))
     )
@@ -418,11 +432,12 @@ def topic_mismatch(c: Column, keywords: Sequence[str], min_words: int = 5) -> Co
     return (F.size(F.split(t, " ")) >= min_words) & ~X.contains_any(t, tuple(keywords))
 
 
-def tfidf(df: DataFrame, id_col: str, terms: Column, min_df: int, max_df: float, max_features: int) -> DataFrame:
-    """Exact TF-IDF: smooth idf, L2 norm per document, vocabulary = most frequent terms.
+def tfidf(df: DataFrame, id_col: str, terms: Column, min_df: int, max_df: float, max_features: int | None = None, digits: int | None = 6) -> DataFrame:
+    """Exact TF-IDF: smooth idf, L2 norm per document, every term within the document frequencies.
 
-    ``terms`` is an array column. The vocabulary has ``max_features`` terms at
-    most, which bounds its broadcast.
+    ``terms`` is an array column. ``max_features`` keeps the most frequent terms
+    only, for models with a fixed number of inputs; by default all stay, and the
+    vocabulary meets the counts by an ordinary join on the term.
     """
     tf = (
         df.select(id_col, F.explode(terms).alias("term"))
@@ -430,16 +445,14 @@ def tfidf(df: DataFrame, id_col: str, terms: Column, min_df: int, max_df: float,
     )
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    vocabulary = (
-        attach_row(stats, n_docs)
-        .where((F.col("df") >= min_df) & (F.col("df") <= F.col("n_docs") * max_df))
-        .orderBy(F.col("total").desc(), "term")
-        .limit(max_features)
-        .select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    )
-    weighted = tf.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    vocabulary = attach_row(stats, n_docs).where((F.col("df") >= min_df) & (F.col("df") <= F.col("n_docs") * max_df))
+    if max_features is not None:
+        vocabulary = vocabulary.orderBy(F.col("total").desc(), "term").limit(max_features)
+    vocabulary = vocabulary.select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighted = tf.join(vocabulary, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, id_col).select(id_col, "term", "tf", F.round(F.col("w") / F.col("norm"), 6).alias("tfidf"))
+    value = F.col("w") / F.col("norm")
+    return weighted.join(norms, id_col).select(id_col, "term", "tf", (value if digits is None else F.round(value, digits)).alias("tfidf"))
 
 
 def word_terms(c: Column, stop_words: Sequence[str] = ()) -> Column:

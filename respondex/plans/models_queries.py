@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from respondex.operators import models as M
 from respondex.operators import signals as G
+from respondex.operators.isolation import isolation_scores
 from respondex.plans.catalog import query
 from respondex.plans.integrity_queries import split_frame
 from respondex.plans.study import respondent_texts, scored_frame, vectors
@@ -42,7 +43,7 @@ def s11(spark, sf):
 
 @query("s14_isolation_score")
 def s14(spark, sf):
-    return M.isolation_scores(frame(spark, sf), "respondent_id", ("word_count", "unique_token_ratio", "missing_rate", "modal_share"))
+    return isolation_scores(frame(spark, sf), "respondent_id", ("word_count", "unique_token_ratio", "missing_rate", "modal_share"))
 
 
 @query("d30_estimate_reject_rate")

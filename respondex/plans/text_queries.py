@@ -337,10 +337,10 @@ def c19(spark, sf):
     return docs(spark, sf).select("respondent_id", T.topic_mismatch(F.col("open_text"), STUDY.topic_keywords).cast("int").alias("topic_mismatch"))
 
 
-def tfidf_sql(terms_cte: str, min_df: int, max_df: float, k: int) -> str:
+def tfidf_sql(terms_cte: str, min_df: int, max_df: float) -> str:
     return f"""WITH {terms_cte}, tf AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
-    v AS (SELECT term, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1), n
-      WHERE df >= {min_df} AND df <= n * {max_df}::DOUBLE ORDER BY total DESC, term LIMIT {k}),
+    v AS (SELECT term, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), n
+      WHERE df >= {min_df} AND df <= n * {max_df}::DOUBLE),
     w AS (SELECT id, term, tf, tf * idf AS w FROM tf JOIN v USING (term)), l AS (SELECT id, sqrt(sum(w * w)) AS l2 FROM w GROUP BY 1)
     SELECT id AS respondent_id, term, tf, round(w / l2, 6) AS tfidf FROM w JOIN l USING (id)"""
 
@@ -350,11 +350,11 @@ def tfidf_sql(terms_cte: str, min_df: int, max_df: float, k: int) -> str:
     tfidf_sql(
         """tk AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents),
     terms AS (SELECT id, unnest(w) AS term FROM tk UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM tk)""",
-        5, 0.8, 200,
+        5, 0.8,
     ),
 )
 def c20(spark, sf):
-    return T.tfidf(docs(spark, sf), "respondent_id", T.word_terms(F.col("open_text")), min_df=5, max_df=0.8, max_features=200)
+    return T.tfidf(docs(spark, sf), "respondent_id", T.word_terms(F.col("open_text")), min_df=5, max_df=0.8)
 
 
 @query(
@@ -363,11 +363,11 @@ def c20(spark, sf):
         """tk AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w0 FROM documents), pd AS (SELECT id, ' ' || w0 || ' ' AS w FROM tk),
     sz AS (SELECT id, w, unnest([3, 4, 5]) AS n FROM pd),
     terms AS (SELECT id, unnest(list_transform(range(1, greatest(length(w) - n + 2, 1)), lambda i: substr(w, i, n))) AS term FROM sz)""",
-        5, 0.8, 100,
+        5, 0.8,
     ),
 )
 def c21(spark, sf):
-    return T.tfidf(docs(spark, sf), "respondent_id", T.char_terms(F.col("open_text"), 3, 5), min_df=5, max_df=0.8, max_features=100)
+    return T.tfidf(docs(spark, sf), "respondent_id", T.char_terms(F.col("open_text"), 3, 5), min_df=5, max_df=0.8)
 
 
 @query(
