@@ -20,6 +20,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from respondex.session import ensure_checkpoint_dir
+
 _STEPS = 1024
 _FLOOR_EXP = -30
 
@@ -160,6 +162,31 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 HOT_SHARE = 1000
+#: Groups whose statistics are sent to every task; more are matched through a shuffle.
+BROADCAST_GROUPS = 50_000
+
+
+def attach_groups(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Put the one row that ``stats`` has for a group next to every row of the group.
+
+    Groups are counted first. Up to ``BROADCAST_GROUPS`` are broadcast, so rows
+    stay where they are and a data set with a third of all rows is no hot key.
+    Beyond that, groups of more than 1/1000 of all rows (999 at most) are
+    broadcast and all others meet through the shuffle. Null keys match nothing;
+    ``how`` is ``left`` or ``inner``.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    k = list(keys)
+    names = [c for c in stats.columns if c not in k]
+    stats = stats.select(*k, *names).checkpoint()
+    if stats.count() <= BROADCAST_GROUPS:
+        return df.join(F.broadcast(stats), k, how)
+    sizes = df.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
+    hot = attach_row(sizes, sizes.agg(F.sum("_n").alias("_total"))).where(F.col("_n") * HOT_SHARE > F.col("_total")).select(*k).checkpoint()
+    few, rest = df.join(F.broadcast(hot), k, "left_semi"), df.join(F.broadcast(hot), k, "left_anti")
+    cols = [*df.columns, *names]
+    return few.join(F.broadcast(stats.join(F.broadcast(hot), k, "left_semi")), k, how).select(*cols).unionByName(rest.join(stats, k, how).select(*cols))
+
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], row_id: str, **aggs: Column) -> DataFrame:

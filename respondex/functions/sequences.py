@@ -27,6 +27,8 @@ def ordered(df: DataFrame, key: str, order: str, tie: str, value: str, hot_rows:
     """Adds ``pos`` (from 1), ``n``, ``prev1``, ``prev2`` and ``run_id`` in (order, tie) order."""
     src = df.select(key, order, tie, value)
     hot = hot_keys(src, key, hot_rows)
+    if hot.isEmpty():  # no giant: one window, and no plan for the other way
+        return _by_window(src, key, order, tie, value)
     normal = src.join(F.broadcast(hot.select(key)), key, "left_anti")
     giant = src.join(F.broadcast(hot), key)
     return _by_window(normal, key, order, tie, value).unionByName(_by_blocks(giant, key, order, tie, value))

@@ -7,11 +7,11 @@ threshold, so results do not depend on the order of rows.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from respondex.functions import lexicons as L
 from respondex.functions import ranking as R
@@ -262,27 +262,38 @@ def version_deltas(df: DataFrame, version: str, metrics: Sequence[str], targets:
     return out
 
 
+#: Rows of a cell that are drawn together; a cell of more rows is the sum of several draws.
+DRAW_ROWS = 64
+DRAW_BITS = 52
+
+
+def poisson_table(spark: SparkSession, most: int = DRAW_ROWS) -> DataFrame:
+    """``m, cdf``: P(X <= 0), P(X <= 1), ... of the Poisson distributions with mean 1 to ``most``, up to 12 deviations beyond the mean."""
+    rows = []
+    for m in range(1, most + 1):
+        steps = range(int(m + 12 * math.sqrt(m) + 12))
+        rows.append((m, list(itertools.accumulate(math.exp(k * math.log(m) - m - math.lgamma(k + 1)) for k in steps))))
+    return spark.createDataFrame(rows, "m int, cdf array<double>")
+
+
 def bootstrap(df: DataFrame, score: str, label: str, pred: str, resamples: int = 400, seed: int = 2607) -> DataFrame:
     """95 % intervals of the metrics from Poisson resampling.
 
     Giving every row a Poisson(1) weight gives a group of n equal rows a
     Poisson(n) weight, so rows are counted per (score, label, prediction) first
-    and only those cells are resampled. The draws of a cell depend on the cell
-    alone: a task that runs again draws the same.
+    and only those cells are resampled. A draw inverts the Poisson distribution
+    at a number that is the digest of (cell, part of the cell, resample, seed):
+    it depends on nothing else, and any engine with MD5 draws the same.
     """
     cells = df.where(F.col(label).isNotNull()).groupBy(F.round(score, 6).alias("s"), F.col(label).cast("int").alias("y"), F.col(pred).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    cells = cells.withColumn("key", F.pmod(F.xxhash64("s", "y", "p", F.lit(seed)), F.lit(1 << 62)))
-
-    def draw(batches):
-        for pdf in batches:
-            out = []
-            for s, y, p, c, key in pdf.itertuples(index=False):
-                w = np.random.default_rng(int(key)).poisson(c, resamples)
-                out.append(pd.DataFrame({"rep": np.arange(resamples), "s": s, "y": y, "p": p, "w": w}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    r = cells.mapInPandas(draw, "rep int, s double, y int, p int, w long").where("w > 0")
+    parts = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / DRAW_ROWS).cast("int"))))
+    parts = parts.withColumn("m", F.least(F.lit(DRAW_ROWS), F.col("c") - F.col("part") * DRAW_ROWS).cast("int")).join(F.broadcast(poisson_table(df.sparkSession)), "m")  # 64 rows
+    draws = parts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    name = F.concat_ws("|", F.round(F.col("s") * 1_000_000).cast("long"), "y", "p", "part", "rep", F.lit(seed))
+    u = (F.conv(F.substring(F.md5(name), 1, DRAW_BITS // 4), 16, 10).cast("long") + 0.5) / float(1 << DRAW_BITS)
+    # the place of u among the rising probabilities is the draw
+    draws = draws.select("rep", "s", "y", "p", "cdf", u.alias("u")).select("rep", "s", "y", "p", F.size(F.filter("cdf", lambda x: x < F.col("u"))).cast("long").alias("w"))
+    r = draws.groupBy("rep", "s", "y", "p").agg(F.sum("w").alias("w")).where("w > 0")
     y, p, w = F.col("y"), F.col("p"), F.col("w")
     counts = r.groupBy("rep").agg(
         F.sum(F.when((y == 1) & (p == 1), w).otherwise(0)).alias("tp"), F.sum(F.when((y == 0) & (p == 1), w).otherwise(0)).alias("fp"),

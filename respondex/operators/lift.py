@@ -46,7 +46,7 @@ def smoothed_rates(df: DataFrame, key: str, rejected: str, is_train: Column, pri
     overall = train.agg(F.avg(rejected).alias("_g"))
     keys = train.groupBy(key).agg(F.count(F.lit(1)).alias("train_n"), F.sum(rejected).alias("_s"))
     keys = R.attach_row(keys, overall).select(key, "train_n", ((F.col("_s") + prior * F.col("_g")) / (F.col("train_n") + prior)).alias("_r"))
-    out = R.attach_row(df.join(keys, key, "left"), overall)
+    out = R.attach_row(R.attach_groups(df, keys, [key]), overall)
     return out.withColumn("smoothed_rate", F.coalesce("_r", "_g")).withColumn("train_n", F.coalesce("train_n", F.lit(0))).drop("_r", "_g")
 
 
@@ -166,8 +166,9 @@ def pair_summary(pairs: DataFrame, dataset: str) -> DataFrame:
     )
 
 
-def triple_interactions(df: DataFrame, dataset: str, signals: str = "signals", rejected: str = "rejected", top: int = 8, min_support: int = 12) -> DataFrame:
-    kept = _kept(df, dataset, signals, rejected, top_signals(signal_prevalence(df, dataset, signals, rejected), top))
+def triple_interactions(df: DataFrame, dataset: str, signals: str = "signals", rejected: str = "rejected", min_support: int = 12) -> DataFrame:
+    """Signal triples over all signals; a row has as many as its own signals form."""
+    kept = labelled(df, rejected).select(dataset, rejected, F.array_sort(signals).alias("s"))
     triples = F.transform(_combinations("s", 3), lambda c: F.array_join(c, "|"))
     per = kept.select(dataset, rejected, F.explode(triples).alias("pattern")).groupBy("pattern", dataset).agg(
         F.count(F.lit(1)).alias("c"), n_if(F.col(rejected) == 1).alias("r")

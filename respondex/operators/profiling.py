@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from respondex.functions import lexicons as L
 from respondex.functions import ranking as R
+from respondex.functions import sequences as Q
 from respondex.functions import text as X
 
 
@@ -266,20 +267,35 @@ def question_contracts(stats: DataFrame, prompts: dict[str, str]) -> DataFrame:
     )
 
 
-def relation_edges(df: DataFrame, id_col: str, pos: str, group: str, open_groups: Sequence[str]) -> DataFrame:
-    """Edges between neighbours in an explicit order and between neighbours of one family.
+# --- fixed values: what an earlier question of the same family means for the later one ------------
+FAMILY_RELATIONS = {
+    "brand and product funnel": "funnel progression",
+    "open-ended grounding": "open/closed contradiction",
+    "qualification and respondent universe": "prerequisite",
+    "matrix behavior": "parallel matrix context",
+}
+ANY_FAMILY = "parallel"
+SEQUENTIAL = "sequential route context"
+
+
+def relation_edges(df: DataFrame, id_col: str, pos: str, family: str, relations: dict[str, str] = FAMILY_RELATIONS, hot_rows: int = 100_000) -> DataFrame:
+    """``id, source, target, relationship``: every question with the one before it, and with the one before it of its own family.
 
-    Positions are whole numbers without gaps, so "next" is an equi-join on
-    (id, position + 1): no window over one respondent.
+    ``pos`` is a number, unique for the id, in the order of the questions; gaps
+    are allowed, "before" is the next smaller position there is. Questions
+    without an id or position take part in nothing, those without a family only
+    in the sequence. A respondent with a large share of all questions is ordered
+    by ranges (``sequences.ordered``).
     """
-    a = df.select(id_col, F.col(pos).alias("source"), F.col(group).alias("ga"))
-    b = df.select(id_col, F.col(pos).alias("target"), F.col(group).alias("gb"), (F.col(pos) - 1).alias("source"))
-    relation = (
-        F.when(F.col("ga") == F.col("gb"), "same_matrix_or_entity_group")
-        .when(F.col("ga").isin(*open_groups) | F.col("gb").isin(*open_groups), "open_closed_support_or_contradiction")
-        .otherwise("sequential")
-    )
-    return a.join(b, [id_col, "source"]).select(id_col, "source", "target", relation.alias("relationship"))
+    d = df.select(F.col(id_col).alias("_i"), F.col(pos).cast("long").alias("_p"), F.col(family).alias("_f")).where("_i IS NOT NULL AND _p IS NOT NULL")
+
+    def before(rows: DataFrame, key: str) -> DataFrame:
+        return Q.ordered(rows.withColumn("_tie", F.col("_p")).withColumn("_at", F.col("_p")), key, "_p", "_tie", "_at", hot_rows).where("prev1 IS NOT NULL")
+
+    route = before(d, "_i").select(F.col("_i").alias(id_col), F.col("prev1").alias("source"), F.col("_at").alias("target"), F.lit(SEQUENTIAL).alias("relationship"))
+    own = before(d.where("_f IS NOT NULL").withColumn("_k", F.struct("_i", "_f")), "_k")
+    kind = lookup(F.col("_k._f"), relations, ANY_FAMILY) if relations else F.lit(ANY_FAMILY)
+    return route.unionByName(own.select(F.col("_k._i").alias(id_col), F.col("prev1").alias("source"), F.col("_at").alias("target"), kind.alias("relationship")))
 
 
 def routing_subset(df: DataFrame, column: str, isin: Sequence[str] = (), contains: Sequence[str] = (), not_blank: bool = True) -> DataFrame:

@@ -475,7 +475,7 @@ def calibrate_to_rate(df: DataFrame, dataset: str, id_col: str, judgment: str, u
     key = F.when(F.col(judgment) == "REVIEW", -F.col(up)).when(F.col(judgment) == "DISCARD", F.col(firm))
     d = df.withColumn("_key", key)
     ranked = R.positions(d.where("_key IS NOT NULL").select(dataset, judgment, id_col, "_key"), [dataset, judgment], "_key", id_col, out="_pos").select(id_col, "_pos")
-    out = d.join(ranked, id_col, "left").join(sizes, dataset)
+    out = R.attach_groups(d.join(ranked, id_col, "left"), sizes, [dataset], "inner")
     up_ = (F.col(judgment) == "REVIEW") & (F.col("_pos") <= F.col("_need"))
     down = (F.col(judgment) == "DISCARD") & (F.col("_pos") <= -F.col("_need"))
     return out.withColumn("calibrated_judgment", F.when(up_, "DISCARD").when(down, "REVIEW").otherwise(F.col(judgment))).withColumn(

@@ -19,7 +19,7 @@ def stratified_split(df: DataFrame, strata: Sequence[str], id_col: str, seed: st
     p = R.positions(d, strata, "_h", id_col, out="_pos")
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
     share = (F.col("_pos") - 1) / F.col("_n")
-    return p.join(sizes, list(strata)).withColumn("split", F.when(share < train, "train").when(share < train + val, "val").otherwise("test")).drop("_h", "_pos", "_n")
+    return R.attach_groups(p, sizes, list(strata), "inner").withColumn("split", F.when(share < train, "train").when(share < train + val, "val").otherwise("test")).drop("_h", "_pos", "_n")
 
 
 def folds(id_col: str, seed: str, k: int) -> Column:

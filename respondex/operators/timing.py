@@ -20,7 +20,7 @@ def timing_bands(df: DataFrame, dataset: str, qtime: str) -> DataFrame:
         .when(t <= F.col("p50"), "below_median")
         .otherwise("above_median")
     )
-    return df.join(cuts, dataset, "left").withColumn("timing_band", band).drop("p10", "p25", "p50")
+    return R.attach_groups(df, cuts, [dataset]).withColumn("timing_band", band).drop("p10", "p25", "p50")
 
 
 def timing_bands6(df: DataFrame, dataset: str, qtime: str) -> DataFrame:
@@ -33,13 +33,13 @@ def timing_bands6(df: DataFrame, dataset: str, qtime: str) -> DataFrame:
         .when(t < F.col("p10"), "bottom_10").when(t < F.col("p25"), "bottom_25").when(t < F.col("p50"), "below_median")
         .when(t < F.col("p75"), "above_median").when(t < F.col("p90"), "top_25").otherwise("top_10")
     )
-    return df.join(cuts, dataset, "left").withColumn("timing_band6", band).drop(*probs)
+    return R.attach_groups(df, cuts, [dataset]).withColumn("timing_band6", band).drop(*probs)
 
 
 def fast_flags(df: DataFrame, dataset: str, qtime: str, fast: float = 240.0, brisk: float = 300.0, short: float = 600.0, per_unit: float = 60.0) -> DataFrame:
     """Speed class; a median of 30 or less means the column is in minutes, so limits shrink by ``per_unit``."""
     med = R.quantiles(df, [dataset], qtime, {"_med": 0.5}).drop("n_rows")
-    out = df.join(med, dataset, "left").withColumn("_unit", F.when(F.col("_med") > 30, F.lit(1.0)).otherwise(F.lit(per_unit)))
+    out = R.attach_groups(df, med, [dataset]).withColumn("_unit", F.when(F.col("_med") > 30, F.lit(1.0)).otherwise(F.lit(per_unit)))
     t = F.col(qtime)
     cls = (
         F.when(t.isNull() | (t <= 0), "unknown")
@@ -53,9 +53,9 @@ def robust_z(df: DataFrame, dataset: str, qtime: str, rejected: str) -> DataFram
     """Distance from the accepted median in units of the accepted MAD; fast = below the accepted p10."""
     accepted = df.where((F.col(rejected) == 0) & F.col(qtime).isNotNull())
     base = R.quantiles(accepted, [dataset], qtime, {"med": 0.5, "p10": 0.1}).drop("n_rows")
-    dev = accepted.join(base, dataset).withColumn("dev", F.abs(F.col(qtime) - F.col("med")))
+    dev = R.attach_groups(accepted, base, [dataset], "inner").withColumn("dev", F.abs(F.col(qtime) - F.col("med")))
     mad = R.quantiles(dev, [dataset], "dev", {"mad": 0.5}).drop("n_rows")
-    out = df.join(base, dataset, "left").join(mad, dataset, "left")
+    out = R.attach_groups(df, base.join(mad, dataset, "left"), [dataset])
     scale = F.when(F.coalesce("mad", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("mad"))
     return out.withColumn("robust_z", (F.col(qtime) - F.col("med")) / scale).withColumn(
         "fast_route_adjusted", F.coalesce((F.col(qtime) < F.col("p10")).cast("int"), F.lit(0))
@@ -74,16 +74,16 @@ def quantile_bucket(df: DataFrame, dataset: str, value: str, parts: int, out: st
     names = {f"_e{i}": i / parts for i in range(parts + 1)}
     edges = R.quantiles(df, [dataset], value, names).select(dataset, F.array_distinct(F.array(*names)).alias("_edges"))
     below = F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    return df.join(edges, dataset, "left").withColumn(out, F.greatest(below - 1, F.lit(0))).drop("_edges")
+    return R.attach_groups(df, edges, [dataset]).withColumn(out, F.greatest(below - 1, F.lit(0))).drop("_edges")
 
 
 def time_text_flags(df: DataFrame, dataset: str, qtime: str, words: str) -> DataFrame:
     """Low and high durations, and long answers in little time; a missing duration counts as the median."""
     med = R.quantiles(df, [dataset], qtime, {"_med": 0.5}).drop("n_rows")
-    filled = df.join(med, dataset, "left").withColumn("qtime_filled", F.coalesce(F.col(qtime), F.col("_med"), F.lit(0.0))).drop("_med")
+    filled = R.attach_groups(df, med, [dataset]).withColumn("qtime_filled", F.coalesce(F.col(qtime), F.col("_med"), F.lit(0.0))).drop("_med")
     tq = R.quantiles(filled, [dataset], "qtime_filled", {"_t10": 0.10, "_t20": 0.20, "_t95": 0.95}).drop("n_rows")
     wq = R.quantiles(filled, [dataset], words, {"_w80": 0.80}).drop("n_rows")
-    out = filled.join(tq, dataset).join(wq, dataset)
+    out = R.attach_groups(filled, tq.join(wq, dataset), [dataset], "inner")
     t = F.col("qtime_filled")
     return (
         out.withColumn("qtime_low", (t <= F.col("_t10")).cast("int"))

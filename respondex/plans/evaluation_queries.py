@@ -220,7 +220,23 @@ def e14b(spark, sf):
     return rounded(out, [c for c in out.columns if c != "version"])
 
 
-@query("e15_bootstrap_ci")
+@query(
+    "e15_bootstrap_ci",
+    f"""{LAB}, cell AS (SELECT round(score, 6) AS s, CAST(rejected AS INTEGER) AS y, pred AS p, count(*) AS c FROM lab GROUP BY 1, 2, 3),
+    part AS (SELECT s, y, p, part, least({E.DRAW_ROWS}, c - part * {E.DRAW_ROWS}) AS m FROM (SELECT *, unnest(range(0, (c - 1) // {E.DRAW_ROWS} + 1)) AS part FROM cell)),
+    pmf AS (SELECT m, k, exp(k * ln(m::DOUBLE) - m - lgamma(k + 1)) AS q FROM (SELECT m, unnest(range(0, CAST(floor(m + 12 * sqrt(m) + 12) AS BIGINT))) AS k FROM (SELECT unnest(range(1, {E.DRAW_ROWS} + 1)) AS m))),
+    cdf AS (SELECT m, list(c ORDER BY k) AS l FROM (SELECT m, k, sum(q) OVER (PARTITION BY m ORDER BY k) AS c FROM pmf) GROUP BY m),
+    u AS (SELECT part.*, rep, (CAST('0x' || substr(md5(concat_ws('|', CAST(round(s * 1000000) AS BIGINT), y, p, part, rep, 2607)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {float(1 << E.DRAW_BITS)!r}::DOUBLE AS u
+      FROM part, (SELECT unnest(range(0, 400)) AS rep)),
+    r AS (SELECT rep, s, y, p, CAST(sum(len(list_filter(l, lambda x: x < u))) AS BIGINT) AS w FROM u JOIN cdf USING (m) GROUP BY 1, 2, 3, 4 HAVING w > 0),
+    c AS (SELECT rep, sum(CASE WHEN y = 1 AND p = 1 THEN w ELSE 0 END) AS tp, sum(CASE WHEN y = 0 AND p = 1 THEN w ELSE 0 END) AS fp, sum(CASE WHEN y = 0 AND p = 0 THEN w ELSE 0 END) AS tn, sum(CASE WHEN y = 1 AND p = 0 THEN w ELSE 0 END) AS fn FROM r GROUP BY rep),
+    {metrics_sql('c', 'rep')},
+    v AS (SELECT rep, s, sum(w * y) AS pos, sum(w * (1 - y)) AS neg FROM r GROUP BY 1, 2),
+    t AS (SELECT *, sum(pos) OVER (PARTITION BY rep ORDER BY s) - pos AS pb, sum(neg) OVER (PARTITION BY rep ORDER BY s) - neg AS nb, sum(pos) OVER (PARTITION BY rep) AS pt, sum(neg) OVER (PARTITION BY rep) AS nt FROM v),
+    k AS (SELECT rep, sum(pos * (2 * nb + neg)) / 2 / nullif(max(pt)::DOUBLE * max(nt), 0) AS auroc, sum(pos / nullif(pt, 0)::DOUBLE * ((pt - pb) / nullif(pt - pb + nt - nb, 0)::DOUBLE)) AS auprc FROM t GROUP BY rep),
+    long AS (SELECT metric, v FROM (SELECT m_c.rep, accuracy, balanced_accuracy, precision, recall, macro_f1, mcc, auroc, auprc FROM m_c JOIN k ON k.rep = m_c.rep) UNPIVOT (v FOR metric IN (accuracy, balanced_accuracy, precision, recall, macro_f1, mcc, auroc, auprc)))
+    SELECT metric, round(quantile_cont(v, 0.025), 6) AS ci_low, round(quantile_cont(v, 0.975), 6) AS ci_high, round(avg(v), 6) AS mean FROM long GROUP BY metric""",
+)
 def e15(spark, sf):
     return rounded(E.bootstrap(labelled(spark, sf), "score", "rejected", "pred"), ["ci_low", "ci_high", "mean"])
 

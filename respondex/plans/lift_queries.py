@@ -119,7 +119,7 @@ def d08b(spark, sf):
 
 @query(
     "d09_triple_interactions",
-    f"""{PREV}, {TOP.format(k=8)}, k AS (SELECT respondent_id, dataset_id, rejected, unnest(signals) AS s FROM lab), kk AS (SELECT k.* FROM k JOIN top ON s = signal), b AS (SELECT avg(rejected) AS b FROM lab),
+    f"""{PREV}, kk AS (SELECT respondent_id, dataset_id, rejected, unnest(signals) AS s FROM lab), b AS (SELECT avg(rejected) AS b FROM lab),
     t AS (SELECT x.s || '|' || y.s || '|' || z.s AS pattern, count(*) AS support, count(*) FILTER (x.rejected = 1) AS rejected_hits, count(DISTINCT x.dataset_id) AS datasets, avg(x.rejected) AS r FROM kk x JOIN kk y ON x.respondent_id = y.respondent_id AND x.s < y.s JOIN kk z ON z.respondent_id = x.respondent_id AND y.s < z.s GROUP BY 1 HAVING count(*) >= 3)
     SELECT pattern, support, rejected_hits, datasets, round(r, 4) AS reject_rate, round(r / b, 4) AS lift, CASE WHEN rejected_hits >= 10 AND 1 - r <= 0.7 THEN 'candidate' ELSE 'hold_for_residual_review' END AS promotion_status FROM t, b""",
 )
@@ -278,20 +278,54 @@ def d20(spark, sf):
     return out.select("respondent_id", *G.FAMILIES, "families_fired", F.round("client_reject_proxy", 6).alias("client_reject_proxy"))
 
 
-RULES_SQL = (
-    ("speed_fast", "timing", "review_routing", f"qtime < {STUDY.fast_seconds}"),
-    ("speed_brisk", "timing", "context_signal", f"qtime >= {STUDY.fast_seconds} AND qtime < {STUDY.slow_fast_seconds}"),
-    ("required_open_end_too_short", "open_end_authenticity", "candidate_discard_signal", f"word_count <= {STUDY.low_words}"),
-    ("copied_open_end", "open_end_authenticity", "candidate_discard_signal", "f_duplicate_open = 1 OR f_template_cluster = 1"),
-    ("survey_feedback_in_substantive_field", "open_end_authenticity", "candidate_discard_signal", "f_survey_meta = 1"),
-    ("overpolished_generic_text", "synthetic_text", "review_routing", "f_polished = 1"),
-    ("hostile_or_nonsense_text", "open_end_authenticity", "candidate_discard_signal", "f_hostile = 1"),
-    ("matrix_near_straightline", "matrix", "review_routing", "f_matrix_uniform = 1"),
-    ("long_low_specificity_text", "open_end_authenticity", "context_signal", "f_low_specificity = 1"),
-    ("sentence_repetition", "open_end_authenticity", "agent_semantic_rule", "f_repeated_phrase = 1"),
-    ("missing_chain", "routing", "context_signal", "f_high_missing = 1"),
-    ("ungrounded_detail", "open_end_authenticity", "agent_semantic_rule", "g_grounded = 0 AND g_domain_rich = 0"),
-)
+# --- fixed values: ids, families and roles of the rulebook ---------------------------------------
+RULEBOOK = (
+    ("speed_under_4_minutes", "timing", "review_routing"),
+    ("speed_4_to_5_minutes", "timing", "context_signal"),
+    ("platform_termflag", "platform_quality", "candidate_discard_signal"),
+    ("platform_scrutinyflag", "platform_quality", "candidate_discard_signal"),
+    ("research_defender_nonzero_review", "platform_quality", "review_routing"),
+    ("required_open_end_placeholder", "open_end_authenticity", "candidate_discard_signal"),
+    ("required_open_end_too_short", "open_end_authenticity", "review_routing"),
+    ("copied_open_end", "duplication", "candidate_discard_signal"),
+    ("pasted_text_helper", "open_end_authenticity", "review_routing"),
+    ("survey_feedback_in_substantive_field", "open_end_authenticity", "review_routing"),
+    ("ai_or_overpolished_generic_text", "llm_suspicion", "review_routing"),
+    ("hostile_or_nonsense_text", "open_end_authenticity", "candidate_discard_signal"),
+    ("matrix_near_straightline", "attention", "review_routing"),
+    ("long_low_specificity_text", "llm_suspicion", "review_routing"),
+    ("internal_inconsistency_numeric_allocations", "consistency", "context_signal"),
+    ("semantic_abstract_business_no_lived_detail", "semantic_authenticity", "agent_semantic_rule"),
+    ("semantic_survey_meta_answer", "semantic_authenticity", "agent_semantic_rule"),
+    ("semantic_role_or_qualification_mismatch", "semantic_authenticity", "agent_semantic_rule"),
+    ("semantic_personal_home_project_in_trade_context", "semantic_authenticity", "agent_semantic_rule"),
+    ("semantic_generic_project_claim", "semantic_authenticity", "agent_semantic_rule"),
+    ("semantic_sentence_drift", "semantic_authenticity", "agent_semantic_rule"),
+    ("semantic_list_when_use_case_required", "semantic_authenticity", "agent_semantic_rule"),
+    ("semantic_off_domain_professional_claim", "semantic_authenticity", "agent_semantic_rule"),
+)
+
+#: What a rule looks at in this study. Rules without an entry need helper fields or judgments that the study does not
+#: have: they stay in the rulebook and are reported as not observed.
+RULE_CONDITIONS = {
+    "speed_under_4_minutes": f"qtime < {STUDY.fast_seconds}",
+    "speed_4_to_5_minutes": f"qtime >= {STUDY.fast_seconds} AND qtime < {STUDY.slow_fast_seconds}",
+    "required_open_end_placeholder": f"f_open_generic = 1 AND word_count > {STUDY.low_words}",
+    "required_open_end_too_short": f"word_count BETWEEN 1 AND {STUDY.low_words}",
+    "copied_open_end": "f_duplicate_open = 1 OR f_template_cluster = 1",
+    "survey_feedback_in_substantive_field": "f_survey_meta = 1",
+    "ai_or_overpolished_generic_text": "f_polished = 1",
+    "hostile_or_nonsense_text": "f_hostile = 1",
+    "matrix_near_straightline": "f_matrix_uniform = 1",
+    "long_low_specificity_text": "f_low_specificity = 1",
+    "internal_inconsistency_numeric_allocations": f"n_items >= {STUDY.matrix_min_items} AND modal_share >= 0.75",
+    "semantic_survey_meta_answer": "f_survey_meta = 1 AND g_grounded = 0",
+    "semantic_generic_project_claim": "f_polished = 1 AND g_grounded = 0 AND g_domain_rich = 0",
+    "semantic_sentence_drift": "f_repeated_phrase = 1",
+    "semantic_list_when_use_case_required": "g_specific_detail = 0 AND g_domain_rich = 1",
+}
+RULES_SQL = tuple((rule, family, role, RULE_CONDITIONS.get(rule, "false")) for rule, family, role in RULEBOOK)
+AGENT_RULES = ", ".join(f"'{r}'" for r, _, role in RULEBOOK if role == "agent_semantic_rule")
 
 
 def rules():
@@ -313,7 +347,7 @@ def d21(spark, sf):
     return D.rule_evidence(D.rule_hits(scored_frame(spark, sf), rs), rs, "respondent_id", "dataset_id")
 
 
-@query("d21_uncovered_rejected", f"{EVID} SELECT l.respondent_id, l.dataset_id, l.supplier FROM lab l WHERE rejected = 1 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.respondent_id = l.respondent_id AND h.rule_id NOT IN ('ungrounded_detail', 'sentence_repetition'))")
+@query("d21_uncovered_rejected", f"{EVID} SELECT l.respondent_id, l.dataset_id, l.supplier FROM lab l WHERE rejected = 1 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.respondent_id = l.respondent_id AND h.rule_id NOT IN ({AGENT_RULES}))")
 def d21b(spark, sf):
     """Rejected rows that no script rule explains; they go to a semantic reading."""
     hits = D.rule_hits(scored_frame(spark, sf), [r for r in rules() if r[2] != "agent_semantic_rule"])

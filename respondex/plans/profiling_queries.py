@@ -207,13 +207,23 @@ def b10(spark, sf):
     return P.question_contracts(P.field_stats(all_fields(spark, sf)), PROMPTS)
 
 
+EVENT_FAMILIES = {
+    "view": "brand and product funnel", "click": "open-ended grounding", "signup": "qualification and respondent universe", "error": "matrix behavior",
+}
+
+
 @query(
     "b11_question_relation_edges",
-    """WITH l AS (SELECT conv_id AS respondent_id, lag(turn) OVER w AS source, turn AS target, lag(role) OVER w AS ga, role AS gb FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-    SELECT respondent_id, source, target, CASE WHEN ga = gb THEN 'same_matrix_or_entity_group' WHEN ga = 'user' OR gb = 'user' THEN 'open_closed_support_or_contradiction' ELSE 'sequential' END AS relationship FROM l WHERE source IS NOT NULL""",
+    f"""WITH e AS (SELECT user_id AS respondent_id, event_id AS pos, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in EVENT_FAMILIES.items())} ELSE 'survey response chain' END AS family FROM events),
+    r AS (SELECT respondent_id, lag(pos) OVER (PARTITION BY respondent_id ORDER BY pos) AS source, pos AS target, '{P.SEQUENTIAL}' AS relationship FROM e
+      UNION ALL SELECT respondent_id, lag(pos) OVER (PARTITION BY respondent_id, family ORDER BY pos), pos,
+        CASE family {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in P.FAMILY_RELATIONS.items())} ELSE '{P.ANY_FAMILY}' END FROM e)
+    SELECT * FROM r WHERE source IS NOT NULL""",
 )
 def b11(spark, sf):
-    return P.relation_edges(chain(spark, sf), "respondent_id", "turn", "role", ("user",))
+    """A user's events are the questions, in the order of their numbers, which have gaps."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("respondent_id"), "event_id", P.lookup(F.col("event_type"), EVENT_FAMILIES, "survey response chain").alias("family"))
+    return P.relation_edges(e, "respondent_id", "event_id", "family")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W, functions as F
 
 from respondex.functions import ranking as R
@@ -20,11 +22,24 @@ def a01(spark, sf):
 
 @query(
     "a02_latest_judgments",
-    """SELECT conv_id AS respondent_id, arg_max(turn, turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text, count(*) AS n_versions
+    """SELECT conv_id AS respondent_id, arg_max(turn, turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text, arg_max(length(text), turn) AS evidence_chars, count(*) AS n_versions
     FROM conversations GROUP BY 1""",
 )
 def a02(spark, sf):
-    return S.latest_per_id(chain(spark, sf), "respondent_id", ["turn"])
+    """The turns of each conversation are versions of a judgment, delivered as chunk files of both layouts and read back."""
+    root = f"{ensure_checkpoint_dir(spark)}/judgments_{uuid.uuid4().hex}"
+    evidence = F.to_json(F.struct(F.length("text").alias("chars"), F.array("role").alias("families"))).alias("evidence")
+    given = chain(spark, sf).select("respondent_id", "turn", "role", "text", evidence)
+    even = F.pmod("respondent_id", F.lit(2)) == 0
+    given.where(even).write.json(f"{root}/lines")
+    # one array of at most a hundred respondents a file
+    odd = given.where(~even).groupBy(F.floor(F.col("respondent_id") / 100).alias("chunk")).agg(F.to_json(F.collect_list(F.struct(*given.columns)), {"pretty": "true"}).alias("value"))
+    odd.write.partitionBy("chunk").text(f"{root}/arrays")
+    read = S.load_judgments(
+        spark, root, "respondent_id long, turn long, role string, text string, evidence string", "*.json", "*.txt", "evidence", "chars int, families array<string>"
+    )
+    latest = S.latest_per_id(read.where("corrupt_record IS NULL AND NOT evidence_bad").drop("corrupt_record", "evidence_bad", "chunk_file"), "respondent_id", ["turn"])
+    return latest.select("respondent_id", "turn", "role", "text", F.col("evidence.chars").cast("long").alias("evidence_chars"), "n_versions")
 
 
 CANON = "nullif(regexp_replace(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '^(-?[0-9]+)\\.0+$', '\\1'), '')"
@@ -74,17 +89,17 @@ def a04b(spark, sf):
 @query(
     "a05_union_corpora",
     """WITH u AS (SELECT 'docs_' || lang AS dataset_id, doc_id AS respondent_id, text AS open_text, source AS supplier, NULL::BIGINT AS turn FROM documents
-      UNION ALL SELECT 'bank', item_id, text, NULL, NULL FROM benchmark UNION ALL SELECT 'talk', conv_id, text, NULL, turn FROM conversations WHERE turn = 0)
-    SELECT dataset_id, respondent_id, supplier, turn, length(open_text) AS n_chars, row_number() OVER (PARTITION BY dataset_id ORDER BY respondent_id) + 1 AS source_row_number FROM u""",
+      UNION ALL SELECT 'bank', item_id, text, NULL, NULL FROM benchmark UNION ALL SELECT 'talk', conv_id, text, NULL, turn FROM conversations)
+    SELECT dataset_id, respondent_id, supplier, turn, length(open_text) AS n_chars, row_number() OVER (PARTITION BY dataset_id ORDER BY respondent_id, turn) + 1 AS source_row_number FROM u""",
 )
 def a05(spark, sf):
     docs = respondents(spark, sf).select("respondent_id", "dataset_id", "open_text", "supplier")
     docs = docs.withColumn("dataset_id", F.concat(F.lit("docs_"), F.col("dataset_id")))
     bank = S.table(spark, sf, "benchmark").select(F.col("item_id").alias("respondent_id"), F.col("text").alias("open_text"))
-    talk = chain(spark, sf).where("turn = 0").select("respondent_id", F.col("text").alias("open_text"), "turn")
+    talk = chain(spark, sf).select("respondent_id", F.col("text").alias("open_text"), "turn")
     u = docs.unionByName(S.union_corpora({"bank": bank, "talk": talk}), allowMissingColumns=True)
     u = u.withColumn("n_chars", F.length("open_text")).drop("open_text")
-    out = R.positions(u, ["dataset_id"], "respondent_id", "respondent_id", out="source_row_number")
+    out = R.positions(u.withColumn("_turn", F.coalesce("turn", F.lit(0))), ["dataset_id"], "respondent_id", "_turn", out="source_row_number").drop("_turn")
     return out.withColumn("source_row_number", F.col("source_row_number") + 1)
 
 

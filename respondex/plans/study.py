@@ -307,7 +307,7 @@ def _triage(spark: SparkSession, sf: str) -> DataFrame:
     people = table(spark, sf, "customer").select(F.col("c_custkey").alias("respondent_id"), T.role_class(F.col("c_mktsegment")).alias("role_class"))
     s = TM.timing_bands(s, "dataset_id", "qtime")
     s = TM.zscores(s, "dataset_id", "qtime", "respondent_id").withColumnRenamed("zscore", "qtime_z")
-    s = s.join(rates, "supplier", "left").join(entropy, "respondent_id", "left").join(people, "respondent_id", "left")
+    s = R.attach_groups(s, rates, ["supplier"]).join(entropy, "respondent_id", "left").join(people, "respondent_id", "left")
     token = T.brand_token_class(F.col("supplier"), SUPPLIER_BRANDS, SUPPLIER_CATEGORIES, SUPPLIER_INVALID)
     quality = (
         F.when(token == "blank", "missing_brand_list").when(token.isin("valid_brand_or_variant", "tool_category_not_brand"), "has_valid_brand_or_tool_category")

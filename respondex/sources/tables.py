@@ -35,9 +35,39 @@ def trim_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def load_judgments(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """Judgment chunks in JSON lines, each row with the file it came from."""
-    return spark.read.schema(schema).json(paths).withColumn("chunk_file", F.input_file_name())
+def load_judgments(
+    spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | str, lines: str | None = "*", whole: str | None = None,
+    evidence: str | None = None, evidence_schema: T.StructType | str | None = None,
+) -> DataFrame:
+    """Judgment chunks from many JSON files: the declared columns, ``chunk_file``, ``corrupt_record`` and, on request, the evidence parsed.
+
+    File names that match the glob ``lines`` hold one object a line and are split
+    between tasks; names that match ``whole`` hold one array or object over many
+    lines. What is no JSON (a line of the first, a file of the second) stays as
+    one row with ``corrupt_record`` and nulls elsewhere. ``evidence`` names a
+    string column that holds JSON itself: it is replaced by a struct of
+    ``evidence_schema``, null where there is none, and ``evidence_bad`` tells
+    the rows where it was there and could not be read.
+    """
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    wanted = T.StructType([*wanted.fields, T.StructField("corrupt_record", T.StringType())])
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    out = None
+    for glob, many_lines in ((lines, False), (whole, True)):
+        if glob is None:
+            continue
+        reader = spark.read.schema(wanted).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt_record")
+        part = reader.option("multiLine", many_lines).option("recursiveFileLookup", True).option("pathGlobFilter", glob).json(paths).withColumn("chunk_file", F.col("_metadata.file_name"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("name files with lines or whole files")
+    if evidence is None:
+        return out
+    inner = T._parse_datatype_string(evidence_schema) if isinstance(evidence_schema, str) else evidence_schema
+    inner = T.StructType([*inner.fields, T.StructField("_broken", T.StringType())])
+    parsed = F.from_json(F.col(evidence), inner, {"columnNameOfCorruptRecord": "_broken"})
+    out = out.withColumn("_parsed", parsed).withColumn("evidence_bad", F.col(evidence).isNotNull() & (F.col("_parsed").isNull() | F.col("_parsed._broken").isNotNull()))
+    return out.withColumn(evidence, F.when(F.col(evidence).isNotNull() & ~F.col("evidence_bad"), F.col("_parsed").dropFields("_broken"))).drop("_parsed")
 
 
 def latest_per_id(df: DataFrame, id_col: str, order_cols: Sequence[str], keep: str = "last") -> DataFrame:

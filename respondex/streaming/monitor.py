@@ -37,3 +37,8 @@ def run_to_end(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -
     """Processes all that is there and stops; the checkpoint lets a restart go on exactly once."""
     q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def fielding_counts(events: DataFrame, id_col: str, ts: str, delay: str = "10 minutes") -> DataFrame:
+    """Starts per minute, each event counted once: state of ids and minutes is given up as the watermark passes them."""
+    return minute_counts(first_seen(events, id_col, ts, delay), ts, None)
