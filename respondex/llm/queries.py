@@ -60,8 +60,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = fingerprints.fingerprint_documents(_read(spark, sf_dir, "documents"))
-    return prints.withColumn("edited_sha256", F.sha2(F.col("edited_text").cast("binary"), 256)).drop("edited_text")
+    digest = {"edited_sha256": F.sha2(F.col("edited_text").cast("binary"), 256)}
+    return fingerprints.fingerprint_documents(_read(spark, sf_dir, "documents"), derived=digest).drop("edited_text")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
