@@ -77,7 +77,7 @@ def test_required_ledger_fields(spark):
 
 
 def test_leakage_columns():
-    names = "status markers conditionsTFG noanswerq5_r3 qc5r2 VALIDCLIENT CHANNELTRACKING closingemail RD_Searchr0 qcoe1 q34 CLASSIFYGROUP".split()
+    names = "status markers conditionsX noanswerq5_r3 qc5r2 VALIDCLIENT CHANNELTRACKING closingemail RD_Searchr0 qcoe1 q34 CLASSIFYGROUP".split()
     assert P.leakage_columns(names) == names[:9]
     names = ["uuid", "status", "markers", "client_decision", "qtime", "outro", "TERMFLAGS"]
     assert P.leakage_columns(names) == ["status", "markers", "client_decision", "TERMFLAGS"]
