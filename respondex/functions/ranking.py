@@ -36,16 +36,32 @@ def order_bucket(value: Column) -> Column:
     return F.when(v < 0, -b).otherwise(b).cast("long")
 
 
+#: Different values of a bucket from which on it is cut again, and about how many a cut leaves.
+CELL_VALUES = 20_000
+
+
+def cell_of(value: Column, values: Column, low: Column, high: Column, limit: int = CELL_VALUES) -> Column:
+    """The cut of a bucket that ``value`` lies in: its range in as many equal steps as its number of different values asks for."""
+    v, a, b = (c.cast("double") for c in (value, low, high))
+    cuts = F.ceil(values / limit)
+    return F.when((cuts > 1) & (b > a), F.least(F.floor((v - a) / (b - a) * cuts), cuts - 1)).otherwise(F.lit(0)).cast("long")
+
+
 def ranked_values(
     df: DataFrame,
     groups: Sequence[str],
     value: str,
     sums: dict[str, Column] | None = None,
     count: Column | None = None,
+    narrow: bool = False,
+    limit: int = CELL_VALUES,
 ) -> DataFrame:
     """One row per (group, distinct value) with running totals in value order.
 
-    ``count`` says for how many rows a row stands (default one).
+    ``count`` says for how many rows a row stands (default one). ``narrow`` is
+    for values like time stamps, of which very many lie in one narrow range and
+    so in few buckets: buckets of more than ``limit`` different values are then
+    cut once more by their own range, at the price of another pass.
 
     Output: groups, value, ``n``, ``n_before`` (rows with a smaller value),
     ``n_total`` (rows of the group), and for every entry of ``sums`` the columns
@@ -69,16 +85,22 @@ def ranked_values(
         *[F.coalesce(F.sum(k).over(w_before), F.lit(0)).alias(f"_{k}_off") for k in names],
         *[F.sum(k).over(w_all).alias(f"{k}_total") for k in names],
     )
-    w_in = W.partitionBy(*g, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        per_value.join(offsets, [*g, "_bucket"])
-        .select(
-            *g,
-            value,
-            *names,
-            *[(F.col(f"_{k}_off") + F.coalesce(F.sum(k).over(w_in), F.lit(0))).alias(f"{k}_before") for k in names],
-            *[f"{k}_total" for k in names],
-        )
+    placed, cell = per_value.join(offsets, [*g, "_bucket"]), ["_bucket"]
+    if narrow:
+        ranges = per_value.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_values"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+        cell = ["_bucket", "_cell"]
+        placed = placed.join(ranges, [*g, "_bucket"]).withColumn("_cell", cell_of(F.col(value), F.col("_values"), F.col("_low"), F.col("_high"), limit)).drop("_values", "_low", "_high")
+        w_cells = W.partitionBy(*g, "_bucket").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+        cells = placed.groupBy(*g, *cell).agg(*[F.sum(k).alias(f"_{k}_in") for k in names])
+        cells = cells.select(*g, *cell, *[F.coalesce(F.sum(f"_{k}_in").over(w_cells), F.lit(0)).alias(f"_{k}_add") for k in names])
+        placed = placed.join(cells, [*g, *cell]).withColumns({f"_{k}_off": F.col(f"_{k}_off") + F.col(f"_{k}_add") for k in names})
+    w_in = W.partitionBy(*g, *cell).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    return placed.select(
+        *g,
+        value,
+        *names,
+        *[(F.col(f"_{k}_off") + F.coalesce(F.sum(k).over(w_in), F.lit(0))).alias(f"{k}_before") for k in names],
+        *[f"{k}_total" for k in names],
     )
 
 
@@ -93,9 +115,15 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str,
 
 def quantiles_of(rv: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float], method: str = "linear") -> DataFrame:
     """Quantiles from the result of ``ranked_values``."""
+    parts, finished = quantile_parts(value, probs, method)
+    return rv.groupBy(*groups).agg(F.max("n_total").alias("n_rows"), *parts).select(*groups, "n_rows", *finished)
+
+
+def quantile_parts(value: str, probs: dict[str, float], method: str = "linear") -> tuple[list[Column], list[Column]]:
+    """Aggregates over the rows of ``ranked_values`` and, of their results, the quantiles: so other aggregates can ride along."""
     n, before, v = F.col("n_total"), F.col("n_before"), F.col(value).cast("double")
     after = before + F.col("n")
-    aggs = [F.max("n_total").alias("n_rows")]
+    aggs = []
     for name, p in probs.items():
         if method == "linear":
             pos = F.lit(float(p)) * (n - 1)
@@ -107,15 +135,7 @@ def quantiles_of(rv: DataFrame, groups: Sequence[str], value: str, probs: dict[s
             F.max(F.when((before <= hi) & (hi < after), v)).alias(f"_{name}_hi"),
             F.max(pos - lo).alias(f"_{name}_f"),
         ]
-    out = rv.groupBy(*groups).agg(*aggs)
-    return out.select(
-        *groups,
-        "n_rows",
-        *[
-            (F.col(f"_{k}_lo") + (F.col(f"_{k}_hi") - F.col(f"_{k}_lo")) * F.col(f"_{k}_f")).alias(k)
-            for k in probs
-        ],
-    )
+    return aggs, [(F.col(f"_{k}_lo") + (F.col(f"_{k}_hi") - F.col(f"_{k}_lo")) * F.col(f"_{k}_f")).alias(k) for k in probs]
 
 
 def positions(
@@ -125,8 +145,9 @@ def positions(
     tie: str,
     descending: bool = False,
     out: str = "position",
+    narrow: bool = False,
 ) -> DataFrame:
-    """``row_number`` per group ordered by (value, tie), spread over many tasks.
+    """``row_number`` per group ordered by (value, tie), spread over many tasks (``narrow`` as in ``ranked_values``).
 
     ``tie`` must be a numeric column that is unique within the group. Rows that
     share a value are split again by ranges of ``tie``, so a value held by a
@@ -139,7 +160,7 @@ def positions(
     else:
         src = src.withColumn("_ord", F.col(value))
     src = src.withColumn("_tb", order_bucket(F.col(tie)))
-    rv = ranked_values(src, g, "_ord").select(*g, "_ord", F.col("n_before").alias("_base"))
+    rv = ranked_values(src, g, "_ord", narrow=narrow).select(*g, "_ord", F.col("n_before").alias("_base"))
     cells = src.groupBy(*g, "_ord", "_tb").agg(F.count(F.lit(1)).alias("_c"))
     w_cell = W.partitionBy(*g, "_ord").orderBy("_tb").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("_cell", F.coalesce(F.sum("_c").over(w_cell), F.lit(0)))

@@ -52,7 +52,7 @@ def _by_blocks(df: DataFrame, key: str, order: str, tie: str, value: str) -> Dat
     # Rows without an order value come first, as in a window; at most 999 giant keys have a count of them.
     bare = df.where(F.col(order).isNull())
     shift = F.broadcast(bare.groupBy(key).agg(F.count(F.lit(1)).alias("_bare")))
-    filled = positions(df, [key], order, tie, out="pos").join(shift, key, "left").withColumn("pos", F.col("pos") + F.coalesce("_bare", F.lit(0))).drop("_bare")
+    filled = positions(df, [key], order, tie, out="pos", narrow=True).join(shift, key, "left").withColumn("pos", F.col("pos") + F.coalesce("_bare", F.lit(0))).drop("_bare")
     p = filled.unionByName(positions(bare, [key], tie, tie, out="pos")).select(key, value, "pos", F.col("_n").alias("n"))
     back1 = p.select(key, (F.col("pos") + 1).alias("pos"), F.col(value).alias("prev1"))
     back2 = p.select(key, (F.col("pos") + 2).alias("pos"), F.col(value).alias("prev2"))

@@ -213,25 +213,31 @@ _PROBS = {"p01": 0.01, "p05": 0.05, "p10": 0.10, "p25": 0.25, "median": 0.50, "p
 
 
 def numeric_summary(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """Moments, quantiles, MAD, trimmed and winsorised mean per group, exact for groups of any size."""
+    """Moments, quantiles, MAD, trimmed and winsorised mean per group, exact for groups of any size.
+
+    Two aggregates over the distinct values: one for all that needs only their
+    ranks, one, with its results beside every value, for spread and winsorised
+    mean; the MAD ranks the distances from the median.
+    """
     g = list(groups)
     ensure_checkpoint_dir(df.sparkSession)
     rv = R.ranked_values(df, g, value).checkpoint()  # one row per distinct value; everything below reads this
     n, v = F.col("n"), F.col(value)
-    mean = F.sum(v * n) / F.sum("n")
-    qs = R.quantiles_of(rv, g, value, _PROBS).drop("n_rows")
-    base = rv.groupBy(*g).agg(F.sum("n").alias("count"), mean.alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
-    both = rv.select(*g, value, "n").join(qs.select(*g, "median", "p05", "p95"), g).join(base.select(*g, "mean"), g)
-    mad = R.quantiles_of(R.ranked_values(both.select(*g, F.abs(v - F.col("median")).alias("_dev"), "n"), g, "_dev", count=F.col("n")), g, "_dev", {"mad": 0.5}).drop("n_rows")
+    lo = F.floor(F.col("n_total") * 0.05)
+    hi = F.greatest(F.floor(F.col("n_total") * 0.95), lo + 1)
+    inside = F.greatest(F.least(F.col("n_before") + n, hi) - F.greatest(F.col("n_before"), lo), F.lit(0))
+    parts, finished = R.quantile_parts(value, _PROBS)
+    first = rv.groupBy(*g).agg(
+        F.sum("n").alias("count"), (F.sum(v * n) / F.sum("n")).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
+        (F.sum(v * inside) / F.sum(inside)).alias("trimmed_mean"), *parts,
+    ).select(*g, "count", "mean", "min", "max", "trimmed_mean", *finished).checkpoint()
+    both = R.attach_groups(rv.select(*g, value, "n"), first.select(*g, "median", "p05", "p95", "mean"), g, "inner")
     spread = both.groupBy(*g).agg(
         F.when(F.sum("n") > 1, F.sqrt(F.sum((v - F.col("mean")) * (v - F.col("mean")) * n) / (F.sum("n") - 1))).otherwise(0.0).alias("std"),
         (F.sum(F.least(F.greatest(v, F.col("p05")), F.col("p95")) * n) / F.sum("n")).alias("winsorized_mean"),
     )
-    lo = F.floor(F.col("n_total") * 0.05)
-    hi = F.greatest(F.floor(F.col("n_total") * 0.95), lo + 1)
-    inside = F.greatest(F.least(F.col("n_before") + F.col("n"), hi) - F.greatest(F.col("n_before"), lo), F.lit(0))
-    trimmed = rv.groupBy(*g).agg((F.sum(v * inside) / F.sum(inside)).alias("trimmed_mean"))
-    out = base.join(spread, g).join(qs, g).join(mad, g).join(trimmed, g)
+    mad = R.quantiles_of(R.ranked_values(both.select(*g, F.abs(v - F.col("median")).alias("_dev"), "n"), g, "_dev", count=F.col("n")), g, "_dev", {"mad": 0.5}).drop("n_rows")
+    out = first.join(spread, g).join(mad, g)
     return out.withColumn("iqr", F.col("p75") - F.col("p25"))
 
 

@@ -142,4 +142,4 @@ def time_interactions(df: DataFrame, qtime: str, counts: dict[str, str], quality
 def percentile_rank(df: DataFrame, dataset: str, value: str) -> DataFrame:
     """Share of the data set's rows with a value not above the row's own."""
     rv = R.ranked_values(df, [dataset], value).select(dataset, value, ((F.col("n_before") + F.col("n")) / F.col("n_total")).alias("pct_rank"))
-    return df.join(rv, [dataset, value], "left")
+    return R.attach_groups(df, rv, [dataset, value])

@@ -32,11 +32,13 @@ def local_session(app: str, cores: int | str = 8, memory: str = "8g", shuffle_pa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset and the master is local."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="respondex-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

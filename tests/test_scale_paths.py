@@ -158,3 +158,17 @@ def test_zero_vectors_keep_their_row(spark):
     assert sorted(got) == list(range(32))
     assert all(got[i]["graph_degree"] == 0 and got[i]["graph_mean_dist"] is None for i in (30, 31))
     assert all(got[i]["graph_mean_dist"] is not None for i in range(30))
+
+
+def test_stamps_of_one_month_spread_over_many_cells_and_rank_the_same(spark):
+    d = spark.range(100_000).select(
+        F.lit("a").alias("g"), "id", (F.lit(1_700_000_000_000_000) + F.col("id") * 25_920_000 + F.pmod(F.xxhash64("id"), F.lit(1000))).alias("t")
+    )
+    spread = d.withColumn("_bucket", R.order_bucket(F.col("t")))
+    assert spread.select("_bucket").distinct().count() < 10  # what the logarithm of the value alone would give
+    ranges = spread.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("a"), F.max("t").alias("b"))
+    cells = spread.join(ranges, "_bucket").groupBy("_bucket", R.cell_of(F.col("t"), F.col("n"), F.col("a"), F.col("b"), 500).alias("cell")).count()
+    assert cells.count() >= 150 and cells.agg(F.max("count")).first()[0] <= 1500
+    same(R.ranked_values(d.limit(20_000), ["g"], "t", narrow=True, limit=500), R.ranked_values(d.limit(20_000), ["g"], "t"))
+    plain = d.limit(5000).withColumn("position", F.row_number().over(W.partitionBy("g").orderBy("t", "id")).cast("long"))
+    same(R.positions(d.limit(5000), ["g"], "t", "id", narrow=True).select(*plain.columns), plain)
