@@ -51,6 +51,19 @@ def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def row_digest(*cols: Column) -> Column:
+    """Digest of a row's values that tells a null from any text, and which column it stands in."""
+    return F.xxhash64(*[part for c in cols for part in (c.isNull(), c.cast("string"))])
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, with underscores added until no column of ``df`` has the name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def count_words(text: Column) -> Column:
     """Number of words of the whole text; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from respondex.functions import text as X
-from respondex.llm.base import stored
+from respondex.llm.base import free_name, row_digest, stored
 from respondex.llm.sketch import key_filter, possible_rows
 
 #: Sentences with the marks and white space that follow; joined they are the text again.
@@ -31,7 +31,7 @@ def sentences(text: Column) -> Column:
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    return row_digest(F.col(id_col), F.col(text_col))
 
 
 def span_table(docs: DataFrame, span: int, run_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -79,12 +79,14 @@ def drop_repeated_spans(docs: DataFrame, span: int = 3, id_col: str = "doc_id",
     The first occurrence is that of the smallest (id, row digest, sentence
     number), null ids last. Sentences are compared in lower case with single
     spaces. Rows equal in id and text are one document and get the same
-    result. Null and empty texts stay as they are, with 0 sentences. Columns of
+    result. A single sentence of ``run_words`` words or more is a run by itself
+    and goes when it is repeated. Null and empty texts stay as they are, with 0 sentences. Columns of
     the new names are replaced; an empty table gives an empty result.
     """
     docs = docs.drop("n_sentences", "n_removed", "removed")
-    cuts = stored(repeated_sentences(docs, span, run_words, id_col, text_col), "span-cuts").withColumnRenamed("row", "_row")
-    found = docs.withColumn("_row", _row_key(id_col, text_col)).join(cuts, "_row", "left").drop("_row")
+    cuts = stored(repeated_sentences(docs, span, run_words, id_col, text_col), "span-cuts")
+    row, done = free_name(docs, "_row"), free_name(docs, "_cut")
+    found = docs.withColumn(row, _row_key(id_col, text_col)).join(cuts.withColumnRenamed("row", row), row, "left").drop(row)
     gone = F.coalesce("removed", F.array().cast("array<int>"))
 
     def cut(pieces: Column) -> Column:
@@ -93,10 +95,10 @@ def drop_repeated_spans(docs: DataFrame, span: int = 3, id_col: str = "doc_id",
         return F.struct(F.size(pieces).cast("long").alias("n"), F.when(F.size(gone) > 0, kept).otherwise(F.col(text_col)).alias("text"))
 
     # a text is cut once, not again for every number in ``removed``
-    found = found.withColumn("_cut", X.let(sentences(F.col(text_col)), cut))
+    found = found.withColumn(done, X.let(sentences(F.col(text_col)), cut))
     return (
-        found.withColumn("n_sentences", F.col("_cut.n")).withColumn("n_removed", F.size(gone).cast("long"))
-        .withColumn(text_col, F.col("_cut.text")).withColumn("removed", gone).drop("_cut")
+        found.withColumn("n_sentences", F.col(done)["n"]).withColumn("n_removed", F.size(gone).cast("long"))
+        .withColumn(text_col, F.col(done)["text"]).withColumn("removed", gone).drop(done)
     )
 
 
