@@ -171,3 +171,24 @@ def test_stamps_of_one_month_spread_over_many_cells_and_rank_the_same(spark):
     same(R.ranked_values(d.limit(20_000), ["g"], "t", narrow=True, limit=500), R.ranked_values(d.limit(20_000), ["g"], "t"))
     plain = d.limit(5000).withColumn("position", F.row_number().over(W.partitionBy("g").orderBy("t", "id")).cast("long"))
     same(R.positions(d.limit(5000), ["g"], "t", "id", narrow=True).select(*plain.columns), plain)
+
+
+def test_bit_maps_never_part_similar_sets_and_part_unlike_ones(spark):
+    """Pairs of sets are told apart by their bit maps before the sets move, whatever their sizes."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 7, 300, 512, 513, 900, 2000):
+        base = rng.integers(-(2**62), 2**62, n)
+        near = np.concatenate([base[: max(1, n * 4 // 5)], rng.integers(-(2**62), 2**62, n // 9)])
+        sets += [base, near, rng.integers(-(2**62), 2**62, n)]
+    rows = [(i, [int(x) for x in s], len(s)) for i, s in enumerate(sets)]
+    maps = S._sketched(spark.createDataFrame(rows, "id int, s array<bigint>, n int")).select("id", "f", "w")
+    pairs = maps.toDF("a", "fa", "wa").join(maps.toDF("b", "fb", "wb"), F.col("a") < F.col("b"))
+    far = 0
+    for r in pairs.select("a", "b", S._unlike("fa", "fb").alias("f"), S._unlike_wide("wa", "wb").alias("w")).collect():
+        a, b = set(sets[r["a"]].tolist()), set(sets[r["b"]].tolist())
+        assert r["f"] <= len(a ^ b) and r["w"] <= len(a ^ b)
+        if not a & b and 0.6 <= len(a) / len(b) <= 1 / 0.6 and len(a) > 1:
+            assert r["w"] > 0.25 * (len(a) + len(b))
+            far += 1
+    assert far > 10
