@@ -192,3 +192,18 @@ def test_bit_maps_never_part_similar_sets_and_part_unlike_ones(spark):
             assert r["w"] > 0.25 * (len(a) + len(b))
             far += 1
     assert far > 10
+
+
+def test_queries_are_sent_once_to_a_node_and_in_slices(spark):
+    """Vectors without structure visit every leaf: lines grow with nodes, and no task holds all bounds at once."""
+    x = np.random.default_rng(8).normal(size=(400, 12))
+    base = spark.createDataFrame([(0, i, v.tolist(), 1) for i, v in enumerate(x)], "_g int, _b long, _bv array<double>, _n long").cache()
+    tree = MT.MetricTree(base, "l2")
+    cells = tree.pivots.cells[0]
+    asked = base.select("_g", F.col("_b").alias("_q"), F.col("_bv").alias("_qv"), F.lit(float("inf")).alias("_radius"))
+    lines = tree.plan(asked, lambda cells, low, high, part: np.nonzero(low < np.inf)).cache()
+    assert lines.count() == 400 * len(np.unique(cells.node)) < 400 * len(cells.leaf)
+    assert MT.leaves_of(lines) == 400 * len(cells.leaf)
+    part = asked.toPandas()
+    slices = list(MT.limited(part, MT.Cells(*[np.arange(MT.MOST_BOUNDS // 100)] * 6)))
+    assert [len(s) for s in slices] == [100] * 4
