@@ -92,10 +92,10 @@ def open_text_class(c: Column, topic_markers: Sequence[str] = L.TOPIC_MARKERS) -
     """One of ten classes; the first rule that holds wins."""
 
     def classify(t: Column) -> Column:
-        consonants = F.length(F.regexp_replace(t, "[^bcdfghjklmnpqrstvwxyz]", ""))
-        vowels = F.length(F.regexp_replace(t, "[^aeiou]", ""))
-        mash = (F.length(t) > 10) & (((vowels > 0) & (consonants > 5 * vowels)) | X.contains_any(t, L.MASH_MARKERS))
-        last = F.element_at(F.split(t, " "), -1)
+        n_of = lambda letters: F.length(t) - F.length(F.translate(t, letters, ""))
+        hard = X.let(n_of("aeiou"), lambda vowels: (vowels > 0) & (n_of("bcdfghjklmnpqrstvwxyz") > 5 * vowels))
+        mash = (F.length(t) > 10) & (hard | X.contains_any(t, L.MASH_MARKERS))
+        last = F.substring_index(t, " ", -1)
         cut = (F.length(t) > 30) & ~t.rlike(r"[.!?]$") & (
             ((F.length(last) <= 2) & ~last.isin("ed", "er", "ly", "ng"))
             | (X.starts_with_any(t, L.TEMPLATE_STARTS) & (F.length(t) < 100))
@@ -199,22 +199,25 @@ def language_flags(df: DataFrame, text: str, cfg: SignalConfig) -> DataFrame:
 
 def narrative_quality(c: Column, topic_pattern: str) -> Column:
     def classify(t: Column) -> Column:
+        topic, factor = t.rlike(topic_pattern), t.rlike(L.SUBSTANTIVE_PATTERN)
+
         def with_words(w: Column) -> Column:
             n, u = F.size(w), F.size(F.array_distinct(w))
             thin = (n <= 2) | (u <= 2)
-            topic, factor = t.rlike(topic_pattern), t.rlike(L.SUBSTANTIVE_PATTERN)
             return (
-                F.when(t == "", "blank")
-                .when(t.rlike(L.ABUSIVE_PATTERN) | t.rlike(f"^({L.NON_COOPERATIVE_PATTERN})$"), "non_cooperative")
-                .when(X.repeated_phrase(t), "nonsensical_or_repetitive")
-                .when(t.rlike(L.FEEDBACK_NARRATIVE_PATTERN) & ~topic & ~factor, "generic_survey_feedback")
-                .when(topic, F.when(thin, "low_information").otherwise("topic_relevant"))
+                F.when(topic, F.when(thin, "low_information").otherwise("topic_relevant"))
                 .when(factor, F.when(thin, "low_information").otherwise("substantive_narrative"))
                 .when((n <= 3) | (u <= 2), "low_information")
                 .otherwise("unclear_product_answer")
             )
 
-        return X.let(X.lower_words(t, r"[a-z0-9']+"), with_words)
+        return (
+            F.when(t == "", "blank")
+            .when(t.rlike(L.ABUSIVE_PATTERN) | t.rlike(f"^({L.NON_COOPERATIVE_PATTERN})$"), "non_cooperative")
+            .when(X.repeated_phrase(t), "nonsensical_or_repetitive")
+            .when(t.rlike(L.FEEDBACK_NARRATIVE_PATTERN) & ~topic & ~factor, "generic_survey_feedback")
+            .otherwise(X.let(X.lower_words(t, r"[a-z0-9']+"), with_words))
+        )
 
     return X.let(X.norm(c), classify)
 
@@ -223,7 +226,7 @@ def severe_weak(c: Column, context_pattern: str) -> Column:
     """Empty, a non-response, or repetition without any context that would protect it."""
 
     def judge(t: Column) -> Column:
-        protected = t.rlike(L.PROJECT_PATTERN) | t.rlike(context_pattern)
+        protected = t.rlike(context_pattern) | t.rlike(L.PROJECT_PATTERN)
         substantive = t.rlike(L.SUBSTANTIVE_PATTERN)
         long_words = F.filter(X.words(t, r"[a-z0-9']+"), lambda w: F.length(w) > 2)
         repeats = X.let(long_words, lambda w: X.occurs_at_least(w, 3) & (F.size(F.array_distinct(w)) <= 3))
@@ -237,22 +240,31 @@ def severe_weak(c: Column, context_pattern: str) -> Column:
     return X.let(X.norm(c), judge)
 
 
+def contact_details(t: Column) -> Column:
+    """A mail or street address in a squashed text in lower case, in time that grows with its length only."""
+    return (t.contains("@") & t.rlike(L.MAIL_PATTERN)) | t.rlike(L.STREET_PATTERN)
+
+
+#: Seven words: texts with more than six are told apart without taking all their words.
+SEVEN_WORDS = r"^(?:[^a-z0-9']*+[a-z0-9']++){7}"
+
+
 def misplaced(c: Column, context_pattern: str) -> Column:
     """Contact details, no words at all, or a few words that are mostly short or vowel-free."""
 
     def judge(t: Column) -> Column:
-        protected = t.rlike(L.SUBSTANTIVE_PATTERN) | t.rlike(L.PROJECT_PATTERN) | t.rlike(context_pattern)
+        protected = t.rlike(context_pattern) | t.rlike(L.SUBSTANTIVE_PATTERN) | t.rlike(L.PROJECT_PATTERN)
 
-        def with_words(w: Column) -> Column:
+        def odd(w: Column) -> Column:
             n = F.size(w)
             short = F.size(F.filter(w, lambda x: F.length(x) <= 3))
             vowel = F.size(F.filter(w, lambda x: x.rlike("[aeiouy]")))
-            odd = (n == 0) | (
+            return (n == 0) | (
                 (n <= 6) & ((short >= F.greatest(F.lit(3), n - 1)) | (vowel <= F.greatest(F.lit(1), F.floor(n / 3).cast("int"))))
             )
-            return (t == "") | t.rlike(L.CONTACT_PATTERN) | (~protected & odd)
 
-        return X.let(X.words(t, r"[a-z0-9']+"), with_words)
+        few = F.when(t.rlike(SEVEN_WORDS), F.lit(False)).otherwise(~protected & X.let(X.words(t, r"[a-z0-9']+"), odd))
+        return (t == "") | few | contact_details(t)
 
     return X.let(X.norm(c), judge)
 

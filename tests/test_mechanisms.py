@@ -285,3 +285,27 @@ def test_judgments_of_both_layouts_with_broken_lines_and_evidence(spark, tmp_pat
     assert [rows[f"r{i}"]["evidence_bad"] for i in range(1, 6)] == [False, True, False, False, False]
     assert rows["r1"]["chunk_file"] == "a.json" and rows["r5"]["chunk_file"] == "b.array"
     assert sorted(r["chunk_file"] for r in read.where("corrupt_record IS NOT NULL").collect()) == ["a.json", "c.array"]
+
+
+# --- texts ------------------------------------------------------------------------------------------------
+
+
+def test_contact_details_in_linear_time_equal_the_pattern(spark):
+    """A text of very many numbers took time with the square of its length."""
+    import time
+
+    from respondex.functions import lexicons as L
+    from respondex.functions import text as X
+    from respondex.operators import text_signals as T
+
+    rng = random.Random(4)
+    parts = ["12", "123", "12345", "123456", "main", "st", "street", "a@b.co", "@", "x.y@z", "ave", "avenues", ",", ".", "#", " ", " ", "é", "dr", "'", "-", "0", "first"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 14))) for _ in range(4000)] + ["12 main st", "123 st", "1234  st", "x 123 4 rd", "a@b.c", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(X.norm(F.col("t")).alias("t"))
+    got = df.select("t", T.contact_details(F.col("t")).alias("now"), F.col("t").rlike(L.CONTACT_PATTERN).alias("want")).collect()
+    assert [r for r in got if r["now"] != r["want"]] == []
+    assert {r["want"] for r in got} == {True, False}
+    long_ = spark.range(1).select(F.concat(F.repeat(F.lit("1234 abc "), 30_000), F.lit(",x")).alias("t"))
+    start = time.time()
+    assert not long_.select(T.misplaced(F.col("t"), "(^| )the( |$)").alias("m")).first()["m"]
+    assert time.time() - start < 20
