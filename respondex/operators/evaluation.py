@@ -7,14 +7,13 @@ threshold, so results do not depend on the order of rows.
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from respondex.functions import lexicons as L
 from respondex.functions import ranking as R
+from respondex.operators.resampling import DRAW_BITS, DRAW_ROWS, poisson_rows, resampled_sums  # noqa: F401
 
 
 def div(a: Column, b: Column) -> Column:
@@ -262,18 +261,9 @@ def version_deltas(df: DataFrame, version: str, metrics: Sequence[str], targets:
     return out
 
 
-#: Rows of a cell that are drawn together; a cell of more rows is the sum of several draws.
-DRAW_ROWS = 64
-DRAW_BITS = 52
-
-
 def poisson_table(spark: SparkSession, most: int = DRAW_ROWS) -> DataFrame:
-    """``m, cdf``: P(X <= 0), P(X <= 1), ... of the Poisson distributions with mean 1 to ``most``, up to 12 deviations beyond the mean."""
-    rows = []
-    for m in range(1, most + 1):
-        steps = range(int(m + 12 * math.sqrt(m) + 12))
-        rows.append((m, list(itertools.accumulate(math.exp(k * math.log(m) - m - math.lgamma(k + 1)) for k in steps))))
-    return spark.createDataFrame(rows, "m int, cdf array<double>")
+    """The rows of ``poisson_rows`` as a table."""
+    return spark.createDataFrame(poisson_rows(most), "m int, cdf array<double>")
 
 
 def bootstrap(df: DataFrame, score: str, label: str, pred: str, resamples: int = 400, seed: int = 2607) -> DataFrame:
@@ -285,28 +275,11 @@ def bootstrap(df: DataFrame, score: str, label: str, pred: str, resamples: int =
     at a number that is the digest of (cell, part of the cell, resample, seed):
     it depends on nothing else, and any engine with MD5 draws the same.
     """
-    cells = df.where(F.col(label).isNotNull()).groupBy(F.round(score, 6).alias("s"), F.col(label).cast("int").alias("y"), F.col(pred).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    parts = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / DRAW_ROWS).cast("int"))))
-    parts = parts.withColumn("m", F.least(F.lit(DRAW_ROWS), F.col("c") - F.col("part") * DRAW_ROWS).cast("int")).join(F.broadcast(poisson_table(df.sparkSession)), "m")  # 64 rows
-    draws = parts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    name = F.concat_ws("|", F.round(F.col("s") * 1_000_000).cast("long"), "y", "p", "part", "rep", F.lit(seed))
-    u = (F.conv(F.substring(F.md5(name), 1, DRAW_BITS // 4), 16, 10).cast("long") + 0.5) / float(1 << DRAW_BITS)
-    # the place of u among the rising probabilities is the draw
-    draws = draws.select("rep", "s", "y", "p", "cdf", u.alias("u")).select("rep", "s", "y", "p", F.size(F.filter("cdf", lambda x: x < F.col("u"))).cast("long").alias("w"))
-    r = draws.groupBy("rep", "s", "y", "p").agg(F.sum("w").alias("w")).where("w > 0")
-    y, p, w = F.col("y"), F.col("p"), F.col("w")
-    counts = r.groupBy("rep").agg(
-        F.sum(F.when((y == 1) & (p == 1), w).otherwise(0)).alias("tp"), F.sum(F.when((y == 0) & (p == 1), w).otherwise(0)).alias("fp"),
-        F.sum(F.when((y == 0) & (p == 0), w).otherwise(0)).alias("tn"), F.sum(F.when((y == 1) & (p == 0), w).otherwise(0)).alias("fn"),
-    )
-    rv = R.ranked_values(r, ["rep"], "s", {"pos": w * y, "neg": w * (1 - y)})
-    won = F.sum(F.col("pos") * (2 * F.col("neg_before") + F.col("neg"))).cast("double")
-    pairs = F.max("pos_total").cast("double") * F.max("neg_total")
-    tp = F.col("pos_total") - F.col("pos_before")
-    ap = F.sum(F.try_divide(F.col("pos"), F.col("pos_total")) * F.try_divide(tp, tp + F.col("neg_total") - F.col("neg_before")))
-    ranks = rv.groupBy("rep").agg(F.try_divide(won / 2, pairs).alias("auroc"), ap.alias("auprc"))
+    sums = resampled_sums(df.where(F.col(label).isNotNull()), F.round(score, 6), F.col(label).cast("int"), F.col(pred).cast("int"), resamples, seed)
+    pairs = F.col("pos").cast("double") * F.col("neg")
+    ranks = sums.withColumn("auroc", F.try_divide(F.col("won").cast("double") / 2, pairs)).withColumn("auprc", F.when(F.col("pos") > 0, F.col("gain")))
     names = ["accuracy", "balanced_accuracy", "precision", "recall", "macro_f1", "mcc", "auroc", "auprc"]
-    m = from_cells(counts).join(ranks, "rep").unpivot(["rep"], names, "metric", "v")
+    m = from_cells(ranks).unpivot(["rep"], names, "metric", "v")
     # one value per resample and metric
     return m.groupBy("metric").agg(F.percentile("v", 0.025).alias("ci_low"), F.percentile("v", 0.975).alias("ci_high"), F.avg("v").alias("mean"))
 

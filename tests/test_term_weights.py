@@ -3,6 +3,7 @@
 import collections
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,9 +37,8 @@ def pairs_of(text):
     return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
-@pytest.mark.parametrize("most, piece", [(1 << 23, 400_000), (1 << 23, 1), (0, 400_000)])
-def test_weights_equal_brute_force(spark, monkeypatch, most, piece):
-    monkeypatch.setattr(term_weights, "PIECE_TERMS", piece)
+@pytest.mark.parametrize("most", [term_weights.MOST_LOOKUP, 0])
+def test_weights_equal_brute_force(spark, most):
     d = spark.createDataFrame(texts(), SCHEMA)
     got = term_weights.weigh_terms(d, "id", T.word_terms(F.col("text")), 3, 0.8, max_lookup=most).collect()
     want = brute(texts(), pairs_of, 3, 0.8)
@@ -47,6 +47,19 @@ def test_weights_equal_brute_force(spark, monkeypatch, most, piece):
     assert {(r["id"], r["term"]): r["tfidf"] for r in got} == pytest.approx({k: x for k, (_, x) in want.items()})
 
 
+def test_pieces_end_with_a_document(monkeypatch):
+    monkeypatch.setattr(term_weights, "PIECE_TERMS", 3)
+    n = [0, 0, 1, 2, 2, 2, 2, 2, 3, 4, 5, 5, 7]
+    rows = pa.RecordBatch.from_arrays([pa.array(n), pa.array([-i for i in n]), pa.array([f"t{k % 2}" for k in range(len(n))])], names=["_n", "id", "term"])
+    for step in (1, 2, 5, 13):
+        pieces = [p.column(0).to_pylist() for p in term_weights._documents(iter([rows.slice(i, step) for i in range(0, len(n), step)]))]
+        assert sum(pieces, []) == n and all(a[-1] < b[0] for a, b in zip(pieces, pieces[1:]))
+        assert step == 13 or len(pieces) > 1
+    doc, term, times, names, ids = term_weights._counted(rows)
+    assert ids.to_pylist() == [0, -1, -2, -3, -4, -5, -7] and times.sum() == len(n)
+    assert [(int(d), names[int(t)].as_py(), int(c)) for d, t, c in zip(doc, term, times)][3:5] == [(2, "t0", 2), (2, "t1", 3)]
+
+
 def test_digests_are_those_of_spark_and_nothing_is_shuffled(spark):
     d = spark.createDataFrame([(i, f"grün {'ab' * (i % 9)} x𝔸y") for i in range(60)], "name long, text string").withColumn("name", F.concat(F.lit("r"), "name"))
     out = T.tfidf(d, "name", T.char_terms(F.col("text"), 3, 5), 2, 1.0)
