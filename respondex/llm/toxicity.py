@@ -3,17 +3,22 @@
 A toxic and an ordinary bigram model are counted from labelled texts. Each is
 absolutely discounted and interpolated with the class's continuation
 distribution over words, and that with continuation counts which both classes
-share, so expressions rare in one class fall back to the same numbers. Entries
-whose document frequencies do not differ between the classes (likelihood-ratio
-statistic below ``min_g2``) are pruned: there both models give the shared
-estimate, and the log ratio is 0. What is left is a table of additive weights
-per word and per word pair. A text's score is the sum of its weights over its
-number of words, put on the probability scale by logistic regression on
-labelled rows that the counts did not see.
+share, so expressions rare in one class fall back to the same numbers. Nothing
+is pruned: both models give every word of a text a likelihood, unseen pairs
+by the backoff weight of their context, words that no labelled text has by that of
+the unknown word. A log ratio is a sum of weights per word, context and
+seen pair (``log_ratio_weights``).
+
+A text's log-likelihood ratio over its number of words is put on the
+probability scale by logistic regression on labelled rows that the counts did
+not see. There, the part of the ratio that comes from expressions whose document
+frequencies clearly differ between the classes (likelihood-ratio statistic of
+``min_g2`` or more) has a slope of its own beside the whole.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -32,6 +37,12 @@ FOLDS = 5
 COUNT_BYTES = 16 << 20
 #: Labels (id and class, some 50 bytes each in memory) that are sent to the texts; with more, texts and labels meet in a shuffle.
 MOST_SENT_LABELS = 1 << 20
+#: Words (some 100 bytes each in memory) whose model is sent to the pairs; with more, they meet in a shuffle.
+MOST_SENT_WORDS = 1 << 20
+#: More occurrences than any entry has.
+NEVER = 1 << 62
+#: 2**26 bits are 8 MiB in every task, whatever the number of pairs.
+FILTER_BITS = 26
 
 
 class Grams:
@@ -68,6 +79,10 @@ def word_digest(word: np.ndarray) -> np.ndarray:
     return mix64(word).astype(np.int64)
 
 
+def context_digest(before: np.ndarray) -> np.ndarray:
+    return mix64(before ^ np.uint64(0xD6E8FEB86659FD93)).astype(np.int64)
+
+
 def _tally(gram: np.ndarray, before: np.ndarray, word: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
     """before, word, occurrences, documents of each gram; ``doc`` ascends, so a stable sort keeps it in order."""
     order = np.argsort(gram, kind="stable")
@@ -102,10 +117,11 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``gram, weight`` for ``before, word, weight``: texts are looked up by the digest of a pair or word."""
+    """``gram`` in place of ``before, word``: texts are looked up by the digest of a pair, a word (no ``before``) or a context (no ``word``)."""
     for part in batches:
         before, word = (part.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.where(before == 0, word_digest(word), pair_digest(before, word))), part.column(2)], names=["gram", "weight"])
+        gram = np.where(before == 0, word_digest(word), np.where(word == 0, context_digest(before), pair_digest(before, word)))
+        yield pa.RecordBatch.from_arrays([pa.array(gram), *part.columns[2:]], names=["gram", *part.schema.names[2:]])
 
 
 def _g2(dt: Column, do: Column, toxic: int, ordinary: int) -> Column:
@@ -115,93 +131,183 @@ def _g2(dt: Column, do: Column, toxic: int, ordinary: int) -> Column:
     return 2 * (term(dt, share * toxic) + term(do, share * ordinary) + term(toxic - dt, (1 - share) * toxic) + term(ordinary - do, (1 - share) * ordinary))
 
 
-def log_ratio_weights(counts: DataFrame, toxic: int, ordinary: int, discount: float, min_g2: float) -> DataFrame:
-    """``gram, weight`` of the two Kneser-Ney models; ``counts`` is a stored table of ``gram_counts``."""
+def _few(table: DataFrame) -> DataFrame:
+    """A table with a row per word goes to the pairs, up to ``MOST_SENT_WORDS`` rows."""
+    return F.broadcast(table) if table.count() <= MOST_SENT_WORDS else table
+
+
+def log_ratio_weights(counts: DataFrame, toxic: int, ordinary: int, discount: float, min_g2: float) -> tuple[DataFrame, float]:
+    """``gram, weight, marked, seen`` of the two whole Kneser-Ney models, and the log ratio of a word that no taught text has.
+
+    In a class, a word after another has the discounted share of the pair plus
+    the backoff weight of the context times the word's continuation
+    probability, which backs off to continuation counts of both classes and,
+    from there, to one unknown word. The log ratio of the classes is so a sum of
+    that of the word, that of the context's backoff weights and, where either
+    class has seen the pair, a correction. These are the weights, the words'
+    less the unknown word's: the sum over a text plus its number of words times
+    the second result is the log ratio of its likelihoods. ``marked`` is the
+    part of words and pairs with a ``_g2`` of ``min_g2`` or more, ``seen`` the
+    number of occurrences. ``counts`` is a stored table of ``gram_counts``.
+    """
     pairs = counts.where("before != 0")
     seen = lambda c: F.count(F.when(F.col(c) > 0, 1))
     follows = stored(pairs.groupBy("word").agg(seen("ct").alias("kt"), seen("co").alias("ko"), F.count(F.lit(1)).alias("k")), "toxic-continuations")
-    all_ = follows.agg(F.sum("kt").alias("kt"), F.sum("ko").alias("ko"), F.sum("k").alias("k"), seen("kt").alias("vt"), seen("ko").alias("vo")).first()
-    shared = F.col("k") / F.lit(float(all_["k"] or 1))
-
-    def word_p(k: str, total: int | None, kinds: int | None) -> Column:
-        n = float(total or 1)
-        return F.greatest(F.col(k) - discount, F.lit(0.0)) / n + (discount * (kinds or 0) / n if total else 1.0) * shared
-
-    differs = _g2(F.col("dt"), F.col("do"), toxic, ordinary) >= min_g2
-    kept = counts.where(differs)
-    models = follows.select("word", word_p("kt", all_["kt"], all_["vt"]).alias("wt"), word_p("ko", all_["ko"], all_["vo"]).alias("wo"))
-    words = kept.where("before = 0").join(models, "word").select("before", "word", F.log(F.col("wt") / F.col("wo")).alias("weight"))
-    chosen = kept.where("before != 0")
-    context = (
-        pairs.join(chosen.select("before").distinct(), "before").groupBy("before")
-        .agg(F.sum("ct").alias("nt"), F.sum("co").alias("no"), seen("ct").alias("st"), seen("co").alias("so"))
-    )
+    all_ = follows.agg(F.sum("kt").alias("kt"), F.sum("ko").alias("ko"), F.sum("k").alias("k"), seen("kt").alias("vt"), seen("ko").alias("vo"), F.count(F.lit(1)).alias("v")).first()
+    shared = (F.col("k") - discount + discount * all_["v"] / (all_["v"] + 1)) / F.lit(float(all_["k"] or 1))
+    left = lambda k, v: discount * all_[v] / all_[k] if all_[k] else 1.0
+    word_p = lambda k, rest: F.greatest(F.col(k) - discount, F.lit(0.0)) / float(all_[k] or 1) + rest * shared
+    unknown = math.log(left("kt", "vt") / left("ko", "vo"))
+
+    differs = F.coalesce(_g2(F.col("dt"), F.col("do"), toxic, ordinary) >= min_g2, F.lit(False))
+    base = follows.select("word", word_p("kt", left("kt", "vt")).alias("wt"), word_p("ko", left("ko", "vo")).alias("wo"))
+    word_ratio = F.log(F.col("wt") / F.col("wo"))
+    models = stored(counts.where("before = 0").join(base, "word").select("word", "wt", "wo", F.when(differs, word_ratio).otherwise(0.0).alias("own"), (F.col("ct") + F.col("co")).alias("n")), "toxic-words")
+    words = models.select(F.lit(0).cast("long").alias("before"), "word", (word_ratio - unknown).alias("weight"), F.col("own").alias("marked"), F.col("n").alias("seen"))
+
+    sums = pairs.groupBy("before").agg(F.sum("ct").alias("nt"), F.sum("co").alias("no"), seen("ct").alias("st"), seen("co").alias("so"))
+    backoff = lambda n, s: F.when(F.col(n) > 0, discount * F.col(s) / F.col(n)).otherwise(1.0)
+    context = stored(sums.select("before", "nt", "no", backoff("nt", "st").alias("bt"), backoff("no", "so").alias("bo")), "toxic-contexts")
+    contexts = context.select("before", F.lit(0).cast("long").alias("word"), F.log(F.col("bt") / F.col("bo")).alias("weight"), F.lit(0.0).alias("marked"), (F.col("nt") + F.col("no")).alias("seen"))
+
+    share = lambda c, n: F.when(F.col(n) > 0, F.greatest(F.col(c) - discount, F.lit(0.0)) / F.col(n)).otherwise(0.0)
+    ratio = F.log((share("ct", "nt") + F.col("bt") * F.col("wt")) / (share("co", "no") + F.col("bo") * F.col("wo")))
+    # A pair's word and context have their own weights, so those are taken off.
+    bigrams = pairs.join(_few(context), "before").join(_few(models.drop("n")), "word").select(
+        "before", "word", (ratio - F.log(F.col("bt") / F.col("bo")) - word_ratio).alias("weight"),
+        F.when(differs, ratio - F.col("own")).otherwise(0.0).alias("marked"), (F.col("ct") + F.col("co")).alias("seen"),
+    )
+    return words.unionByName(contexts).unionByName(bigrams).mapInArrow(_named, "gram bigint, weight double, marked double, seen bigint"), unknown
+
+
+def sent_from(counts: DataFrame, max_lookup: int) -> int:
+    """Number of occurrences from which words, contexts and pairs go to the tasks, ``max_lookup`` of them at most."""
+    rows = counts.groupBy((F.col("ct") + F.col("co")).alias("seen")).agg(F.sum(F.when(F.col("before") == 0, 2).otherwise(1)).alias("n")).orderBy(F.desc("seen")).collect()
+    # A word is a context as often as it occurs at most; one context more is the start of a text.
+    room, least = max_lookup - 1, NEVER
+    for r in rows:
+        if (room := room - r["n"]) < 0:
+            return least
+        least = r["seen"]
+    return 1 if room >= 0 else least
+
+
+def pair_filter(counts: DataFrame, least: int) -> np.ndarray:
+    """Bit field of the pairs with fewer than ``least`` occurrences: it never misses one and lets some others through.
+
+    It is built by aggregation into at most 2**20 words of 64 bits. With very many pairs it lets everything through, and the join does all the work.
+    """
+    rare = counts.where((F.col("before") != 0) & (F.col("ct") + F.col("co") < least)).select("before", "word").mapInArrow(_named, "gram bigint")
+    bits = rare.select(F.explode(F.array(*[F.shiftrightunsigned("gram", FILTER_BITS * p).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for p in range(2)])).alias("bit"))
+    found = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    field = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    field[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return field
+
 
-    def pair_p(c: str, n: str, s: str, below: str) -> Column:
-        full = (F.greatest(F.col(c) - discount, F.lit(0.0)) + discount * F.col(s) * F.col(below)) / F.col(n)
-        return F.when(F.col(n) > 0, full).otherwise(F.col(below))
+def _possible(digests: np.ndarray, field: np.ndarray) -> np.ndarray:
+    inside = np.ones(len(digests), dtype=bool)
+    for p in range(2):
+        bit = (digests.view(np.uint64) >> np.uint64(FILTER_BITS * p)) & np.uint64((1 << FILTER_BITS) - 1)
+        inside &= (field.view(np.uint64)[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+    return inside
 
-    ratio = F.log(pair_p("ct", "nt", "st", "wt") / pair_p("co", "no", "so", "wo"))
-    # A kept pair stands for its word's own weight, so that weight is taken off.
-    own = words.select("word", F.col("weight").alias("own"))
-    bigrams = chosen.join(context, "before").join(models, "word").join(own, "word", "left").select("before", "word", (ratio - F.coalesce("own", F.lit(0.0))).alias("weight"))
-    return words.unionByName(bigrams).mapInArrow(_named, "gram bigint, weight double")
 
+class Lookup:
+    """Sums of weights that stand in a sorted table of bounded size."""
 
-def _sum_by_lookup(gram: np.ndarray, weight: np.ndarray) -> Callable[[Column], Column]:
-    """Column of the length-normalised log ratio of a text, the weights being a sorted table of bounded size."""
+    def __init__(self, table: pa.Table) -> None:
+        gram = table["gram"].to_numpy()
+        order = np.argsort(gram)
+        self.gram, self.weight, self.marked = gram[order], table["weight"].to_numpy()[order], table["marked"].to_numpy()[order]
 
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def __call__(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each digest is in the table, and its weights (0 where not)."""
+        if not len(self.gram):
+            return np.zeros(len(digests), dtype=bool), np.zeros(len(digests)), np.zeros(len(digests))
+        at = np.minimum(np.searchsorted(self.gram, digests), len(self.gram) - 1)
+        hit = self.gram[at] == digests
+        return hit, np.where(hit, self.weight[at], 0.0), np.where(hit, self.marked[at], 0.0)
+
+
+def _sum_by_lookup(lookup: Lookup, unknown: float) -> Callable[[Column], Column]:
+    """Column ``whole, marked`` of the length-normalised log ratios of a text, all weights being in the table."""
+
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         grams = Grams()
         for texts in parts:
-            out = np.zeros(len(texts))
+            whole, marked = np.zeros(len(texts)), np.zeros(len(texts))
             for s in range(0, len(texts), 64):
                 doc, before, word, sizes = grams(texts.iloc[s : s + 64].tolist())
-                total = np.zeros(len(sizes))
-                for digest in (word_digest(word), pair_digest(before, word)):
-                    at = np.minimum(np.searchsorted(gram, digest), max(len(gram) - 1, 0))
-                    hit = gram[at] == digest if len(gram) else np.zeros(len(digest), dtype=bool)
-                    total += np.bincount(doc[hit], weights=weight[at[hit]], minlength=len(sizes))
-                out[s : s + 64] = total / np.maximum(sizes, 1)
-            yield pd.Series(out)
+                for digest in (word_digest(word), context_digest(before), pair_digest(before, word)):
+                    _, w, m = lookup(digest)
+                    whole[s : s + 64] += np.bincount(doc, weights=w, minlength=len(sizes))
+                    marked[s : s + 64] += np.bincount(doc, weights=m, minlength=len(sizes))
+                whole[s : s + 64] = whole[s : s + 64] / np.maximum(sizes, 1) + unknown * (sizes > 0)
+                marked[s : s + 64] /= np.maximum(sizes, 1)
+            yield pd.DataFrame({"whole": whole, "marked": marked})
 
-    score.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(score, "double")
+    score.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(score, "whole double, marked double")
 
 
-def _sum_by_join(docs: DataFrame, weights: DataFrame, row: str, text_col: str) -> DataFrame:
-    """``row, total, n_words`` by a join of every text's words and pairs with the weights."""
+def _sum_by_join(docs: DataFrame, weights: DataFrame, lookup: Lookup, rare: np.ndarray, unknown: float, row: str, text_col: str) -> DataFrame:
+    """``row`` and ``whole, marked`` by a join of the texts' words, contexts and pairs with the weights that are not in ``lookup``; ``rare`` is a ``pair_filter``.
+
+    Equal rows of ``docs`` have their sums and sizes added, so the ratios are the same.
+    """
+
+    shared = docs.sparkSession.sparkContext.broadcast((lookup, rare))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
+        lookup, rare = shared.value
         for part in slices(batches, text_col, 1 << 20):
             ids = part.column(0).to_numpy()
             doc, before, word, sizes = grams(part.column(1).to_pylist())
-            size = pa.array(np.tile(sizes[doc], 2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids[doc], 2)), pa.array(np.concatenate([word_digest(word), pair_digest(before, word)])), size], names=[row, "gram", "n_words"])
-
-    found = docs.select(row, text_col).mapInArrow(explode, f"`{row}` bigint, gram bigint, n_words bigint").groupBy(row, "gram", "n_words").agg(F.count(F.lit(1)).alias("n"))
-    return found.join(weights, "gram").groupBy(row).agg((F.sum(F.col("n") * F.col("weight")) / F.max("n_words")).alias("ratio"))
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, float]:
-    """Intercept and slope (never negative) of a logistic curve, by Newton steps."""
+            digest, owner = np.concatenate([word_digest(word), context_digest(before), pair_digest(before, word)]), np.tile(doc, 3)
+            hit, w, m = lookup(digest)
+            open_ = ~hit
+            open_[2 * len(word) :] &= _possible(digest[2 * len(word) :], rare)
+            digest, owner, order = digest[open_], owner[open_], np.lexsort((digest[open_], owner[open_]))
+            digest, owner = digest[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], (digest[1:] != digest[:-1]) | (owner[1:] != owner[:-1])])[: len(digest)])
+            # A text's own row meets no weight (or, by chance, 0 times one) and keeps its number of words and what was looked up.
+            none = np.zeros(len(first))
+            columns = [
+                np.concatenate([ids, ids[owner[first]]]), np.concatenate([ids, digest[first]]),
+                np.concatenate([np.zeros(len(ids), dtype=np.int64), np.diff(np.append(first, len(digest)))]), np.concatenate([sizes, none.astype(np.int64)]),
+                np.concatenate([np.bincount(np.tile(doc, 3), weights=w, minlength=len(ids)), none]), np.concatenate([np.bincount(np.tile(doc, 3), weights=m, minlength=len(ids)), none]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[row, "gram", "n", "n_words", "w", "m"])
+
+    found = docs.select(row, text_col).mapInArrow(explode, f"`{row}` bigint, gram bigint, n bigint, n_words bigint, w double, m double").join(weights, "gram", "left")
+    total = lambda own, joined: F.sum(F.col(own) + F.col("n") * F.coalesce(F.col(joined), F.lit(0.0))) / F.greatest(F.sum("n_words"), F.lit(1))
+    return found.groupBy(row).agg((total("w", "weight") + F.when(F.sum("n_words") > 0, unknown).otherwise(0.0)).alias("whole"), total("m", "marked").alias("marked"))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, ...]:
+    """Intercept and the slope of each column (never negative: a column whose slope would be is left out) of a logistic curve, by Newton steps."""
+    x = x[:, None] if x.ndim == 1 else x
+    flat = [0.0] * x.shape[1]
     if not len(y):
-        return -20.0, 0.0
+        return -20.0, *flat
     if y.min() == y.max():
-        return (20.0 if y[0] else -20.0), 0.0
-    scale = x.std() or 1.0
+        return (20.0 if y[0] else -20.0), *flat
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     design = np.column_stack([np.ones(len(x)), x / scale])
-    b = np.zeros(2)
+    b = np.zeros(design.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ b, -30, 30)))
         slope = design.T @ (y - p) - ridge * b
-        curve = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
+        curve = (design * (p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(b))
         step = np.linalg.solve(curve, slope)
         b += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-9:
             break
-    return float(b[0]), float(max(b[1], 0.0) / scale)
+    if (b[1:] < 0).any():
+        return fit_logistic(np.where(b[1:] < 0, 0.0, x), y, ridge, steps)
+    return float(b[0]), *(b[1:] / scale).tolist()
 
 
 def remainder(id_col: str) -> Column:
@@ -231,8 +337,9 @@ def score_toxicity(
     like others; columns of the same names are replaced; an empty table gives
     an empty result.
 
-    Up to ``max_lookup`` weights (16 MiB) go to the tasks; a larger table meets
-    the words of the texts in a join, with the same result.
+    The most frequent words, contexts and pairs, ``max_lookup`` weights (24
+    MiB) at most, go to the tasks; the others meet those of the texts in a
+    join, with the same result.
     """
     docs = docs.drop("held_out", "score", "predicted")
     truth = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -244,22 +351,26 @@ def score_toxicity(
     counts = stored(gram_counts(taught), "toxic-counts")
     sizes = docs.select(F.col(id_col).alias("_id")).join(truth, "_id").where(remainder("_id") != 1).agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic = int(sizes["t"] or 0)
-    weights = stored(log_ratio_weights(counts, toxic, int(sizes["n"]) - toxic, discount, min_g2), "toxic-weights")
+    weights, unknown = log_ratio_weights(counts, toxic, int(sizes["n"]) - toxic, discount, min_g2)
+    least = sent_from(counts, max_lookup)
+    lookup = Lookup(weights.where(F.col("seen") >= least).select("gram", "weight", "marked").toArrow())
     row = row_digest(F.col(id_col), F.col(text_col))
     rated_as, key, hit = (free_name(docs, n) for n in ("_ratio", "_row", "_found"))
-    if weights.count() <= max_lookup:
-        table = weights.orderBy("gram").toPandas()
-        ratio = _sum_by_lookup(table["gram"].to_numpy(np.int64), table["weight"].to_numpy(np.float64))
+    if least <= 1:
+        ratio = _sum_by_lookup(lookup, unknown)
         rated = lambda df, name, text: df.withColumn(rated_as, ratio(F.col(text)))
     else:
-        sums = stored(_sum_by_join(docs.select(row.alias(key), text_col).dropDuplicates([key]), weights, key, text_col), "toxic-ratios").withColumnRenamed("ratio", hit)
+        rest = weights.where(F.col("seen") < least).select("gram", "weight", "marked")
+        sums = stored(_sum_by_join(docs.select(row.alias(key), text_col), rest, lookup, pair_filter(counts, least), unknown, key, text_col), "toxic-ratios")
+        sums = sums.select(key, F.struct("whole", "marked").alias(hit))
 
         def rated(df: DataFrame, name: str, text: str) -> DataFrame:
-            return df.withColumn(key, row_digest(F.col(name), F.col(text))).join(sums, key, "left").withColumn(rated_as, F.coalesce(hit, F.lit(0.0))).drop(key, hit)
+            return df.withColumn(key, row_digest(F.col(name), F.col(text))).join(sums, key).withColumn(rated_as, F.col(hit)).drop(key, hit)
 
-    sample = rated(known.where(remainder("_id") == 1), "_id", "text").select("_id", F.col(rated_as).alias("_ratio"), "toxic").orderBy(F.xxhash64("_id"), "_ratio").limit(calibration_rows).toPandas()
-    level, slope = fit_logistic(sample["_ratio"].to_numpy(np.float64), sample["toxic"].to_numpy(np.float64))
-    score = 1 / (1 + F.exp(-(F.lit(level) + F.lit(slope) * F.col(rated_as))))
+    whole, marked = F.col(rated_as)["whole"], F.col(rated_as)["marked"]
+    sample = rated(known.where(remainder("_id") == 1), "_id", "text").select("_id", whole.alias("whole"), marked.alias("marked"), "toxic").orderBy(F.xxhash64("_id"), "whole").limit(calibration_rows).toPandas()
+    level, slope, extra = fit_logistic(sample[["whole", "marked"]].to_numpy(np.float64), sample["toxic"].to_numpy(np.float64))
+    score = 1 / (1 + F.exp(-(F.lit(level) + F.lit(slope) * whole + F.lit(extra) * marked)))
     return (
         rated(docs, id_col, text_col).withColumn("held_out", remainder(id_col) == 0).withColumn("score", score)
         .withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop(rated_as)
