@@ -160,20 +160,30 @@ def log_ratio_weights(counts: DataFrame, toxic: int, ordinary: int, discount: fl
     unknown = math.log(left("kt", "vt") / left("ko", "vo"))
 
     differs = F.coalesce(_g2(F.col("dt"), F.col("do"), toxic, ordinary) >= min_g2, F.lit(False))
-    base = follows.select("word", word_p("kt", left("kt", "vt")).alias("wt"), word_p("ko", left("ko", "vo")).alias("wo"))
     word_ratio = F.log(F.col("wt") / F.col("wo"))
-    models = stored(counts.where("before = 0").join(base, "word").select("word", "wt", "wo", F.when(differs, word_ratio).otherwise(0.0).alias("own"), (F.col("ct") + F.col("co")).alias("n")), "toxic-words")
+    models = (
+        counts.where("before = 0").join(follows, "word").withColumn("wt", word_p("kt", left("kt", "vt"))).withColumn("wo", word_p("ko", left("ko", "vo")))
+        .select("word", "wt", "wo", F.when(differs, word_ratio).otherwise(0.0).alias("own"), (F.col("ct") + F.col("co")).alias("n"), "k")
+    )
+    models = stored(models, "toxic-words")
     words = models.select(F.lit(0).cast("long").alias("before"), "word", (word_ratio - unknown).alias("weight"), F.col("own").alias("marked"), F.col("n").alias("seen"))
 
-    sums = pairs.groupBy("before").agg(F.sum("ct").alias("nt"), F.sum("co").alias("no"), seen("ct").alias("st"), seen("co").alias("so"))
-    backoff = lambda n, s: F.when(F.col(n) > 0, discount * F.col(s) / F.col(n)).otherwise(1.0)
-    context = stored(sums.select("before", "nt", "no", backoff("nt", "st").alias("bt"), backoff("no", "so").alias("bo")), "toxic-contexts")
+    sums = pairs.groupBy("before").agg(F.sum("ct").alias("nt"), F.sum("co").alias("no"), seen("ct").alias("st"), seen("co").alias("so"), F.count(F.lit(1)).alias("kinds"))
+    backoff = lambda n, s: F.when(n > 0, discount * s / n).otherwise(1.0)
+    context = stored(sums.select("before", "nt", "no", backoff(F.col("nt"), F.col("st")).alias("bt"), backoff(F.col("no"), F.col("so")).alias("bo"), "kinds"), "toxic-contexts")
     contexts = context.select("before", F.lit(0).cast("long").alias("word"), F.log(F.col("bt") / F.col("bo")).alias("weight"), F.lit(0.0).alias("marked"), (F.col("nt") + F.col("no")).alias("seen"))
 
     share = lambda c, n: F.when(F.col(n) > 0, F.greatest(F.col(c) - discount, F.lit(0.0)) / F.col(n)).otherwise(0.0)
     ratio = F.log((share("ct", "nt") + F.col("bt") * F.col("wt")) / (share("co", "no") + F.col("bo") * F.col("wo")))
     # A pair's word and context have their own weights, so those are taken off.
-    bigrams = pairs.join(_few(context), "before").join(_few(models.drop("n")), "word").select(
+    # Where a word or context stands in one pair only, that pair's row has its counts; the others are far fewer.
+    alone = lambda c: (F.col(c) > 0).cast("long")
+    single = lambda c, k, v: F.greatest(alone(c) - discount, F.lit(0.0)) / float(all_[k] or 1) + left(k, v) * (1 - discount + discount * all_["v"] / (all_["v"] + 1)) / float(all_["k"] or 1)
+    full = pairs.join(_few(context.where("kinds > 1").drop("kinds")), "before", "left").join(_few(models.where("k > 1").drop("n", "k")), "word", "left")
+    for c, n, b in (("ct", "nt", "bt"), ("co", "no", "bo")):
+        full = full.withColumn(b, F.coalesce(b, backoff(F.col(c), alone(c)))).withColumn(n, F.coalesce(n, c))
+    full = full.withColumn("wt", F.coalesce("wt", single("ct", "kt", "vt"))).withColumn("wo", F.coalesce("wo", single("co", "ko", "vo")))
+    bigrams = full.withColumn("own", F.coalesce("own", F.when(differs, word_ratio).otherwise(0.0))).select(
         "before", "word", (ratio - F.log(F.col("bt") / F.col("bo")) - word_ratio).alias("weight"),
         F.when(differs, ratio - F.col("own")).otherwise(0.0).alias("marked"), (F.col("ct") + F.col("co")).alias("seen"),
     )
@@ -349,6 +359,8 @@ def score_toxicity(
     known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(truth, "_id")
     taught = known.where(remainder("_id") != 1)
     counts = stored(gram_counts(taught), "toxic-counts")
+    # Spark deletes the files of a finished shuffle when the driver collects its garbage; this one is as large as all that follow.
+    docs.sparkSession._jvm.System.gc()
     sizes = docs.select(F.col(id_col).alias("_id")).join(truth, "_id").where(remainder("_id") != 1).agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic = int(sizes["t"] or 0)
     weights, unknown = log_ratio_weights(counts, toxic, int(sizes["n"]) - toxic, discount, min_g2)
