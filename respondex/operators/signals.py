@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from respondex.config import SignalConfig
 from respondex.functions import ranking as R
 from respondex.functions import text as X
+from respondex.functions.scan import Reading, finder, plain, read_texts
+
+#: What is between the words of ``X.WORD``.
+NO_WORD = r"[^\p{L}\p{N}']+"
 
 SIGNALS = (
     "duplicate_open", "template_cluster", "fast_complete", "open_generic", "low_specificity", "survey_meta", "polished",
@@ -32,16 +36,18 @@ def text_facts(df: DataFrame, id_col: str, text: str, cfg: SignalConfig) -> Data
     Runs on the text table alone, before any join, so no text is ever shuffled;
     equal texts and equal templates are compared by digest later.
     """
-    t = X.norm(F.col(text))
-    d = df.select(id_col, t.alias("_t")).withColumn("_w", X.lower_words(F.col("_t"))).withColumn("_sig", X.signature(F.col("_t")))
-    w, n = F.col("_w"), F.size("_w")
+    searched = (cfg.meta_pattern, cfg.polished_pattern, cfg.hostile_pattern, cfg.grounded_pattern)
+    reading = Reading(tuple(dict.fromkeys(p for p in searched if plain(p))), words=NO_WORD, lexicon=tuple(cfg.domain_terms), phrases=True)
+    find = finder(reading, "_r")
+    d = df.select(id_col, X.norm(F.col(text)).alias("_t"))
+    d = read_texts(d, "_t", reading, "_r").withColumn("_sig", X.signature(F.col("_t")))
+    t, n = F.col("_t"), F.col("_r.n_words")
 
     def flag(c: Column) -> Column:
         return F.coalesce(c.cast("int"), F.lit(0))
 
-    generic = (n > 0) & (F.col("_t").rlike(cfg.generic_pattern) | (n <= cfg.low_words))
-    ratio = X.unique_ratio(w)
-    hits = X.hits_in(w, cfg.domain_terms) if cfg.domain_terms else F.lit(0)
+    generic = (n > 0) & (t.rlike(cfg.generic_pattern) | (n <= cfg.low_words))
+    ratio = F.when(n > 0, F.col("_r.n_distinct") / n).otherwise(F.lit(0.0))
     return d.select(
         id_col,
         n.alias("word_count"),
@@ -51,13 +57,13 @@ def text_facts(df: DataFrame, id_col: str, text: str, cfg: SignalConfig) -> Data
         F.when(F.length("_sig") >= cfg.min_signature_chars, F.md5("_sig")).alias("template_digest"),
         flag(generic).alias("f_open_generic"),
         flag((n >= cfg.long_words) & (ratio < cfg.low_unique_ratio)).alias("f_low_specificity"),
-        flag(F.col("_t").rlike(cfg.meta_pattern)).alias("f_survey_meta"),
-        flag(F.col("_t").rlike(cfg.polished_pattern)).alias("f_polished"),
-        flag(X.repeated_phrase(F.col("_t"))).alias("f_repeated_phrase"),
-        flag(F.col("_t").rlike(cfg.hostile_pattern)).alias("f_hostile"),
-        flag(F.col("_t").rlike(cfg.grounded_pattern)).alias("g_grounded"),
+        flag(find(t, cfg.meta_pattern)).alias("f_survey_meta"),
+        flag(find(t, cfg.polished_pattern)).alias("f_polished"),
+        flag(F.col("_r.repeated")).alias("f_repeated_phrase"),
+        flag(find(t, cfg.hostile_pattern)).alias("f_hostile"),
+        flag(find(t, cfg.grounded_pattern)).alias("g_grounded"),
         flag((n >= 8) & ~generic).alias("g_specific_detail"),
-        flag(hits >= cfg.extra.get("domain_rich_hits", 4)).alias("g_domain_rich"),
+        flag(F.col("_r.n_lexicon") >= cfg.extra.get("domain_rich_hits", 4)).alias("g_domain_rich"),
     )
 
 
