@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -13,6 +13,14 @@ from respondex.operators.term_weights import weigh_terms
 from respondex.session import ensure_checkpoint_dir
 
 
+#: Answers whether a pattern, or any of several strings, occurs in a text; how many of some letters it has.
+Find = Callable[[Column, "str | Sequence[str]"], Column]
+Letters = Callable[[str], Column]
+
+VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
+EMPTY_TALK_PATTERN = r"(^|[^a-z])(test|asdf|qwerty|n/?a|dont know|don't know|no idea|not sure)([^a-z]|$)"
+
+
 def text_metrics(df: DataFrame, text: str, cfg: SignalConfig) -> DataFrame:
     """Characters, words, sentences, share of different words, generic and polished markers."""
     s = X.squash(F.coalesce(F.col(text), F.lit("")))
@@ -88,34 +96,38 @@ def placeholder(c: Column, cfg: SignalConfig) -> Column:
     return X.norm(c).rlike(cfg.placeholder_pattern)
 
 
-def open_text_class(c: Column, topic_markers: Sequence[str] = L.TOPIC_MARKERS) -> Column:
-    """One of ten classes; the first rule that holds wins."""
+def open_text_class(c: Column, topic_markers: Sequence[str] = L.TOPIC_MARKERS, find: Find = X.found, normed: bool = False, letters: Letters | None = None) -> Column:
+    """One of ten classes; the first rule that holds wins.
+
+    ``normed`` tells that ``c`` is normalised already; ``find`` and ``letters`` may
+    know the answers from one reading of the text.
+    """
 
     def classify(t: Column) -> Column:
-        n_of = lambda letters: F.length(t) - F.length(F.translate(t, letters, ""))
-        hard = X.let(n_of("aeiou"), lambda vowels: (vowels > 0) & (n_of("bcdfghjklmnpqrstvwxyz") > 5 * vowels))
-        mash = (F.length(t) > 10) & (hard | X.contains_any(t, L.MASH_MARKERS))
+        n_of = letters or (lambda some: F.length(t) - F.length(F.translate(t, some, "")))
+        hard = X.let(n_of(VOWELS), lambda vowels: (vowels > 0) & (n_of(CONSONANTS) > 5 * vowels))
+        mash = (F.length(t) > 10) & (hard | find(t, L.MASH_MARKERS))
         last = F.substring_index(t, " ", -1)
         cut = (F.length(t) > 30) & ~t.rlike(r"[.!?]$") & (
             ((F.length(last) <= 2) & ~last.isin("ed", "er", "ly", "ng"))
             | (X.starts_with_any(t, L.TEMPLATE_STARTS) & (F.length(t) < 100))
         )
-        first_person = X.contains_any(t, L.FIRST_PERSON_MARKERS)
+        first_person = find(t, L.FIRST_PERSON_MARKERS)
         return (
             F.when(F.length(t) < 3, "empty")
             .when(mash, "gibberish")
             .when((F.length(t) < 40) & X.contains_any(t, L.PRAISE_MARKERS), "generic_praise")
-            .when(X.contains_any(t, L.THIRD_PERSON_MARKERS), "third_person_meta")
-            .when(X.contains_any(t, L.OFF_TOPIC_MARKERS), "off_topic_incoherent")
+            .when(find(t, L.THIRD_PERSON_MARKERS), "third_person_meta")
+            .when(find(t, L.OFF_TOPIC_MARKERS), "off_topic_incoherent")
             .when((F.length(t) < 15) & X.contains_any(t, L.NON_ANSWER_MARKERS), "off_topic_incoherent")
             .when(cut, "templated_truncated")
-            .when(first_person & X.contains_any(t, L.EXPERIENCE_MARKERS), "first_person_personal")
-            .when(~first_person & X.contains_any(t, topic_markers), "generic_topic_restatement")
+            .when(first_person & find(t, L.EXPERIENCE_MARKERS), "first_person_personal")
+            .when(~first_person & find(t, topic_markers), "generic_topic_restatement")
             .when(F.length(t) > 30, "substantive")
             .otherwise("short_neutral")
         )
 
-    return X.let(X.norm(c), classify)
+    return X.let(c if normed else X.norm(c), classify)
 
 
 def is_discard_class(text_class: Column) -> Column:
@@ -197,9 +209,9 @@ def language_flags(df: DataFrame, text: str, cfg: SignalConfig) -> DataFrame:
     )
 
 
-def narrative_quality(c: Column, topic_pattern: str) -> Column:
+def narrative_quality(c: Column, topic_pattern: str, find: Find = X.found, normed: bool = False, repeated: Column | None = None) -> Column:
     def classify(t: Column) -> Column:
-        topic, factor = t.rlike(topic_pattern), t.rlike(L.SUBSTANTIVE_PATTERN)
+        topic, factor = find(t, topic_pattern), find(t, L.SUBSTANTIVE_PATTERN)
 
         def with_words(w: Column) -> Column:
             n, u = F.size(w), F.size(F.array_distinct(w))
@@ -213,31 +225,31 @@ def narrative_quality(c: Column, topic_pattern: str) -> Column:
 
         return (
             F.when(t == "", "blank")
-            .when(t.rlike(L.ABUSIVE_PATTERN) | t.rlike(f"^({L.NON_COOPERATIVE_PATTERN})$"), "non_cooperative")
-            .when(X.repeated_phrase(t), "nonsensical_or_repetitive")
-            .when(t.rlike(L.FEEDBACK_NARRATIVE_PATTERN) & ~topic & ~factor, "generic_survey_feedback")
+            .when(find(t, L.ABUSIVE_PATTERN) | t.rlike(f"^({L.NON_COOPERATIVE_PATTERN})$"), "non_cooperative")
+            .when(X.repeated_phrase(t) if repeated is None else repeated, "nonsensical_or_repetitive")
+            .when(find(t, L.FEEDBACK_NARRATIVE_PATTERN) & ~topic & ~factor, "generic_survey_feedback")
             .otherwise(X.let(X.lower_words(t, r"[a-z0-9']+"), with_words))
         )
 
-    return X.let(X.norm(c), classify)
+    return X.let(c if normed else X.norm(c), classify)
 
 
-def severe_weak(c: Column, context_pattern: str) -> Column:
+def severe_weak(c: Column, context_pattern: str, find: Find = X.found, normed: bool = False) -> Column:
     """Empty, a non-response, or repetition without any context that would protect it."""
 
     def judge(t: Column) -> Column:
-        protected = t.rlike(context_pattern) | t.rlike(L.PROJECT_PATTERN)
-        substantive = t.rlike(L.SUBSTANTIVE_PATTERN)
+        protected = find(t, context_pattern) | find(t, L.PROJECT_PATTERN)
+        substantive = find(t, L.SUBSTANTIVE_PATTERN)
         long_words = F.filter(X.words(t, r"[a-z0-9']+"), lambda w: F.length(w) > 2)
         repeats = X.let(long_words, lambda w: X.occurs_at_least(w, 3) & (F.size(F.array_distinct(w)) <= 3))
         weak = (
-            t.rlike(r"(^|[^a-z])(test|asdf|qwerty|n/?a|dont know|don't know|no idea|not sure)([^a-z]|$)")
+            find(t, EMPTY_TALK_PATTERN)
             | repeats
             | t.rlike(r"(.)\1{4,}")
         )
         return (t == "") | (~protected & (t.rlike(f"^({L.NON_RESPONSE_PATTERN})$") | (weak & ~substantive)))
 
-    return X.let(X.norm(c), judge)
+    return X.let(c if normed else X.norm(c), judge)
 
 
 def contact_details(t: Column) -> Column:
@@ -249,11 +261,11 @@ def contact_details(t: Column) -> Column:
 SEVEN_WORDS = r"^(?:[^a-z0-9']*+[a-z0-9']++){7}"
 
 
-def misplaced(c: Column, context_pattern: str) -> Column:
+def misplaced(c: Column, context_pattern: str, find: Find = X.found, normed: bool = False, contact: Column | None = None) -> Column:
     """Contact details, no words at all, or a few words that are mostly short or vowel-free."""
 
     def judge(t: Column) -> Column:
-        protected = t.rlike(context_pattern) | t.rlike(L.SUBSTANTIVE_PATTERN) | t.rlike(L.PROJECT_PATTERN)
+        protected = find(t, context_pattern) | find(t, L.SUBSTANTIVE_PATTERN) | find(t, L.PROJECT_PATTERN)
 
         def odd(w: Column) -> Column:
             n = F.size(w)
@@ -264,9 +276,9 @@ def misplaced(c: Column, context_pattern: str) -> Column:
             )
 
         few = F.when(t.rlike(SEVEN_WORDS), F.lit(False)).otherwise(~protected & X.let(X.words(t, r"[a-z0-9']+"), odd))
-        return (t == "") | few | contact_details(t)
+        return (t == "") | few | (contact_details(t) if contact is None else contact)
 
-    return X.let(X.norm(c), judge)
+    return X.let(c if normed else X.norm(c), judge)
 
 
 def long_low_specificity(c: Column, cfg: SignalConfig) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from respondex.functions import lexicons as L
 from respondex.functions import scan
 from respondex.functions import text as X
+from respondex.operators import text_signals as T
 from respondex.operators.signals import NO_WORD, text_facts
 from respondex.plans import study
 
@@ -33,6 +34,21 @@ def test_reading_equals_expressions(spark):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_decision_rules_equal_plain_rules(spark, monkeypatch):
+    c, t = F.col("open_text"), X.norm(F.col("open_text"))
+    want = rows(spark).select(
+        "respondent_id", T.open_text_class(c).alias("oe_class"), T.narrative_quality(c, study.STUDY.topic_pattern).alias("narrative_quality"),
+        T.severe_weak(c, study.CONTEXT).cast("int").alias("weak_text"), T.misplaced(c, study.CONTEXT).cast("int").alias("misplaced_text"),
+        t.rlike(L.SUBSTANTIVE_PATTERN).cast("int").alias("substantive_context"),
+    )
+    monkeypatch.setattr(study, "respondent_texts", lambda *_: rows(spark))
+    reads = study._text_reads(spark, "")
+    assert sorted(reads.select(*want.columns).collect()) == sorted(want.collect())
+    # long texts are walked by Arrow, not by Java's alternatives
+    plan = reads._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "maintenance" not in plan and "driveway" not in plan
+
+
 def test_slices_and_wide_keys(monkeypatch):
     reading = scan.Reading(("the",), ("[aeiou]+",), ("aeiou",), (".!?",), words=NO_WORD, lexicon=("the",), phrases=True)
     texts = pa.array([t if t is None else t.lower() for t in TEXTS] * 3)
