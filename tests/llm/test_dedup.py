@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from respondex.llm.fuzzy_lines import drop_fuzzy_lines, normal_line
-from respondex.llm.ngram_join import Shingler, join_ngrams, signatures
+from respondex.llm.ngram_join import Shingler, join_ngrams, linked, possible_links, set_maps, signatures
 from respondex.llm.substrings import SENTENCE, drop_repeated_spans, substrings_sql
 
 SCHEMA = "doc_id long, text string, row string, key string, signature string, label string"
@@ -161,3 +161,20 @@ def test_odd_tables(spark):
     assert join_ngrams(docs).count() == 4
     none = docs.where(F.lit(False))
     assert drop_repeated_spans(none).count() == drop_fuzzy_lines(none).count() == join_ngrams(none).count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_bit_maps_end_unlike_pairs_and_lose_no_link(spark, percent):
+    rng = random.Random(percent)
+    digest = lambda: rng.getrandbits(64) - (1 << 63)
+    sets = []
+    for size in (1, 2, 9, 10, 100, 400, 6000):
+        base = [digest() for _ in range(size)]
+        sets += [base, base[: size * percent // 100] or base, base[: size * percent // 100 + 1], [*base[: size // 2], *(digest() for _ in range(size // 2 + 1))], [digest() for _ in range(size)]]
+    table = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "key long, grams array<long>")
+    pairs = spark.createDataFrame(list(itertools.combinations(range(len(sets)), 2)), "a long, b long")
+    likely = possible_links(pairs, set_maps(table), percent)
+    want = set(map(tuple, linked(pairs, table, percent).collect()))
+    kept = set(map(tuple, likely.collect()))
+    assert len(want) >= 12 and want <= kept and len(kept) < 60 and pairs.count() > 500
+    assert possible_links(pairs.limit(0), set_maps(table.limit(0)), percent).count() == 0
