@@ -5,12 +5,13 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from respondex.llm.fuzzy_lines import drop_fuzzy_lines, normal_line
-from respondex.llm.ngram_join import Shingler, join_ngrams, linked, possible_links, set_maps, signatures
+from respondex.llm.ngram_join import Shingler, _dealt, bands, enumeration, join_ngrams, linked, possible_links, set_maps, signatures
 from respondex.llm.substrings import SENTENCE, drop_repeated_spans, substrings_sql
 
 SCHEMA = "doc_id long, text string, row string, key string, signature string, label string"
@@ -178,3 +179,23 @@ def test_bit_maps_end_unlike_pairs_and_lose_no_link(spark, percent):
     kept = set(map(tuple, likely.collect()))
     assert len(want) >= 12 and want <= kept and len(kept) < 60 and pairs.count() > 500
     assert possible_links(pairs.limit(0), set_maps(table.limit(0)), percent).count() == 0
+
+
+def test_signatures_of_unlike_sets_hold_content():
+    """Sets with many empty choices are dealt again: no signature stands for gaps alone, and partners still share one."""
+    rng, percent = np.random.default_rng(12), 80
+    shared, hollow = {}, []
+    for i in range(3000):
+        s = np.unique(rng.integers(0, 2**64, rng.integers(20, 110), dtype=np.uint64))
+        band = int(np.searchsorted(bands(percent), len(s), side="right")) - 1
+        spare = enumeration(band, percent)[3]
+        if len(_dealt(s, band, percent, 0)[1]) > spare:
+            hollow.append(s)
+        for g in set(signatures(s, percent).tolist()):
+            shared.setdefault(g, []).append(i)
+    assert len(hollow) > 10 and max(map(len, shared.values())) == 1
+    for s in hollow:
+        other = np.sort(np.concatenate([s[len(s) // 11 :], rng.integers(0, 2**64, len(s) // 11, dtype=np.uint64)]))
+        common = len(np.intersect1d(s, other))
+        assert common * 100 >= (len(s) + len(other) - common) * percent
+        assert set(signatures(s, percent).tolist()) & set(signatures(other, percent).tolist())
