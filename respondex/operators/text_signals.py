@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from respondex.config import SignalConfig
 from respondex.functions import lexicons as L
@@ -17,6 +20,8 @@ from respondex.session import ensure_checkpoint_dir
 Find = Callable[[Column, "str | Sequence[str]"], Column]
 Letters = Callable[[str], Column]
 
+#: Characters of a respondent's answers that are compared in one task.
+MOST_CHARS = 1 << 18
 VOWELS, CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 EMPTY_TALK_PATTERN = r"(^|[^a-z])(test|asdf|qwerty|n/?a|dont know|don't know|no idea|not sure)([^a-z]|$)"
 
@@ -417,16 +422,85 @@ def _winnowed(hashes: Column, width: int) -> Column:
     return F.when(F.size(hashes) >= width, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
 
 
-def copied_across_fields(df: DataFrame, id_col: str, pos: str, text: str, min_chars: int = 10) -> DataFrame:
+def copied_across_fields(df: DataFrame, id_col: str, pos: str, text: str, min_chars: int = 10, most_chars: int = MOST_CHARS) -> DataFrame:
     """Answers whose words appear again, whole or inside a longer answer of the same respondent.
 
+    Answers meet once, by respondent, and a task searches each answer in the
+    others of its respondent. Respondents of more than ``most_chars`` characters,
+    and rows without an id, take ``_copied_by_joins``: their number is bounded by
+    the size of the texts, and so is the list of them that is sent to the rows.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    sizes = df.groupBy(F.col(id_col).alias("_big")).agg(F.sum(F.length(text)).alias("_chars"))
+    big = sizes.where(F.col("_big").isNull() | (F.col("_chars") > most_chars)).select("_big").checkpoint()
+    same = F.col(id_col).eqNullSafe(F.col("_big"))
+    any_big = not big.isEmpty()
+    t = (df.join(F.broadcast(big), same, "left_anti") if any_big else df).select(id_col, F.array_join(X.lower_words(F.col(text)), " ").alias("t")).where(F.length("t") > 0)
+    kind = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(f"{c}_answers", T.LongType()) for c in ("n", "identical", "contained"))])
+    out = t.repartition(id_col).sortWithinPartitions(id_col).mapInArrow(_copied_in_task(min_chars), kind)
+    out = out.withColumn("copied", ((F.col("identical_answers") > 0) | (F.col("contained_answers") > 0)).cast("int"))
+    return out.unionByName(_copied_by_joins(df.join(F.broadcast(big), same, "left_semi"), id_col, pos, text, min_chars)) if any_big else out
+
+
+def _copied_answers(answers: Sequence[str], min_chars: int) -> tuple[int, int, int]:
+    """Numbers of answers, of those that come more than once and of those that stand inside another one."""
+    same = Counter(answers)
+    identical = sum(n for t, n in same.items() if n > 1 and len(t) > 5)
+    contained, at = 0, 0
+    if len(same) > 1:
+        whole = "\n".join(f" {t} " for t in same)  # no word holds a line break, so nothing is found across answers
+        for t, n in same.items():
+            if len(t) > min_chars and (whole.find(f" {t} ") != at or whole.find(f" {t} ", at + 1) >= 0):
+                contained += n
+            at += len(t) + 3
+    return len(answers), identical, contained
+
+
+def _copied_in_task(min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``id, answer`` sorted by id to one row per id; a respondent may go over several batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def made(ids: pa.Array, found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in zip(*found))], names=[id_col, "n_answers", "identical_answers", "contained_answers"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, texts, id_col = batch.column(0), batch.column(1).to_pylist(), batch.schema.names[0]
+            codes = ids.dictionary_encode().indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(texts)]
+            found, starts = [], []
+            for a, b in zip(cuts, cuts[1:]):
+                if a == 0 and last is not None and last[0].equals(ids[0]):
+                    held += texts[a:b]
+                    continue
+                if held:
+                    yield made(pa.array([last[0].as_py()], ids.type), [_copied_answers(held, min_chars)])
+                    held = []
+                if b < len(texts):
+                    starts.append(a)
+                    found.append(_copied_answers(texts[a:b], min_chars))
+                else:
+                    held, last = texts[a:b], (ids[a],)
+            if found:
+                yield made(ids.take(pa.array(starts)), found)
+        if held:
+            yield made(pa.array([last[0].as_py()], last[0].type), [_copied_answers(held, min_chars)])
+
+    return run
+
+
+def _copied_by_joins(df: DataFrame, id_col: str, pos: str, text: str, min_chars: int) -> DataFrame:
+    """The same for respondents of any size.
+
     Equal texts are counted, not paired. For the others, an answer names the
     smallest word hash of its first window of 16, 4 or 1 words, the widest that
     it fills; a longer answer names those of all its windows (winnowing). If it
     contains the short one, it contains that window, so both name the same hash.
     Only hashes and digests meet; texts are fetched for candidate pairs.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     tokens = F.array_join(X.lower_words(F.col(text)), " ")
     t = df.select(id_col, pos, tokens.alias("t")).where(F.length("t") > 0)
     distinct = t.groupBy(id_col, F.md5("t").alias("k")).agg(F.count(F.lit(1)).alias("same"), F.any_value("t").alias("t"), F.max(F.length("t")).alias("chars")).checkpoint()

@@ -309,3 +309,15 @@ def test_contact_details_in_linear_time_equal_the_pattern(spark):
     start = time.time()
     assert not long_.select(T.misplaced(F.col("t"), "(^| )the( |$)").alias("m")).first()["m"]
     assert time.time() - start < 20
+
+
+def test_copied_answers_are_found_in_one_task_as_by_joins(spark):
+    rng = random.Random(16)
+    rows = [(None if i % 50 == 7 else i % 23, i, " ".join(f"{'ab' * 3}{rng.randrange(4)}" for _ in range(rng.choice([0, 1, 2, 3, 6, 18])))) for i in range(900)]
+    d = spark.createDataFrame([*rows, (30, 1, None), (31, 1, "Élan vitale élan"), (31, 2, "élan  vitale")], "id long, pos long, t string").repartition(6)
+    in_task = T.copied_across_fields(d, "id", "pos", "t")
+    by_joins = {tuple(r) for r in T.copied_across_fields(d, "id", "pos", "t", most_chars=0).collect()}
+    assert {tuple(r) for r in in_task.collect()} == by_joins and len(by_joins) == 25
+    assert (31, 2, 0, 1, 1) in by_joins
+    plan = T.copied_across_fields(d.where("id IS NOT NULL"), "id", "pos", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 2  # the test's own repartition, and answers by respondent
