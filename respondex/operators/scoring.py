@@ -12,6 +12,8 @@ from respondex.functions import ranking as R
 from respondex.functions import text as X
 
 EMPTY = "array<string>"
+#: Signals of a dictionary that share one long.
+MASK_BITS = 63
 
 
 def listed(rules: Sequence[tuple[str, Column]]) -> Column:
@@ -579,9 +581,26 @@ def signal_profile(df: DataFrame, id_col: str, signals: Sequence[str]) -> DataFr
 
 
 def unassessed(ids: DataFrame, assessed: DataFrame, id_col: str, dictionary: Sequence[str]) -> DataFrame:
-    """(id, signal) pairs of the dictionary that nobody assessed; the pairs are built in the row."""
-    wanted = ids.select(id_col, F.explode(F.array(*[F.lit(s) for s in dictionary])).alias("signal"))
-    return wanted.join(assessed.select(id_col, "signal"), [id_col, "signal"], "left_anti")
+    """(id, signal) pairs of the dictionary that nobody assessed; the pairs are built in the row.
+
+    What was assessed is a set of bits per id, put together on the map side, so
+    one narrow row of an id travels and no pair. Pairs come from rows that look
+    small to the planner, so the join must not be a broadcast: the hint rules it out.
+    """
+    names = list(dict.fromkeys(dictionary))
+    at = F.array_position(F.array(*[F.lit(s) for s in names]), F.col("signal")).cast("int") - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(MASK_BITS)))
+    words = range(-(-len(names) // MASK_BITS))
+    held = assessed.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
+        *[F.bit_or(F.when((at >= w * MASK_BITS) & (at < (w + 1) * MASK_BITS), bit)).alias(f"_m{w}") for w in words]
+    )
+    marked = ids.select(id_col).join(held.hint("merge"), F.col(id_col) == F.col("_id"), "left")
+
+    def absent(signal: str) -> Column:
+        w, i = divmod(names.index(signal), MASK_BITS)
+        return F.when(F.coalesce(F.col(f"_m{w}"), F.lit(0).cast("long")).bitwiseAND(F.lit(1 << i)) == 0, F.lit(signal))
+
+    return marked.select(id_col, F.explode(F.array_compact(F.array(*[absent(s) for s in dictionary]))).alias("signal"))
 
 
 def review_routing(df: DataFrame, judgment: str, score: str) -> DataFrame:

@@ -190,3 +190,16 @@ def test_stream_drops_repeats_and_equals_batch(spark, tmp_path):
     got = {(r["minute"], r["n_starts"], r["odd_hour_starts"]) for r in spark.read.parquet(out).collect() if r["minute"].day == 1}
     want = {(r["minute"], r["n_starts"], r["odd_hour_starts"]) for r in monitor.minute_counts(d, "ts", None).collect()}
     assert got == want
+
+
+def test_pairs_nobody_assessed_are_never_broadcast(spark):
+    """Repeated and null ids stay, signals beyond the bits of one long too, and no pair of an id and a signal is sent."""
+    names = [f"s{i:03}" for i in range(130)]
+    ids = spark.createDataFrame([(1,), (1,), (2,), (None,), (4,)], "id long")
+    done = [(1, s) for s in names[:64]] + [(2, names[129]), (2, names[129]), (2, "unknown"), (None, names[0]), (9, names[0]), (4, None)]
+    done = spark.createDataFrame(done, "id long, signal string")
+    out = S.unassessed(ids, done, "id", names)
+    want = [(1, s) for s in names[64:]] * 2 + [(2, s) for s in names[:129]] + [(None, s) for s in names] + [(4, s) for s in names]
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(want, key=key)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
