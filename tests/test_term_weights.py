@@ -3,6 +3,7 @@
 import collections
 import math
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,33 @@ def test_tables_without_rows_or_terms(spark):
     d = spark.createDataFrame(texts(), SCHEMA)
     for none in (d.limit(0), d.where("text IS NULL")):
         assert T.tfidf(none, "id", T.word_terms(F.col("text")), 1, 1.0).collect() == []
+
+
+def test_terms_made_of_words_are_those_of_the_columns(spark):
+    """Pairs and character n-grams are made where the words are read, and no array of them is laid out before."""
+    d = spark.createDataFrame([*texts(), (901, "Grün 𝔸b c über_9 x"), (902, "a a a")], SCHEMA)
+    for terms, min_df in ((T.word_terms(F.col("text")), 2), (T.char_terms(F.col("text"), 3, 5), 1)):
+        made = T.tfidf(d, "id", terms, min_df, 1.0)
+        laid_out = T.tfidf(d, "id", terms.column, min_df, 1.0)
+        assert sorted(map(tuple, made.collect())) == sorted(map(tuple, laid_out.collect()))
+        unique = d.where("id IS NOT NULL AND id NOT IN (5, 6)")
+        assert "substring" not in T.tfidf(unique, "id", terms, min_df, 1.0)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_vocabulary_comes_in_slices(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(term_weights, "SLICE_TERMS", 7)
+    words = spark.createDataFrame([(f"w{i}", float(i)) for i in range(100)], "term string, idf double")
+    collect = type(words).toArrow
+    monkeypatch.setattr(type(words), "toArrow", lambda self: taken.append(collect(self)) or taken[-1])
+    digest, idf = term_weights._lookup(words, 100)
+    want = sorted((r[0], r[1]) for r in words.select(F.xxhash64("term"), "idf").collect())
+    assert list(zip(digest.tolist(), idf.tolist())) == want
+    assert len(taken) == 15 and max(t.num_rows for t in taken) < 30
+
+
+def test_weights_are_rounded_as_spark_rounds_them(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.random(5000), rng.integers(1, 10**7, 3000) / 10**7, (rng.integers(1, 10**6, 500) + 0.5) / 10**6, 1 / 2.0 ** np.arange(30), [0.0, 1.0]])
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert term_weights._rounded(x, 6).tolist() == want
