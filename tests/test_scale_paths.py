@@ -207,3 +207,33 @@ def test_queries_are_sent_once_to_a_node_and_in_slices(spark):
     part = asked.toPandas()
     slices = list(MT.limited(part, MT.Cells(*[np.arange(MT.MOST_BOUNDS // 100)] * 6)))
     assert [len(s) for s in slices] == [100] * 4
+
+
+@pytest.mark.parametrize("threshold,beyond", [(0.5, 0), (0.7, 6)])
+def test_packed_prefixes_blocks_and_tiles_equal_brute_force(spark, monkeypatch, threshold, beyond):
+    """Many buckets, classes cut into blocks, tokens cut into tiles, rows that come twice, ids of any sign."""
+    for name, value in (("BUCKET_TOKENS", 300), ("CELL_TOKENS", 60), ("TILE_ROWS", 6), ("COMMON_TOKENS", 8)):
+        monkeypatch.setattr(S, name, value)
+    rng = np.random.default_rng(6)
+    sets = {int(i): sorted({int(x) * 7**19 % 2**61 for x in rng.integers(0, 13, rng.integers(1, 14))} | ({5} if i % 3 else set())) for i in rng.integers(-(2**60), 2**60, 150)}
+    d = spark.createDataFrame([*sets.items(), *list(sets.items())[:40]], "id long, s array<long>").repartition(5)
+    got = [(r["a"], r["b"], round(r["similarity"], 9)) for r in S.set_similarity_join(d, "id", "s", threshold, beyond).collect()]
+    want = []
+    for a in sets:
+        for b in sets:
+            sim = len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
+            if a < b and sim >= threshold and max(len(sets[a]), len(sets[b])) > beyond:
+                want.append((a, b, round(sim, 9)))
+    assert sorted(got) == sorted(want) and len(want) > 30
+
+
+def test_near_copies_move_digests_and_prefixes_not_sets(spark, monkeypatch):
+    kept = []
+    keep = S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name: kept.append((name, df.schema.simpleString())) or keep(df, name))
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[i % 5 :] + [f"x{i}"]) for i in range(20)] + ["Ärger über ölige Öfen, 1 2 3"] * 3 + [None, "!!! ??? ... ,,, ;;; :::"]
+    got = {r["id"]: r for r in S.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(4), "id", "t").collect()}
+    assert len(got) == 25 and got[0]["n_similar"] == 19 and got[21]["copies"] == 3 and got[21]["n_similar"] == 2 and got[24]["n_similar"] == 0
+    assert {n for n, _ in kept} == {"text-keys", "set-maps", "set-pairs", "likely-pairs", "near-copies"}
+    assert not any("string" in s or ("array" in s and n != "set-maps") for n, s in kept)
