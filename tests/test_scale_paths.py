@@ -237,3 +237,27 @@ def test_near_copies_move_digests_and_prefixes_not_sets(spark, monkeypatch):
     assert len(got) == 25 and got[0]["n_similar"] == 19 and got[21]["copies"] == 3 and got[21]["n_similar"] == 2 and got[24]["n_similar"] == 0
     assert {n for n, _ in kept} == {"text-keys", "set-maps", "set-pairs", "likely-pairs", "near-copies"}
     assert not any("string" in s or ("array" in s and n != "set-maps") for n, s in kept)
+
+
+@pytest.mark.parametrize("threshold,most", [(0.7, 10**9), (0.5, 10**9), (0.7, 4)])
+def test_small_answer_sets_make_no_pairs(spark, monkeypatch, threshold, most):
+    """Few tokens make every set like many others: they are counted and tied by their subsets, and only larger sets make pairs."""
+    if most == 4:
+        monkeypatch.setattr(S, "MOST_SUBSETS", most)
+    else:
+        monkeypatch.setattr(S, "set_similarity_join", None)
+    rng = np.random.default_rng(7)
+    size = max(S._subset_sizes(threshold))
+    sets = [sorted(set(rng.integers(0, 11, rng.integers(0, (12 if most == 4 else size) + 1)).tolist())) for _ in range(260)]
+    sets = [s[:size] if most > 4 else s for s in sets]
+    got = {r["id"]: tuple(r)[1:] for r in S.answer_set_clusters(spark.createDataFrame(list(enumerate(sets)), "id long, s array<long>").repartition(4), "id", "s", threshold).collect()}
+    like = [[j for j, t in enumerate(sets) if j != i and s and t and len(set(s) & set(t)) >= threshold * len(set(s) | set(t)) - 1e-9] for i, s in enumerate(sets)]
+    for i, s in enumerate(sets):
+        seen, todo = {i}, [i]
+        while todo:
+            for o in like[todo.pop()]:
+                if o not in seen:
+                    seen.add(o)
+                    todo.append(o)
+        equal = sum(1 for j, t in enumerate(sets) if j != i and s and t == s)
+        assert got[i] == (len(s), equal, len(like[i]), min(seen), len(seen))
