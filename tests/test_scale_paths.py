@@ -261,3 +261,28 @@ def test_small_answer_sets_make_no_pairs(spark, monkeypatch, threshold, most):
                     todo.append(o)
         equal = sum(1 for j, t in enumerate(sets) if j != i and s and t == s)
         assert got[i] == (len(s), equal, len(like[i]), min(seen), len(seen))
+
+
+def test_vectors_go_through_one_shuffle_and_no_line_is_written_for_a_visit(spark, monkeypatch):
+    """Unstructured vectors prune nothing; what is kept grows with rows, not with visits, and blocks go when the answers are there."""
+    monkeypatch.setattr(MT, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(MT, "CHUNK_ROWS", 64)
+    kept, gone = [], []
+    keep, drop = MT.stored, MT.discard
+    monkeypatch.setattr(MT, "stored", lambda df, name, *path: kept.append((name, keep(df, name, *path))) or kept[-1][1])
+    monkeypatch.setattr(MT, "discard", lambda spark, path: gone.append(path) or drop(spark, path))
+    x = np.random.default_rng(9).normal(size=(300, 10))
+    x[200:220] = x[5]
+    ids = [f"q{i:03}" for i in range(300)]
+    d = spark.createDataFrame(list(zip(ids, x.tolist())), "id string, v array<double>").repartition(3)
+    near = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 9)
+    got = {}
+    for r in N.nearest(d, d, "id", "v", 3).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["neighbour"]))
+    for i in range(300):
+        assert [n for _, n in sorted(got[ids[i]])] == [ids[j] for j in sorted((j for j in range(300) if j != i), key=lambda j: (near[i, j] if x[i].tolist() != x[j].tolist() else 0.0, j))[:3]]
+    blocks, answers = (table for _, table in kept)
+    assert [n for n, _ in kept] == ["metric-blocks", "metric-answers"] and len(gone) == 1
+    assert answers.count() == 300 and answers.agg(F.sum("_visits")).first()[0] > 5 * 300
+    counts = {r["query"]: r["n_within"] for r in N.count_within(d, d, "id", "v", 3.1).collect()}
+    assert counts == {ids[i]: int((near[i] <= 3.1).sum()) for i in range(300)} and len(gone) == 2
